@@ -6,9 +6,12 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+WHITESPACE = r"(?U)[\s\x1C-\x1F]+"
+
+
 def normalise(text: Column) -> Column:
-    """Collapse whitespace runs to one space and strip; a missing text becomes ''."""
-    return F.trim(F.regexp_replace(F.coalesce(text, F.lit("")), r"\s+", " "))
+    """Collapse whitespace runs (any Unicode space) to one space and strip; a missing text becomes ''."""
+    return F.trim(F.regexp_replace(F.coalesce(text, F.lit("")), WHITESPACE, " "))
 
 
 def not_blank(text: Column) -> Column:

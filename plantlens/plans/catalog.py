@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from datetime import datetime
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plantlens.functions import domain
@@ -44,11 +44,16 @@ def units(spark: SparkSession, sf_dir: str) -> DataFrame:
         (F.col("s_suppkey") % 10 != 9).cast("int").alias("active_flag"))
 
 
-# Whole-number sums keep averages independent of row order.
-_SO2 = F.avg("l_quantity")
-_NOX = F.avg(F.round(F.col("l_discount") * 1000))
-_SOOT = F.avg(F.round(F.col("l_tax") * 100))
-_KWH = F.sum(F.round(F.col("l_extendedprice") * 100).cast("long")) / 100.0
+def _measures() -> dict[str, Column]:
+    """Fact columns; whole-number sums keep averages independent of row order."""
+    def whole(name: str, scale: int) -> Column:
+        return F.avg(F.round(F.col(name) * scale))
+
+    return {
+        "so2": F.avg("l_quantity"), "nox": whole("l_discount", 1000), "soot": whole("l_tax", 100),
+        "kwh": F.sum(F.round(F.col("l_extendedprice") * 100).cast("long")) / 100.0,
+        "fgd_efficiency": 100 - whole("l_discount", 100), "scr_efficiency": 100 - whole("l_tax", 100),
+    }
 
 
 def _raw_facts(spark: SparkSession, sf_dir: str, since: datetime | None, until: datetime | None) -> DataFrame:
@@ -60,33 +65,32 @@ def _raw_facts(spark: SparkSession, sf_dir: str, since: datetime | None, until:
     return li.withColumnsRenamed({"l_suppkey": "unit_id", "l_shipdate": "ts"})
 
 
-def _minutes(value, limit: float) -> list:
-    over = domain.over_multiple(value, limit)
-    return [F.when(over < 0.3, F.count("*") * 10).otherwise(0).alias("time_2to30"),
-            F.when(over >= 0.3, F.count("*") * 5).otherwise(0).alias("time_30to50")]
+def _facts(spark, sf_dir, since, until, pollutant: str, *others: str) -> DataFrame:
+    m = _measures()
+    over = domain.over_multiple(m[pollutant], domain.LIMITS[pollutant])
+    return _raw_facts(spark, sf_dir, since, until).groupBy("unit_id", "ts").agg(
+        *[m[c].alias(c) for c in (pollutant, *others)],
+        F.when(over < 0.3, F.count("*") * 10).otherwise(0).alias("time_2to30"),
+        F.when(over >= 0.3, F.count("*") * 5).otherwise(0).alias("time_30to50"),
+    )
 
 
 def so2_facts(spark, sf_dir, since=None, until=None) -> DataFrame:
-    return _raw_facts(spark, sf_dir, since, until).groupBy("unit_id", "ts").agg(
-        _SO2.alias("so2"), (100 - F.avg(F.round(F.col("l_discount") * 100))).alias("fgd_efficiency"), _KWH.alias("kwh"),
-        *_minutes(_SO2, domain.LIMITS["so2"]))
+    return _facts(spark, sf_dir, since, until, "so2", "fgd_efficiency", "kwh")
 
 
 def nox_facts(spark, sf_dir, since=None, until=None) -> DataFrame:
-    return _raw_facts(spark, sf_dir, since, until).groupBy("unit_id", "ts").agg(
-        _NOX.alias("nox"), (100 - F.avg(F.round(F.col("l_tax") * 100))).alias("scr_efficiency"),
-        *_minutes(_NOX, domain.LIMITS["nox"]))
+    return _facts(spark, sf_dir, since, until, "nox", "scr_efficiency")
 
 
 def soot_facts(spark, sf_dir, since=None, until=None) -> DataFrame:
-    return _raw_facts(spark, sf_dir, since, until).groupBy("unit_id", "ts").agg(
-        _SOOT.alias("soot"), *_minutes(_SOOT, domain.LIMITS["soot"]))
+    return _facts(spark, sf_dir, since, until, "soot")
 
 
 def readings(spark, sf_dir, since=None, until=None) -> DataFrame:
     """All pollutants and generation per unit and stamp from one aggregation."""
-    return _raw_facts(spark, sf_dir, since, until).groupBy("unit_id", "ts").agg(
-        _SO2.alias("so2"), _NOX.alias("nox"), _SOOT.alias("soot"), _KWH.alias("kwh"))
+    m = _measures()
+    return _raw_facts(spark, sf_dir, since, until).groupBy("unit_id", "ts").agg(*[m[c].alias(c) for c in ("so2", "nox", "soot", "kwh")])
 
 
 def latest(df: DataFrame, ts: str) -> datetime:

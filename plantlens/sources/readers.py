@@ -31,12 +31,16 @@ def source_file():
 
 
 def read_series_tsv(
-    spark: SparkSession, path, metrics: list[str], ts_format: str = "yyyy/MM/dd HH:mm", ts_col: str = "time"
+    spark: SparkSession, path, metrics: list[str], ts_format: str = "yyyy/MM/dd HH:mm", ts_col: str = "time",
+    entity=None,
 ) -> DataFrame:
-    """Tab-separated series, time in the first column. Bad stamps are kept and flagged in ``_rejected``."""
+    """Tab-separated series, time in the first column. Bad stamps are kept and flagged in ``_rejected``.
+
+    A directory is one scan; ``entity`` (default: the file name) names the series a row belongs to.
+    """
     raw = (
         spark.read.schema(_strings([ts_col, *metrics])).option("sep", "\t").option("header", True).csv(path)
-        .select("*", source_file().alias("file"))
+        .select("*", (source_file() if entity is None else entity).alias("file"))
     )
     return raw.select(
         "file",
