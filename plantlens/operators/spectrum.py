@@ -13,11 +13,12 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from plantlens.operators import blocks
 
 
-@F.pandas_udf("array<double>")
+@F.pandas_udf(T.ArrayType(T.DoubleType()))
 def _part_transform(values: pd.Series, part: pd.Series, n: pd.Series) -> pd.Series:
     """Transform of one interleaved part with its phase turn, as re, im, re, im, ..."""
     out = []
@@ -28,7 +29,7 @@ def _part_transform(values: pd.Series, part: pd.Series, n: pd.Series) -> pd.Seri
     return pd.Series(out)
 
 
-@F.pandas_udf("array<double>")
+@F.pandas_udf(T.ArrayType(T.DoubleType()))
 def _across_parts(re: pd.Series, im: pd.Series) -> pd.Series:
     return pd.Series([np.abs(np.fft.fft(np.asarray(r) + 1j * np.asarray(i))) for r, i in zip(re, im)])
 
@@ -37,7 +38,7 @@ def magnitudes(df: DataFrame, *, keys: Sequence[str], ts: str, cols: Sequence[st
     """keys, col, n, bin, magnitude for bins 1 .. n//2 - 1. The series must be on its grid without gaps."""
     keys = list(keys)
     series = [*keys, "col"]
-    placed = blocks.slot_position(df, ts, step_seconds)
+    placed = blocks.slot_position(df.select(*keys, ts, *cols), ts, step_seconds)
     span = placed.groupBy(*keys).agg(F.min(blocks.POS).alias("_first"), F.count("*").alias("n"))
     span = span.withColumn("parts", F.array_max(F.filter(
         F.sequence(F.lit(1), F.floor(F.sqrt(F.col("n"))).cast("int")), lambda d: F.col("n") % d == 0)))

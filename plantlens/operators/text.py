@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.errors import AnalysisException, ParseException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from plantlens.functions import text as tf
 
@@ -109,7 +110,7 @@ def _word_distance(a: list[str], b: list[str]) -> int:
     return int(row[-1])
 
 
-@F.pandas_udf("long")
+@F.pandas_udf(T.LongType())
 def word_distance(ref: pd.Series, hyp: pd.Series) -> pd.Series:
     return pd.Series([_word_distance(a.split(), b.split()) for a, b in zip(ref, hyp)])
 

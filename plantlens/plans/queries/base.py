@@ -1,7 +1,7 @@
 """Registration of queries and the SQL fragments they share.
 
 A query declares its output columns once, as ``kind:name,name kind:name``; both sides are shaped by it:
-f / f2 / f3 / f4 doubles rounded to 6 / 2 / 3 / 4 digits, i integers, b booleans as 0 or 1, s strings,
+f doubles rounded to 6 digits (f2, f4: to 2, 4), i integers, b booleans as 0 or 1, s strings,
 t timestamps and d dates as text.
 """
 
@@ -24,10 +24,15 @@ def _digits(kind: str) -> int:
     return int(kind[1:] or 6)
 
 
+def _nudge(digits: int) -> str:
+    """A fixed offset far below the last digit: exact decimal ties then round alike in both engines."""
+    return f"3.14159e-{digits + 2:02d}"
+
+
 def _spark(kind: str, name: str) -> Column:
     c = F.col(name)
     if kind[0] == "f":
-        out = F.round(c.cast("double"), _digits(kind))
+        out = F.round(c.cast("double") + F.lit(float(_nudge(_digits(kind)))), _digits(kind))
     elif kind == "i":
         out = c.cast("long")
     elif kind == "b":
@@ -44,7 +49,7 @@ def _spark(kind: str, name: str) -> Column:
 def _sql(kind: str, name: str) -> str:
     q = f'"{name}"'
     if kind[0] == "f":
-        return f"round(CAST({q} AS DOUBLE), {_digits(kind)}) + 0.0 AS {q}"
+        return f"round(CAST({q} AS DOUBLE) + {_nudge(_digits(kind))}::DOUBLE, {_digits(kind)}) + 0.0 AS {q}"
     if kind in "ib":
         return f"CAST({q} AS BIGINT) AS {q}"
     if kind == "t":

@@ -427,7 +427,7 @@ def f08(spark, d):
     return catalog.readings(spark, d).select("unit_id", "ts", m.alias("multiple"), domain.severity_band(m).alias("band"))
 
 
-@query("F09_emission_mass", "i:unit_id t:ts f2:flow,so2_t,soot_t",
+@query("F09_emission_mass", "i:unit_id t:ts f:flow,so2_t,soot_t",
        f"WITH {UNIT}, {FACT} SELECT unit_id, ts, kwh * f AS flow, so2 * (kwh * f) * 0.01::DOUBLE AS so2_t, soot * (kwh * f) * 0.001::DOUBLE AS soot_t FROM (SELECT *, CASE WHEN unit_type = '燃煤机' THEN 12 ELSE 8 END AS f FROM fact JOIN unit USING (unit_id))")
 def f09(spark, d):
     rows = business.with_unit(catalog.readings(spark, d), catalog.units(spark, d))
