@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from plantlens.functions import calendar
 from plantlens.operators import blocks, features, quality, spectrum, stats, windows
 from plantlens.plans import catalog
 from plantlens.plans.queries.base import GRID, HOURLY, ROWS, query
@@ -122,13 +123,13 @@ def w13(spark, d):
     return windows.gap_profile(blocks.slot_position(catalog.hourly(spark, d), "ts"), KEY, "ts")
 
 
-_INTERP = """fill_ AS (SELECT unit, ts, {c}, last_value(CASE WHEN {c} IS NOT NULL THEN epoch(ts) END IGNORE NULLS) OVER b AS pt, last_value({c} IGNORE NULLS) OVER b AS pv,
+INTERP = """fill_ AS (SELECT unit, ts, {c}, last_value(CASE WHEN {c} IS NOT NULL THEN epoch(ts) END IGNORE NULLS) OVER b AS pt, last_value({c} IGNORE NULLS) OVER b AS pv,
   first_value(CASE WHEN {c} IS NOT NULL THEN epoch(ts) END IGNORE NULLS) OVER f AS nt, first_value({c} IGNORE NULLS) OVER f AS nv FROM {src}
   WINDOW b AS (PARTITION BY unit ORDER BY ts ROWS UNBOUNDED PRECEDING), f AS (PARTITION BY unit ORDER BY ts ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)),
   interp AS (SELECT unit, ts, CASE WHEN {c} IS NOT NULL THEN {c} WHEN pt IS NULL THEN NULL WHEN nt IS NULL THEN pv ELSE pv + (nv - pv) * (epoch(ts) - pt) / (nt - pt) END AS {c} FROM fill_)"""
 
 
-@query("W14_interpolate", "s:unit t:ts f:value", f"WITH {HOURLY}, {GRID}, {_INTERP.format(c='value', src='grid')} SELECT unit, ts, value FROM interp")
+@query("W14_interpolate", "s:unit t:ts f:value", f"WITH {HOURLY}, {GRID}, {INTERP.format(c='value', src='grid')} SELECT unit, ts, value FROM interp")
 def w14(spark, d):
     return windows.interpolate(_grid(spark, d), KEY, "ts", ["value"])
 
@@ -170,7 +171,7 @@ def e04(spark, d):
 # ---- frequency content ----
 
 @query("E05_top_frequencies", "s:unit,col i:rank,n,bin f4:magnitude",
-       f"""WITH {HOURLY}, {GRID}, {_INTERP.format(c='value', src='grid')}, x AS (SELECT unit, value, row_number() OVER (PARTITION BY unit ORDER BY ts) - 1 AS t, count(*) OVER (PARTITION BY unit) AS n FROM interp),
+       f"""WITH {HOURLY}, {GRID}, {INTERP.format(c='value', src='grid')}, x AS (SELECT unit, value, row_number() OVER (PARTITION BY unit ORDER BY ts) - 1 AS t, count(*) OVER (PARTITION BY unit) AS n FROM interp),
        k AS (SELECT unit, n, unnest(range(1, n // 2)) AS bin FROM (SELECT DISTINCT unit, n FROM x)),
        m AS (SELECT unit, n, bin, sqrt(pow(sum(value * cos(2 * pi() * ((bin * t) % n) / n)), 2) + pow(sum(value * sin(2 * pi() * ((bin * t) % n) / n)), 2)) AS magnitude FROM x JOIN k USING (unit, n) GROUP BY 1, 2, 3)
        SELECT unit, 'value' AS col, n, bin, magnitude, rank FROM (SELECT *, row_number() OVER (PARTITION BY unit ORDER BY magnitude DESC, bin) AS rank FROM m) WHERE rank <= 5""")
@@ -181,15 +182,15 @@ def e05(spark, d):
 # ---- composite feature sets ----
 
 _CREATED = [f"value_{s}_{w}h" for w in (24, 48, 72) for s in (*_STATS, "diff", "pct_change")]
-_SLIDE = f"""{_INTERP.format(c='value', src='grid')}, slide AS (SELECT unit, ts, value, """ + ", ".join(
+SLIDE = f"""{INTERP.format(c='value', src='grid')}, slide AS (SELECT unit, ts, value, """ + ", ".join(
     [_roll("value", s, w, f"value_{s}_{w}h", max(1, w // 2)) for w in (24, 48, 72) for s in _STATS]
     + [f"value - lag(value, {w}) OVER w AS value_diff_{w}h, value / nullif(lag(value, {w}) OVER w, 0) - 1 AS value_pct_change_{w}h" for w in (24, 48, 72)]
     + [f"lead(value, {h}) OVER w AS value_target_{h}h" for h in range(1, 25)]) + f" FROM interp {_W})"
-_COMPLETE = " AND ".join([f"{c} IS NOT NULL" for c in _CREATED] + [f"value_target_{h}h IS NOT NULL" for h in range(1, 25)])
+COMPLETE = " AND ".join([f"{c} IS NOT NULL" for c in _CREATED] + [f"value_target_{h}h IS NOT NULL" for h in range(1, 25)])
 
 
 @query("E01_sliding_features", "s:unit t:ts f:value," + ",".join(_CREATED) + "," + ",".join(f"value_target_{h}h" for h in range(1, 25)),
-       f"WITH {HOURLY}, {GRID}, {_SLIDE} SELECT * FROM slide WHERE {_COMPLETE}")
+       f"WITH {HOURLY}, {GRID}, {SLIDE} SELECT * FROM slide WHERE {COMPLETE}")
 def e01(spark, d):
     series = catalog.hourly(spark, d).select("unit", "ts", "value")
     return features.sliding(series, keys=KEY, ts="ts", targets=["value"], null_policy="drop")
@@ -221,8 +222,6 @@ def e03(spark, d):
 @query("E06_time_features", "s:unit t:ts i:hour,dayofweek,month,quarter,year,dayofyear,is_weekend f:hour_sin,hour_cos,month_cos",
        f"WITH {HOURLY} SELECT unit, ts, hour(ts) AS hour, isodow(ts) - 1 AS dayofweek, month(ts) AS month, quarter(ts) AS quarter, year(ts) AS year, dayofyear(ts) AS dayofyear, CASE WHEN isodow(ts) >= 6 THEN 1 ELSE 0 END AS is_weekend, sin(2 * pi() * hour(ts) / 24) AS hour_sin, cos(2 * pi() * hour(ts) / 24) AS hour_cos, cos(2 * pi() * month(ts) / 12) AS month_cos FROM hourly")
 def e06(spark, d):
-    from plantlens.functions import calendar
-
     return calendar.add(catalog.hourly(spark, d), "ts", "B")
 
 
