@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from plantlens.operators import evaluate, split
+from plantlens.session import staged
 
 FAMILIES = ("linear", "forest", "boosted")
 
@@ -58,7 +59,11 @@ def tune(
     df: DataFrame, *, features: Sequence[str], target: str, family: str = "forest", grid: dict[str, Sequence], parallelism: int = 4,
     train_ratio: float = 0.8,
 ):
-    """Grid search on one train/validation split; returns (best model, results as a frame)."""
+    """Grid search on one train/validation split; returns (best model, results as a frame).
+
+    Trainers pass over their input many times, so the columns in use are written once and read back.
+    """
+    df = staged(df.select(*features, target), "tune")
     est = estimator(family, target)
     pack = VectorAssembler(inputCols=list(features), outputCol="_features", handleInvalid="skip")
     builder = ParamGridBuilder()
@@ -81,7 +86,7 @@ def compare(
     families: Sequence[str] = FAMILIES,
 ) -> tuple[dict[str, PipelineModel], DataFrame]:
     """Chronological split, fit each family on the oldest part, score on the newest."""
-    parts = split.chronological(df, keys=keys, ts=ts)
+    parts = staged(split.chronological(df, keys=keys, ts=ts).select(*keys, ts, *features, *targets, "split"), "compare")
     train, test = parts.filter("split = 'train'"), parts.filter("split = 'test'")
     models, tables = {}, []
     for fam in families:
@@ -103,7 +108,7 @@ def update_job(
 
     Returns (promoted model, one registry row).
     """
-    parts = split.chronological(new_data, keys=keys, ts=ts)
+    parts = staged(split.chronological(new_data, keys=keys, ts=ts).select(*keys, ts, *features, target, "split"), "update")
     recent = parts.filter("split = 'test'")
 
     def scored(model, name):

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from plantlens.functions import text as tf
+from plantlens.session import staged
 
 # Prompt texts of the pair builders.
 NL2SQL_INSTRUCTION = "根据以下数据库模式，将自然语言查询转换为SQL查询。\n\n数据库模式:\n{schema}\n\n自然语言查询: {question}"
@@ -25,20 +26,26 @@ POSITIVE = ("good", "great", "improve", "clean", "success", "正常", "达标",
 NEGATIVE = ("bad", "poor", "fail", "pollution", "exceed", "超标", "污染", "故障")
 
 
-def keywords(df: DataFrame, *, id_col: str, text: str, k: int = 5, salts: int = 16) -> DataFrame:
+HOT_TERMS = 1000
+
+
+def keywords(df: DataFrame, *, id_col: str, text: str, k: int = 5) -> DataFrame:
     """Top-k terms per document by TF-IDF (ties by term), as id, keywords array; blank text gives [].
 
-    A stop word reaches every document, so the join on the term is salted: document terms spread over
-    ``salts`` parts and the small per-term table is repeated into each.
+    Document terms are written once. A term that holds more than one in HOT_TERMS of them is hot; there can
+    be at most HOT_TERMS such terms, so their weights are broadcast. All other terms are joined by shuffle,
+    where none can dominate a task.
     """
-    terms = df.select(id_col, F.explode(tf.tokens(F.col(text))).alias("term")).groupBy(id_col, "term").agg(F.count("*").alias("tf"))
-    n_docs = df.agg(F.count("*").alias("n")).first()["n"]
-    idf = terms.groupBy("term").agg(F.count("*").alias("df")).select(
-        "term", (F.log((F.lit(1.0) + n_docs) / (F.lit(1.0) + F.col("df"))) + 1).alias("idf"),
-        F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("_salt"),
-    )
-    spread = terms.withColumn("_salt", F.pmod(F.xxhash64(id_col), F.lit(salts)).cast("int"))
-    scored = spread.join(idf, ["term", "_salt"]).select(id_col, "term", (F.col("tf") * F.col("idf")).alias("score"))
+    pairs = df.select(id_col, F.explode(tf.tokens(F.col(text))).alias("term")).groupBy(id_col, "term").agg(F.count("*").alias("tf"))
+    terms = staged(pairs, "terms")
+    n_docs, n_pairs = df.count(), terms.count()
+    weights = terms.groupBy("term").agg(F.count("*").alias("df"))
+    idf = (F.log((F.lit(1.0) + n_docs) / (F.lit(1.0) + F.col("df"))) + 1).alias("idf")
+    is_hot = F.col("df") > n_pairs / HOT_TERMS
+    hot = F.broadcast(weights.filter(is_hot).select("term", idf))
+    cold = weights.filter(~is_hot).select("term", idf)
+    joined = terms.join(hot, "term").unionByName(terms.join(hot, "term", "left_anti").join(cold, "term"))
+    scored = joined.select(id_col, "term", (F.col("tf") * F.col("idf")).alias("score"))
     w = Window.partitionBy(id_col).orderBy(F.desc(F.round("score", 9)), "term")
     top = (
         scored.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)

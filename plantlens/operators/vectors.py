@@ -6,9 +6,6 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.feature import Word2Vec
-from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -17,18 +14,28 @@ from plantlens.functions import text as tf
 QUERY_BLOCK = 1024
 
 
-def fit_embedding(df: DataFrame, text: str, size: int = 64, min_count: int = 2, iterations: int = 1) -> PipelineModel:
-    """Word vectors learned from the corpus; a text is the mean of its word vectors."""
-    words = df.select(tf.tokens(F.col(text)).alias("_words"))
-    w2v = Word2Vec(vectorSize=size, minCount=min_count, maxIter=iterations, seed=42, inputCol="_words", outputCol="_vec",
-                   numPartitions=max(1, min(32, df.sparkSession.sparkContext.defaultParallelism)))
-    return Pipeline(stages=[w2v]).fit(words)
+_DIGITS = "0123456789abcdef"
 
 
-def embed(model: PipelineModel, df: DataFrame, text: str, out: str = "embedding") -> DataFrame:
-    """Append the text vector; blank text gives the zero vector."""
-    rows = model.transform(df.withColumn("_words", tf.tokens(F.col(text))))
-    return rows.withColumn(out, vector_to_array("_vec", "float32")).drop("_words", "_vec")
+def embed(df: DataFrame, *, id_col: str, text: str, dims: int = 64, out: str = "embedding") -> DataFrame:
+    """id, embedding: the mean of the text's token vectors; blank text gives the zero vector.
+
+    A token's vector is read off its MD5 digest, one component in [-1, 1] per digit, so there is no
+    vocabulary to train, hold or ship and any number of texts is one aggregation. Learned vectors can be
+    passed to every other operator here as an array column instead.
+    """
+    words = df.select(id_col, F.explode_outer(tf.tokens(F.col(text))).alias("token"))
+    digests = [F.md5("token" if j == 0 else F.concat("token", F.lit(f"#{j}"))).alias(f"_d{j}") for j in range(-(-dims // 32))]
+
+    def digit(i: int):
+        return F.sum(F.instr(F.lit(_DIGITS), F.substring(F.col(f"_d{i // 32}"), i % 32 + 1, 1))).alias(f"_e{i}")
+
+    sums = words.select(id_col, *digests).groupBy(id_col).agg(F.count("_d0").alias("_n"), *[digit(i) for i in range(dims)])
+
+    def mean(i: int):
+        return F.when(F.col("_n") > 0, (F.col(f"_e{i}") / F.col("_n") - 8.5) / 7.5).otherwise(0.0).cast("float")
+
+    return sums.select(id_col, F.array(*[mean(i) for i in range(dims)]).alias(out))
 
 
 def centroids(df: DataFrame, label: str, embedding: str) -> DataFrame:

@@ -106,13 +106,17 @@ def month_summary(so2: DataFrame, nox: DataFrame, soot: DataFrame, units: DataFr
 
 
 def daily_load_by_type(facts: DataFrame, units: DataFrame, types: dict[str, str]) -> DataFrame:
-    """Average rating of reporting units per day and type, one column per type, 0 where a type is absent."""
+    """Average rating of reporting units per day and type, one column per type.
+
+    Each column is the maximum over the day's types of (rating if it is this type, else 0), as the question's
+    SQL has it: 0 where the type is absent, and no lower than 0 where other types report.
+    """
     daily = (
         facts.select("unit_id", "ts").join(units.filter(F.col("unit_type").isin(list(types))).select("unit_id", "unit_type", "rating"), "unit_id")
         .groupBy(F.to_date("ts").alias("day"), "unit_type").agg(F.avg("rating").alias("rating"))
     )
-    wide = daily.groupBy("day").pivot("unit_type", list(types)).agg(F.max("rating")).fillna(0.0)
-    return wide.select("day", *[F.col(t).alias(n) for t, n in types.items()]).orderBy("day")
+    return daily.groupBy("day").agg(*[
+        F.max(F.when(F.col("unit_type") == t, F.col("rating")).otherwise(0.0)).alias(n) for t, n in types.items()]).orderBy("day")
 
 
 def unpivot(facts: DataFrame, keys: Sequence[str] = ("unit_id", "ts"), limits: dict[str, float] = domain.LIMITS) -> DataFrame:

@@ -42,6 +42,5 @@ def process_series(
 def process_texts(df: DataFrame, *, id_col: str, text_col: str, size: int = 64, k: int = 5) -> DataFrame:
     """Normalised text, embedding, keywords and sentiment of every text."""
     clean = df.withColumn("processed_text", tf.normalise(F.col(text_col)))
-    model = vectors.fit_embedding(clean, "processed_text", size)
-    out = text.sentiment(vectors.embed(model, clean, "processed_text"), "processed_text")
-    return text.keywords(out, id_col=id_col, text="processed_text", k=k)
+    out = text.keywords(text.sentiment(clean, "processed_text"), id_col=id_col, text="processed_text", k=k)
+    return out.join(vectors.embed(clean, id_col=id_col, text="processed_text", dims=size), id_col)

@@ -9,6 +9,7 @@ from plantlens.operators import blocks, evaluate, forecast, reduce, split, windo
 from plantlens.plans import catalog
 from plantlens.plans.queries.base import HOURLY, ROWS, query
 from plantlens.plans.queries.series import KEY
+from plantlens.session import staged
 
 _HASH = "('0x' || substr(md5({key} || '|42'), 1, 15))::BIGINT"
 
@@ -63,7 +64,8 @@ def _lagged(spark, d):
     """Hourly series with recent values as features and the next hour as target."""
     rows = blocks.row_position(catalog.hourly(spark, d), KEY, "ts")
     feats = [windows.lag("value", 1, "lag_1"), windows.lag("value", 24, "lag_24"), windows.rolling("value", "mean", 24, "mean_24"), windows.lead("value", 1, "next")]
-    return windows.add(rows, KEY, feats).dropna("any").select("unit", "ts", "value", "load", "lag_1", "lag_24", "mean_24", "next")
+    wide = windows.add(rows, KEY, feats).dropna("any").select("unit", "ts", "value", "load", "lag_1", "lag_24", "mean_24", "next")
+    return staged(wide, "lagged")
 
 
 _INPUTS = ["value", "load", "lag_1", "lag_24", "mean_24"]

@@ -10,6 +10,7 @@ from plantlens.plans import catalog, datasets
 from plantlens.plans.queries.base import norm, query
 from plantlens.plans.queries.models import _HASH
 from plantlens.session import scratch_path
+from plantlens.sources import schemas
 
 
 @query("T01_preprocess", "i:conv_id,turn s:clean", f"SELECT conv_id, turn, {norm('text')} AS clean FROM conversations")
@@ -17,14 +18,19 @@ def t01(spark, d):
     return catalog.table(spark, d, "conversations").select("conv_id", "turn", tf.normalise(F.col("text")).alias("clean"))
 
 
-@query("T02_embeddings", "i:doc_id,dims b:finite", "SELECT doc_id, 32 AS dims, true AS finite FROM documents")
+_TOKENS = f"tok AS (SELECT doc_id, unnest(string_split(lower({norm('text')}), ' ')) AS term FROM documents WHERE {norm('text')} <> '')"
+_DIGIT = "(instr('0123456789abcdef', substr(md5({t}), {i}, 1)) - 8.5::DOUBLE) / 7.5::DOUBLE"
+
+
+@query("T02_embeddings", "i:doc_id,dims f4:first,last,other",
+       f"""WITH {_TOKENS}, e AS (SELECT doc_id, avg({_DIGIT.format(t='term', i=1)}) AS first, avg({_DIGIT.format(t='term', i=32)}) AS last, avg({_DIGIT.format(t="term || '#1'", i=1)}) AS other FROM tok GROUP BY 1)
+       SELECT d.doc_id, 64 AS dims, coalesce(first, 0) AS first, coalesce(last, 0) AS last, coalesce(other, 0) AS other FROM documents d LEFT JOIN e USING (doc_id)""")
 def t02(spark, d):
-    docs = catalog.table(spark, d, "documents")
-    out = vectors.embed(vectors.fit_embedding(docs, "text", size=32), docs, "text")
-    return out.select("doc_id", F.size("embedding").alias("dims"), (~F.exists("embedding", lambda x: F.isnan(x))).alias("finite"))
+    out = vectors.embed(catalog.corpus(spark, d), id_col="doc_id", text="text")
+    e = F.col("embedding")
+    return out.select("doc_id", F.size(e).alias("dims"), e[0].alias("first"), e[31].alias("last"), e[32].alias("other"))
 
 
-_TOKENS = f"tok AS (SELECT doc_id, unnest(string_split(lower({norm('text')}), ' ')) AS term FROM documents WHERE {norm('text')} <> '')"
 _KEYWORDS = f"""{_TOKENS}, tf_ AS (SELECT doc_id, term, count(*) AS tf FROM tok GROUP BY 1, 2), df_ AS (SELECT term, count(*) AS df FROM tf_ GROUP BY 1),
   sc AS (SELECT doc_id, term, round(tf * (ln((1.0::DOUBLE + (SELECT count(*) FROM documents)) / (1.0::DOUBLE + df)) + 1), 9) AS s FROM tf_ JOIN df_ USING (term)),
   rk AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY s DESC, term) AS r FROM sc), kw AS (SELECT doc_id, string_agg(term, ' ' ORDER BY r) AS keywords, count(*) AS n FROM rk WHERE r <= 5 GROUP BY 1)"""
@@ -32,7 +38,7 @@ _KEYWORDS = f"""{_TOKENS}, tf_ AS (SELECT doc_id, term, count(*) AS tf FROM tok
 
 @query("T03_keywords", "i:doc_id s:keywords", f"WITH {_KEYWORDS} SELECT d.doc_id, coalesce(keywords, '') AS keywords FROM documents d LEFT JOIN kw USING (doc_id)")
 def t03(spark, d):
-    out = text.keywords(catalog.table(spark, d, "documents"), id_col="doc_id", text="text")
+    out = text.keywords(catalog.corpus(spark, d), id_col="doc_id", text="text")
     return out.withColumn("keywords", F.array_join("keywords", " "))
 
 
@@ -60,7 +66,7 @@ _MOOD = "CASE WHEN p > n THEN '正面' WHEN p < n THEN '负面' ELSE '中性' EN
 
 @query("T05_sentiment", "i:doc_id s:sentiment", f"SELECT doc_id, {_MOOD} AS sentiment FROM (SELECT doc_id, {_hits(_WORDS_P)} AS p, {_hits(_WORDS_N)} AS n FROM documents)")
 def t05(spark, d):
-    return text.sentiment(catalog.table(spark, d, "documents"), "text", _WORDS_P, _WORDS_N)
+    return text.sentiment(catalog.corpus(spark, d), "text", _WORDS_P, _WORDS_N)
 
 
 _LEX = (text.POSITIVE, text.NEGATIVE)
@@ -69,7 +75,7 @@ _LEX = (text.POSITIVE, text.NEGATIVE)
 @query("T06_process_texts", "i:doc_id s:processed i:dims,keywords_n s:sentiment",
        f"WITH {_KEYWORDS} SELECT d.doc_id, md5({norm('d.text')}) AS processed, 16 AS dims, coalesce(n, 0) AS keywords_n, sentiment FROM documents d LEFT JOIN kw USING (doc_id) JOIN (SELECT doc_id, {_MOOD} AS sentiment FROM (SELECT doc_id, {_hits(_LEX[0])} AS p, {_hits(_LEX[1])} AS n FROM documents)) USING (doc_id)")
 def t06(spark, d):
-    out = datasets.process_texts(catalog.table(spark, d, "documents"), id_col="doc_id", text_col="text", size=16)
+    out = datasets.process_texts(catalog.corpus(spark, d), id_col="doc_id", text_col="text", size=16)
     return out.select("doc_id", F.md5("processed_text").alias("processed"), F.size("embedding").alias("dims"), F.size("keywords").alias("keywords_n"), "sentiment")
 
 
@@ -145,11 +151,11 @@ _CORRUPT = r"([^ ]*er[^ ]*)"
 
 
 @query("T12_error_rates", "i:char_edits,chars,word_edits,words f:cer,wer",
-       f"""WITH t AS (SELECT {norm('text')} AS r, {norm(f"regexp_replace(text, '{_CORRUPT}', '{chr(92)}1#', 'g')")} AS h FROM benchmark),
+       f"""WITH t AS (SELECT {norm('text')} AS r, regexp_replace({norm('text')}, '{_CORRUPT}', '{chr(92)}1#', 'g') AS h FROM benchmark),
        s AS (SELECT sum(levenshtein(r, h)) AS char_edits, sum(length(r)) AS chars, sum(len(list_filter(string_split(h, ' '), lambda w: contains(w, '#')))) AS word_edits, sum(len(string_split(r, ' '))) AS words FROM t)
        SELECT *, char_edits / chars AS cer, word_edits / words AS wer FROM s""")
 def t12(spark, d):
-    rows = catalog.table(spark, d, "benchmark").withColumn("hyp", F.regexp_replace(tf.normalise(F.col("text")), _CORRUPT, "$1#"))
+    rows = catalog.corpus(spark, d, "benchmark").withColumn("hyp", F.regexp_replace(tf.normalise(F.col("text")), _CORRUPT, "$1#"))
     return text.error_rates(rows, ref="text", hyp="hyp")
 
 
@@ -163,7 +169,7 @@ def t13(spark, d):
        f"SELECT doc_id, least(512, len(string_split({norm('text')}, ' '))) AS tokens, md5(array_to_string(string_split({norm('text')}, ' ')[1:512], ' ')) AS digest FROM documents")
 def t14(spark, d):
     cut = tf.truncate_tokens(F.col("text"))
-    return catalog.table(spark, d, "documents").select("doc_id", F.size(F.split(cut, " ")).alias("tokens"), F.md5(cut).alias("digest"))
+    return catalog.corpus(spark, d).select("doc_id", F.size(F.split(cut, " ")).alias("tokens"), F.md5(cut).alias("digest"))
 
 
 @query("T15_generation_evaluation", "i:n f:exact_match i:char_edits,chars", """
@@ -182,8 +188,6 @@ _ANSWERS = """CASE conv_id % 4 WHEN 0 THEN '```sql\\nSELECT STEAMER_NAME FROM TB
 
 @query("T16_validate_corpus", "i:total,valid f:ratio", "SELECT count(*) AS total, count(*) FILTER (WHERE conv_id % 4 < 2) AS valid, avg(CASE WHEN conv_id % 4 < 2 THEN 1.0 ELSE 0.0 END) AS ratio FROM conversations")
 def t16(spark, d):
-    from plantlens.sources import schemas
-
     schemas.register(spark, {"TB_STEAMER": catalog.units(spark, d).withColumnsRenamed({"unit_id": "STEAMER_ID", "unit_name": "STEAMER_NAME"})})
     rows = catalog.table(spark, d, "conversations").withColumn("response", F.expr(_ANSWERS)).withColumn(
         "fixed", F.when(F.col("conv_id") % 4 == 1, "SELECT STEAMER_NAME FROM TB_STEAMER;").otherwise(F.col("response")))
@@ -192,7 +196,5 @@ def t16(spark, d):
 
 @query("T17_run_sql", "s:type i:n", "SELECT CASE s_suppkey % 4 WHEN 0 THEN '燃煤机' WHEN 1 THEN '燃气机' WHEN 2 THEN '风电' ELSE '光电' END AS type, count(*) AS n FROM supplier GROUP BY 1")
 def t17(spark, d):
-    from plantlens.sources import schemas
-
     schemas.register(spark, {"TB_STEAMER": catalog.units(spark, d).withColumnsRenamed({"unit_id": "STEAMER_ID", "unit_type": "STEAMER_TYPE"})})
     return text.run_sql(spark, "SELECT STEAMER_TYPE AS type, count(*) AS n FROM TB_STEAMER GROUP BY STEAMER_TYPE;")[0]
