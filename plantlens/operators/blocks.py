@@ -66,7 +66,7 @@ Build = Callable[[WindowSpec], list[Column]]
 
 def over_blocks(
     df: DataFrame, keys: Sequence[str], build: Build, before: int, after: int = 0, pos: str = POS,
-    block_rows: int = BLOCK_ROWS,
+    block_rows: int | None = None,
 ) -> DataFrame:
     """Append window columns whose frames reach at most ``before`` rows back and ``after`` rows ahead.
 
@@ -74,7 +74,7 @@ def over_blocks(
     features of a call share one shuffle and one sort. Positions must be consecutive per entity.
     """
     keys = list(keys)
-    size = max(block_rows, before, after)
+    size = max(block_rows or BLOCK_ROWS, before, after)
     home, off = floor_div(F.col(pos), size), F.pmod(F.col(pos), F.lit(size))
     copies = [home]
     if before:
@@ -92,7 +92,7 @@ def over_blocks(
 
 def nearest(
     df: DataFrame, keys: Sequence[str], forward: dict[str, Column] | None = None,
-    backward: dict[str, Column] | None = None, pos: str = POS, inclusive: bool = True, block_rows: int = BLOCK_ROWS,
+    backward: dict[str, Column] | None = None, pos: str = POS, inclusive: bool = True, block_rows: int | None = None,
 ) -> DataFrame:
     """Append, per name, the nearest non-null value at or before (``forward``) / at or after (``backward``) a row.
 
@@ -101,7 +101,7 @@ def nearest(
     """
     keys = list(keys)
     wanted = [(n, c, True) for n, c in (forward or {}).items()] + [(n, c, False) for n, c in (backward or {}).items()]
-    base = df.withColumns({**{f"_v_{n}": c for n, c, _ in wanted}, "_block": floor_div(F.col(pos), block_rows)})
+    base = df.withColumns({**{f"_v_{n}": c for n, c, _ in wanted}, "_block": floor_div(F.col(pos), block_rows or BLOCK_ROWS)})
 
     def edge(n: str, ahead: bool) -> Column:
         known = F.when(F.col(f"_v_{n}").isNotNull(), F.col(pos))

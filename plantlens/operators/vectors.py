@@ -14,26 +14,26 @@ from plantlens.functions import text as tf
 QUERY_BLOCK = 1024
 
 
-_DIGITS = "0123456789abcdef"
+_BITS = 60
 
 
 def embed(df: DataFrame, *, id_col: str, text: str, dims: int = 64, out: str = "embedding") -> DataFrame:
     """id, embedding: the mean of the text's token vectors; blank text gives the zero vector.
 
-    A token's vector is read off its MD5 digest, one component in [-1, 1] per digit, so there is no
-    vocabulary to train, hold or ship and any number of texts is one aggregation. Learned vectors can be
-    passed to every other operator here as an array column instead.
+    A token's vector is a fixed direction of -1 and 1 components read off the bits of its MD5 digest, so
+    there is no vocabulary to train, hold or ship and any number of texts is one aggregation. Learned
+    vectors can be passed to every other operator here as an array column instead.
     """
     words = df.select(id_col, F.explode_outer(tf.tokens(F.col(text))).alias("token"))
-    digests = [F.md5("token" if j == 0 else F.concat("token", F.lit(f"#{j}"))).alias(f"_d{j}") for j in range(-(-dims // 32))]
-
-    def digit(i: int):
-        return F.sum(F.instr(F.lit(_DIGITS), F.substring(F.col(f"_d{i // 32}"), i % 32 + 1, 1))).alias(f"_e{i}")
-
-    sums = words.select(id_col, *digests).groupBy(id_col).agg(F.count("_d0").alias("_n"), *[digit(i) for i in range(dims)])
+    salted = words.select(id_col, "token", *[
+        F.md5("token" if j == 0 else F.concat("token", F.lit(f"#{j}"))).alias(f"_d{j}") for j in range(-(-dims // (2 * _BITS)))])
+    halves = salted.select(id_col, "token", *[
+        F.conv(F.substring(f"_d{j // 2}", 1 + 15 * (j % 2), 15), 16, 10).cast("long").alias(f"_h{j}") for j in range(-(-dims // _BITS))])
+    sums = halves.groupBy(id_col).agg(F.count("token").alias("_n"), *[
+        F.sum(F.shiftright(f"_h{i // _BITS}", i % _BITS).bitwiseAND(1)).alias(f"_e{i}") for i in range(dims)])
 
     def mean(i: int):
-        return F.when(F.col("_n") > 0, (F.col(f"_e{i}") / F.col("_n") - 8.5) / 7.5).otherwise(0.0).cast("float")
+        return F.when(F.col("_n") > 0, F.col(f"_e{i}") / F.col("_n") * 2 - 1).otherwise(0.0).cast("float")
 
     return sums.select(id_col, F.array(*[mean(i) for i in range(dims)]).alias(out))
 

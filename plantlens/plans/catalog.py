@@ -22,11 +22,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def corpus(spark: SparkSession, sf_dir: str, name: str = "documents") -> DataFrame:
     """A text table for work that is heavy per row.
 
-    A table read as fewer partitions than there are cores (a small single file) is spread over all of them;
-    a large one is left as the scan splits it.
+    A table of fewer files than there are cores is spread over all of them; a large one is left as the
+    scan splits it.
     """
     df, cores = table(spark, sf_dir, name), spark.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+    return df.repartition(cores) if len(df.inputFiles()) < cores else df
 
 
 def areas(spark: SparkSession, sf_dir: str) -> DataFrame:

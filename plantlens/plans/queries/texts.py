@@ -19,16 +19,19 @@ def t01(spark, d):
 
 
 _TOKENS = f"tok AS (SELECT doc_id, unnest(string_split(lower({norm('text')}), ' ')) AS term FROM documents WHERE {norm('text')} <> '')"
-_DIGIT = "(instr('0123456789abcdef', substr(md5({t}), {i}, 1)) - 8.5::DOUBLE) / 7.5::DOUBLE"
+
+
+def _bit(start: int, i: int) -> str:
+    return f"avg(((('0x' || substr(md5(term), {start}, 15))::BIGINT >> {i}) & 1) * 2 - 1)"
 
 
 @query("T02_embeddings", "i:doc_id,dims f4:first,last,other",
-       f"""WITH {_TOKENS}, e AS (SELECT doc_id, avg({_DIGIT.format(t='term', i=1)}) AS first, avg({_DIGIT.format(t='term', i=32)}) AS last, avg({_DIGIT.format(t="term || '#1'", i=1)}) AS other FROM tok GROUP BY 1)
+       f"""WITH {_TOKENS}, e AS (SELECT doc_id, {_bit(1, 0)} AS first, {_bit(1, 59)} AS last, {_bit(16, 0)} AS other FROM tok GROUP BY 1)
        SELECT d.doc_id, 64 AS dims, coalesce(first, 0) AS first, coalesce(last, 0) AS last, coalesce(other, 0) AS other FROM documents d LEFT JOIN e USING (doc_id)""")
 def t02(spark, d):
     out = vectors.embed(catalog.corpus(spark, d), id_col="doc_id", text="text")
     e = F.col("embedding")
-    return out.select("doc_id", F.size(e).alias("dims"), e[0].alias("first"), e[31].alias("last"), e[32].alias("other"))
+    return out.select("doc_id", F.size(e).alias("dims"), e[0].alias("first"), e[59].alias("last"), e[60].alias("other"))
 
 
 _KEYWORDS = f"""{_TOKENS}, tf_ AS (SELECT doc_id, term, count(*) AS tf FROM tok GROUP BY 1, 2), df_ AS (SELECT term, count(*) AS df FROM tf_ GROUP BY 1),
