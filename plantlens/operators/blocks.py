@@ -129,16 +129,20 @@ def nearest(
     )
 
 
-def attach(df: DataFrame, stats: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Put per-entity statistics beside every row.
+SMALL_SIDE = 50_000
 
-    Without keys the statistics are one row and become literals; with keys it is a join whose broadcast is
-    left to the optimiser, which checks the size.
+
+def attach(df: DataFrame, side: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Left join a side that is usually tiny (statistics per entity, one row per day) without moving ``df``.
+
+    The side is evaluated once behind a row limit. One row without keys becomes literals; up to SMALL_SIDE
+    rows are broadcast; a larger side is joined by shuffle, where adaptive execution splits skewed keys.
     """
-    keys = list(keys)
+    keys, spark = list(keys), df.sparkSession
     if keys:
-        return df.join(stats, keys, "left")
-    row = stats.first()
-    types = dict(stats.dtypes)
-    return df.withColumns({c: F.lit(row[c]).cast(types[c]) if row[c] is not None else F.lit(None).cast(types[c])
-                           for c in stats.columns})
+        rows = side.limit(SMALL_SIDE + 1).collect()
+        if len(rows) > SMALL_SIDE:
+            return df.join(side, keys, "left")
+        return df.join(F.broadcast(spark.createDataFrame(rows, side.schema)), keys, "left")
+    row, types = side.first(), dict(side.dtypes)
+    return df.withColumns({c: F.lit(row[c]).cast(types[c]) for c in side.columns})

@@ -7,6 +7,9 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from plantlens.operators.blocks import attach
+from plantlens.operators.stats import histogram
+
 
 def metrics(pred: DataFrame, *, y: str, yhat: str, by: Sequence[str] = ()) -> DataFrame:
     """mse, rmse, mae and r2 per group from one aggregation (total variation is n x population variance)."""
@@ -32,10 +35,10 @@ def ensemble(pred: DataFrame, *, keys: Sequence[str], weights: DataFrame | None
              yhat: str = "yhat") -> DataFrame:
     """Weighted mean of the models' predictions per row; equal weights when none are given.
 
-    ``weights`` has one row per model (a handful), so it is broadcast.
+    There is one weight per model, a handful of rows, so the predictions are not shuffled by model.
     """
     w = F.col("weight") if weights is not None else F.lit(1.0)
-    rows = pred.join(F.broadcast(weights.select(model, "weight")), model) if weights is not None else pred
+    rows = attach(pred, weights.select(model, "weight"), [model]) if weights is not None else pred
     return rows.groupBy(*keys).agg((F.sum(w * F.col(yhat)) / F.sum(w)).alias(yhat))
 
 
@@ -82,6 +85,4 @@ def improvement(before: DataFrame, after: DataFrame, on: Sequence[str]) -> DataF
 
 def residual_histogram(pred: DataFrame, *, y: str, yhat: str, bins: int = 30, by: Sequence[str] = ()) -> DataFrame:
     """Histogram of y - yhat, in the same layout as ``stats.histogram``."""
-    from plantlens.operators.stats import histogram
-
     return histogram(pred.select(*by, (F.col(y) - F.col(yhat)).alias("residual")), "residual", bins, by)

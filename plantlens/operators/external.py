@@ -67,4 +67,4 @@ def merge_by_date(
 def join_daily(df: DataFrame, ext: DataFrame, *, ts: str, date: str = "date") -> DataFrame:
     """Left join a series to daily rows on the calendar day; duplicate external days fan out."""
     day = ext.withColumn("_day", F.to_date(date)).drop(date)
-    return df.withColumn("_day", F.to_date(ts)).join(day, "_day", "left").drop("_day")
+    return blocks.attach(df.withColumn("_day", F.to_date(ts)), day, ["_day"]).drop("_day")

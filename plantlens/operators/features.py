@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from plantlens.functions import calendar, weather
 from plantlens.operators import blocks, external, quality, windows
 from plantlens.operators.windows import Feature
+from plantlens.session import staged
 
 # Column keywords that name a pollutant, and the fallback target names.
 POLLUTANT_KEYWORDS = ("so2", "nox", "soot", "二氧化硫", "氮氧化物", "烟尘")
@@ -57,8 +58,11 @@ def sliding(
     df: DataFrame, *, keys: Sequence[str], ts: str, targets: Sequence[str], windows_: Sequence[int] = (24, 48, 72),
     horizon: int = 24, step_seconds: int = 3600, null_policy: str = "auto", repair: bool = True,
 ) -> DataFrame:
-    """Sliding-window training rows: repair the grid, add features and targets, apply the null policy."""
-    series = quality.repair_irregular(df, keys, ts, targets, step_seconds) if repair else df
+    """Sliding-window training rows: repair the grid, add features and targets, apply the null policy.
+
+    Fills read their input twice, so the series is written once before and once after the repair.
+    """
+    series = staged(quality.repair_irregular(staged(df, "series"), keys, ts, targets, step_seconds), "repaired") if repair else df
     placed = blocks.slot_position(series, ts, step_seconds)
     padded = blocks.nearest(placed, keys, forward={f"_pad_{c}": F.col(c) for c in targets})
     feats = sliding_features(targets, windows_, horizon)
@@ -135,6 +139,7 @@ def history(
     out = windows.add(base, keys, feats)
     if fill == "none":
         return out
+    out = staged(out, "history")
     names = [c for c in out.columns if c not in {*keys, blocks.POS}]
     both = blocks.nearest(out, keys, forward={f"_f_{c}": F.col(c) for c in names}, backward={f"_b_{c}": F.col(c) for c in names})
     return both.select(*[F.coalesce(F.col(f"_b_{c}"), F.col(f"_f_{c}")).alias(c) if c in names else F.col(c) for c in out.columns])
@@ -142,10 +147,10 @@ def history(
 
 def all_features(df: DataFrame, *, keys: Sequence[str], ts: str, targets: Sequence[str]) -> DataFrame:
     """Calendar, environment, load and history features of a series with gaps."""
-    placed = blocks.row_position(calendar.add(df, ts, "C"), keys, ts)
+    placed = staged(blocks.row_position(calendar.add(df, ts, "C"), keys, ts), "placed")
     out = environment(placed, keys=keys)
     if "load" in df.columns:
-        out = load(out, keys=keys, ts=ts)
+        out = staged(load(out, keys=keys, ts=ts), "load")
     return history(out, keys=keys, targets=targets).drop(blocks.POS)
 
 
@@ -160,5 +165,5 @@ def build_training_set(
 
 def widen_sensors(history_rows: DataFrame, tags: DataFrame, *, ts: str, names: Sequence[str]) -> DataFrame:
     """Long sensor rows to one column per tag name, by plant and time."""
-    joined = history_rows.join(F.broadcast(tags), "tag")
+    joined = blocks.attach(history_rows, tags, ["tag"]).filter(F.col("name").isNotNull())
     return joined.groupBy("plant_id", ts).pivot("name", list(names)).agg(F.avg("value"))

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from plantlens.operators import blocks, quantiles, windows
+from plantlens.session import staged
 
 _NUMERIC = (T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.FloatType, T.DoubleType, T.DecimalType)
 
@@ -110,7 +111,8 @@ def clean_series(
     """Fill small gaps forward then backward, clip at three sigma, then put the series on its grid.
 
     A column of an entity is filled only if strictly less than ``max_missing`` of it is missing; bounds are
-    taken after the fill; gridding comes last, so gaps it opens stay null.
+    taken after the fill; gridding comes last, so gaps it opens stay null. The filled rows are written once,
+    because bounds, clipping and the grid all read them.
     """
     keys, cols = list(keys), list(cols)
     share = df.groupBy(*keys).agg(*[F.avg(F.col(c).isNull().cast("int")).alias(f"_m_{c}") for c in cols])
@@ -123,7 +125,7 @@ def clean_series(
         F.when(F.col(f"_m_{c}") < max_missing, F.coalesce(F.col(c), F.col(f"_f_{c}"), F.col(f"_b_{c}"))).otherwise(F.col(c)).alias(c)
         if c in cols else F.col(c) for c in df.columns
     ])
-    clipped = clip_sigma(filled, cols, keys, sigma)
+    clipped = clip_sigma(staged(filled, "filled"), cols, keys, sigma)
     return regular_grid(clipped, keys, ts, step_seconds) if grid else clipped
 
 

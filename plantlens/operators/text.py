@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from plantlens.functions import text as tf
-from plantlens.session import staged
+from plantlens.session import scratch_path, staged
 
 # Prompt texts of the pair builders.
 NL2SQL_INSTRUCTION = "根据以下数据库模式，将自然语言查询转换为SQL查询。\n\n数据库模式:\n{schema}\n\n自然语言查询: {question}"
@@ -158,14 +158,15 @@ def statement_is_valid(spark: SparkSession, sql: str) -> bool:
         return False
 
 
-MAX_STATEMENTS = 100_000
+STATEMENT_BATCH = 5_000
+VERDICT = "s string, ok boolean"
 
 
 def validate_corpus(df: DataFrame, *, response: str, fixed: str | None = None) -> DataFrame:
     """Extract SQL from answers and mark it valid; where it is not, retry the ``fixed`` column.
 
-    Each distinct statement is analysed once on the driver, so the number of distinct statements is checked
-    first. Text that is no SELECT or WITH statement is invalid without analysis.
+    Analysis needs the catalog, so each distinct statement visits the driver once, in batches; the verdicts
+    are kept as a table. Text that is no SELECT or WITH statement is invalid without analysis.
     """
     spark = df.sparkSession
     rows = df.withColumn("sql", tf.extract_sql(F.col(response)))
@@ -176,12 +177,19 @@ def validate_corpus(df: DataFrame, *, response: str, fixed: str | None = None) -
     for c in columns:
         part = rows.select(F.col(c).alias("s")).filter(F.col(c).rlike(r"(?is)^\s*(select|with)\s"))
         distinct = part if distinct is None else distinct.unionByName(part)
-    statements = [r["s"] for r in distinct.distinct().limit(MAX_STATEMENTS + 1).collect()]
-    if len(statements) > MAX_STATEMENTS:
-        raise ValueError(f"more than {MAX_STATEMENTS} distinct statements: validate in batches")
-    verdicts = spark.createDataFrame(
-        [(s, statement_is_valid(spark, s)) for s in statements] or [("", False)], "s string, ok boolean"
-    )
+    path = scratch_path(spark, "verdicts")
+
+    def record(batch: list[str]) -> None:
+        spark.createDataFrame([(x, statement_is_valid(spark, x)) for x in batch], VERDICT).write.mode("append").parquet(path)
+
+    batch: list[str] = []
+    for r in distinct.distinct().toLocalIterator():
+        batch.append(r["s"])
+        if len(batch) == STATEMENT_BATCH:
+            record(batch)
+            batch = []
+    record(batch)
+    verdicts = spark.read.schema(VERDICT).parquet(path)
 
     def checked(frame: DataFrame, column: str, out: str) -> DataFrame:
         v = verdicts.select(F.col("s").alias(column), F.col("ok").alias(out))

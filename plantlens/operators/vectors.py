@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Iterable, Iterator, Sequence
+from itertools import islice
 
 import numpy as np
 import pandas as pd
@@ -46,37 +47,53 @@ def centroids(df: DataFrame, label: str, embedding: str) -> DataFrame:
         label, F.col("_a.x").alias("centroid"))
 
 
-MAX_CATEGORIES = 10_000
+CATEGORY_BLOCK = 4096
 
 
-def classify(df: DataFrame, categories: DataFrame, *, embedding: str, label: str, vector: str, out: str = "category") -> DataFrame:
-    """Nearest category by cosine (smallest label on ties); rows without a vector get ''.
+def _blocks(rows: Iterable, size: int) -> Iterator[list]:
+    it = iter(rows)
+    while block := list(islice(it, size)):
+        yield block
 
-    The category list is checked to be small, then travels as one literal array: no join and no pairs.
-    """
-    rows = categories.select(label, vector).orderBy(label).limit(MAX_CATEGORIES + 1).collect()
-    if len(rows) > MAX_CATEGORIES:
-        raise ValueError("too many categories for a literal list")
-    names = [str(r[0]) for r in rows]
-    matrix = np.array([r[1] for r in rows], dtype=float)
-    norm = np.linalg.norm(matrix, axis=1, keepdims=True)
-    matrix = np.divide(matrix, norm, out=np.zeros_like(matrix), where=norm > 0)
-
-    @F.pandas_udf("category string, similarity double")
-    def nearest(vectors: pd.Series) -> pd.DataFrame:
-        x = np.stack([np.asarray(v, dtype=float) for v in vectors])
-        length = np.linalg.norm(x, axis=1, keepdims=True)
-        x = np.divide(x, length, out=np.zeros_like(x), where=length > 0)
+
+def _nearest(names: list[str], matrix: np.ndarray):
+    """A column function: the best of one block of categories for each vector."""
+    @F.pandas_udf("category string, similarity double, blank boolean")
+    def nearest(rows: pd.Series) -> pd.DataFrame:
+        x = _unit(np.stack([np.asarray(v, dtype=float) for v in rows]))
         sims = np.round(x @ matrix.T, 12)
         best = sims.argmax(axis=1)
-        blank = length[:, 0] == 0
-        return pd.DataFrame({
-            "category": np.where(blank, "", np.array(names, dtype=object)[best]),
-            "similarity": np.where(blank, 0.0, sims[np.arange(len(best)), best]),
-        })
+        return pd.DataFrame({"category": np.array(names, dtype=object)[best], "similarity": sims[np.arange(len(best)), best],
+                             "blank": ~x.any(axis=1)})
+
+    return nearest
+
+
+def _unit(x: np.ndarray) -> np.ndarray:
+    norm = np.linalg.norm(x, axis=1, keepdims=True)
+    return np.divide(x, norm, out=np.zeros_like(x), where=norm > 0)
 
-    return df.withColumn("_n", nearest(F.col(embedding))).select(
-        "*", F.col("_n.category").alias(out), F.col("_n.similarity").alias("similarity")).drop("_n")
+
+def classify(df: DataFrame, categories: DataFrame, *, embedding: str, label: str, vector: str, out: str = "category") -> DataFrame:
+    """Nearest category by cosine (smallest label on ties); rows without a vector get ''.
+
+    Categories travel to the tasks in blocks of at most CATEGORY_BLOCK as one matrix per block, and only the
+    best of each block is kept: no join, no row-by-category pairs.
+    """
+    rows, block_names = df, []
+    for i, block in enumerate(_blocks(categories.select(label, vector).orderBy(label).toLocalIterator(), CATEGORY_BLOCK)):
+        matrix = _unit(np.array([r[1] for r in block], dtype=float))
+        rows = rows.withColumn(f"_n{i}", _nearest([str(r[0]) for r in block], matrix)(F.col(embedding)))
+        block_names.append(f"_n{i}")
+    if not block_names:
+        return df.withColumns({out: F.lit(""), "similarity": F.lit(0.0)})
+    best = F.col(block_names[0])
+    for n in block_names[1:]:
+        best = F.when(F.col(f"{n}.similarity") > best["similarity"], F.col(n)).otherwise(best)
+    blank = best["blank"]
+    return rows.withColumns({
+        out: F.when(blank, "").otherwise(best["category"]), "similarity": F.when(blank, 0.0).otherwise(best["similarity"]),
+    }).drop(*block_names)
 
 
 def build_index(df: DataFrame, *, id_col: str, embedding: str, text: str | None = None, metadata: Sequence[str] = ()) -> DataFrame:
@@ -118,18 +135,10 @@ def search(queries: DataFrame, index: DataFrame, *, k: int = 5, query_id: str =
     task keeps only its own k best rows per query, so no query-by-row pairs are written or shuffled.
     """
     vectors = queries.select(query_id, tf.unit_vector(F.col(embedding)).alias("v")).orderBy(query_id)
-    found, block = None, []
     schema = f"query_id {dict(queries.dtypes)[query_id]}, id {dict(index.dtypes)['id']}, similarity double"
-
-    def scan(rows: list[tuple]) -> DataFrame:
-        return index.select("id", "embedding").mapInPandas(_local_top(rows, k), schema)
-
-    for row in vectors.toLocalIterator():
-        block.append((row[0], row[1]))
-        if len(block) == QUERY_BLOCK:
-            found, block = (scan(block) if found is None else found.unionByName(scan(block))), []
-    if block or found is None:
-        part = scan(block) if block else index.sparkSession.createDataFrame([], schema)
-        found = part if found is None else found.unionByName(part)
+    found = index.sparkSession.createDataFrame([], schema)
+    for block in _blocks(vectors.toLocalIterator(), QUERY_BLOCK):
+        rows = [(r[0], r[1]) for r in block]
+        found = found.unionByName(index.select("id", "embedding").mapInPandas(_local_top(rows, k), schema))
     w = Window.partitionBy("query_id").orderBy(F.desc("similarity"), "id")
     return found.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)

@@ -64,13 +64,13 @@ def lowest_intensity(facts, units, plants, k: int = 3) -> DataFrame:
 
 
 def units_of_area(units: DataFrame, plants: DataFrame, areas: DataFrame, *, parent: str | None = None, area: str | None = None) -> DataFrame:
-    """Units of one area or of the children of one parent; the area table is a fixed small dimension."""
+    """Units of one area or of the children of one parent. The optimiser checks the sizes of the dimensions."""
     picked = areas
     if parent is not None:
         picked = picked.filter(F.col("parent_code") == parent)
     if area is not None:
         picked = picked.filter(F.col("area_name") == area)
-    return units.join(F.broadcast(plants.join(picked, "area_code")), "plant_id")
+    return units.join(plants.join(picked, "area_code"), "plant_id")
 
 
 def monthly_trend(facts: DataFrame, units: DataFrame) -> DataFrame:

@@ -86,12 +86,12 @@ def q06(spark, d):
 
 @query("Q07_plants_of_area", "i:plant_id s:plant_name", f"WITH {PLANT}, {AREA} SELECT plant_id, plant_name FROM plant JOIN area USING (area_code) WHERE parent_code = 'R2'")
 def q07(spark, d):
-    return catalog.plants(spark, d).join(F.broadcast(catalog.areas(spark, d).filter("parent_code = 'R2'")), "area_code")
+    return catalog.plants(spark, d).join(catalog.areas(spark, d).filter("parent_code = 'R2'"), "area_code")
 
 
 @query("Q08_active_units", "s:plant_name,unit_name,unit_type", f"WITH {UNIT}, {PLANT} SELECT plant_name, unit_name, unit_type FROM unit JOIN plant USING (plant_id) WHERE active_flag = 1")
 def q08(spark, d):
-    return catalog.units(spark, d).filter("active_flag = 1").join(F.broadcast(catalog.plants(spark, d)), "plant_id")
+    return catalog.units(spark, d).filter("active_flag = 1").join(catalog.plants(spark, d), "plant_id")
 
 
 @query("Q09_average_with_limit_line", "s:pollutant t:bucket f:average,limit i:n",

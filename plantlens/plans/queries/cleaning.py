@@ -124,7 +124,7 @@ _WEATHER = """weather AS (SELECT CAST(o_orderdate AS DATE) AS date, r_name AS ci
 
 def _external(spark, d):
     orders, customer = catalog.table(spark, d, "orders"), catalog.table(spark, d, "customer")
-    place = F.broadcast(catalog.table(spark, d, "nation").join(F.broadcast(catalog.table(spark, d, "region")), F.expr("n_regionkey = r_regionkey")).select("n_nationkey", F.col("r_name").alias("city")))
+    place = catalog.table(spark, d, "nation").join(catalog.table(spark, d, "region"), F.expr("n_regionkey = r_regionkey")).select("n_nationkey", F.col("r_name").alias("city"))
     day = F.to_date("o_orderdate").alias("date")
     home = customer.select(F.col("c_custkey").alias("o_custkey"), "c_nationkey", "c_acctbal")
     weather = orders.join(home, "o_custkey").join(place, F.expr("c_nationkey = n_nationkey")).groupBy(day, "city").agg(

@@ -24,7 +24,7 @@ def _facts(spark, d, **kw):
 
 @query("P01_projection", "s:plant,unit f2:capacity", f"WITH {UNIT}, {PLANT} SELECT plant_name AS plant, unit_name AS unit, rating AS capacity FROM unit JOIN plant USING (plant_id)")
 def p01(spark, d):
-    return catalog.units(spark, d).join(F.broadcast(catalog.plants(spark, d)), "plant_id").select(
+    return catalog.units(spark, d).join(catalog.plants(spark, d), "plant_id").select(
         F.col("plant_name").alias("plant"), F.col("unit_name").alias("unit"), F.col("rating").alias("capacity"))
 
 
@@ -117,7 +117,7 @@ def p13(spark, d):
 
 @query("J01_plant_unit_fact", "s:plant_name,unit_name t:ts f:so2", f"WITH {STAR} SELECT plant_name, unit_name, ts, so2 FROM plant JOIN unit USING (plant_id) JOIN fact USING (unit_id)")
 def j01(spark, d):
-    return business.with_unit(catalog.so2_facts(spark, d), catalog.units(spark, d), F.broadcast(catalog.plants(spark, d)))
+    return business.with_unit(catalog.so2_facts(spark, d), catalog.units(spark, d), catalog.plants(spark, d))
 
 
 @query("J02_fact_to_fact", "i:unit_id t:ts f:so2,nox,soot", f"WITH {FACT} SELECT a.unit_id, a.ts, a.so2, b.nox, c.soot FROM fact a JOIN fact b ON a.unit_id = b.unit_id AND a.ts = b.ts JOIN fact c ON a.unit_id = c.unit_id AND a.ts = c.ts")
@@ -183,7 +183,7 @@ def j08(spark, d):
        f"WITH {STAR} SELECT plant_name, unit_name, sum(kwh) AS kwh, avg(so2) AS so2 FROM fact JOIN unit USING (unit_id) JOIN plant USING (plant_id) GROUP BY 1, 2")
 def a01(spark, d):
     sums = catalog.readings(spark, d).groupBy("unit_id").agg(F.sum("kwh").alias("kwh"), F.avg("so2").alias("so2"))
-    return business.with_unit(sums, catalog.units(spark, d), F.broadcast(catalog.plants(spark, d)))
+    return business.with_unit(sums, catalog.units(spark, d), catalog.plants(spark, d))
 
 
 @query("A02_monthly_average", "i:month f:so2,nox,soot", f"WITH {FACT} SELECT month(ts) AS month, avg(so2) AS so2, avg(nox) AS nox, avg(soot) AS soot FROM fact WHERE year(ts) = {YEAR} GROUP BY 1")

@@ -8,18 +8,24 @@ from plantlens.functions import calendar
 from plantlens.operators import blocks, features, quality, spectrum, stats, windows
 from plantlens.plans import catalog
 from plantlens.plans.queries.base import GRID, HOURLY, ROWS, query
+from plantlens.session import staged
 
 KEY = ["unit"]
 
 
+def _hourly(spark, d):
+    """The hourly series, aggregated from the readings once and kept as a table."""
+    return staged(catalog.hourly(spark, d), "hourly")
+
+
 def _rows(spark, d):
     """Hourly series with their exact row positions."""
-    return blocks.row_position(catalog.hourly(spark, d), KEY, "ts")
+    return blocks.row_position(_hourly(spark, d), KEY, "ts")
 
 
 def _grid(spark, d):
     """Hourly series on a gap-free grid; missing hours are null rows."""
-    return blocks.slot_position(quality.regular_grid(catalog.hourly(spark, d), KEY, "ts"), "ts")
+    return blocks.slot_position(quality.regular_grid(_hourly(spark, d), KEY, "ts"), "ts")
 
 
 def _filled(spark, d):
@@ -113,14 +119,14 @@ _LEVEL = "greatest(0, CAST(ceil(4.0::DOUBLE * (r - 1) / (size - 1)) AS BIGINT) -
 @query("W11_quartile_level", "s:unit t:ts i:level",
        f"WITH {HOURLY}, k AS (SELECT unit, ts, row_number() OVER (PARTITION BY unit ORDER BY load, ts) AS r, count(*) OVER (PARTITION BY unit) AS size FROM hourly) SELECT unit, ts, {_LEVEL} AS level FROM k")
 def w11(spark, d):
-    return windows.quartile_level(catalog.hourly(spark, d), KEY, "load", "ts", "level")
+    return windows.quartile_level(_hourly(spark, d), KEY, "load", "ts", "level")
 
 
 @query("W13_gap_profile", "s:unit i:distinct_gaps,modal_gap",
        f"""WITH {HOURLY}, g AS (SELECT unit, epoch(ts - lag(ts) OVER w)::BIGINT AS gap FROM hourly {_W}), c AS (SELECT unit, gap, count(*) AS n FROM g WHERE gap IS NOT NULL GROUP BY 1, 2)
        SELECT unit, count(*) AS distinct_gaps, arg_min(gap, (-n) * 1000000000 + gap) AS modal_gap FROM c GROUP BY 1""")
 def w13(spark, d):
-    return windows.gap_profile(blocks.slot_position(catalog.hourly(spark, d), "ts"), KEY, "ts")
+    return windows.gap_profile(blocks.slot_position(_hourly(spark, d), "ts"), KEY, "ts")
 
 
 INTERP = """fill_ AS (SELECT unit, ts, {c}, last_value(CASE WHEN {c} IS NOT NULL THEN epoch(ts) END IGNORE NULLS) OVER b AS pt, last_value({c} IGNORE NULLS) OVER b AS pv,
@@ -176,7 +182,7 @@ def e04(spark, d):
        m AS (SELECT unit, n, bin, sqrt(pow(sum(value * cos(2 * pi() * ((bin * t) % n) / n)), 2) + pow(sum(value * sin(2 * pi() * ((bin * t) % n) / n)), 2)) AS magnitude FROM x JOIN k USING (unit, n) GROUP BY 1, 2, 3)
        SELECT unit, 'value' AS col, n, bin, magnitude, rank FROM (SELECT *, row_number() OVER (PARTITION BY unit ORDER BY magnitude DESC, bin) AS rank FROM m) WHERE rank <= 5""")
 def e05(spark, d):
-    return spectrum.top_frequencies(_filled(spark, d), keys=KEY, ts="ts", cols=["value"])
+    return spectrum.top_frequencies(staged(_filled(spark, d), "filled"), keys=KEY, ts="ts", cols=["value"])
 
 
 # ---- composite feature sets ----
@@ -247,7 +253,7 @@ _LOAD = f"""lev AS (SELECT unit, ts, {_LEVEL} AS load_level FROM (SELECT unit, t
 
 @query("E10_load_features", "s:unit t:ts f:load_gradient,load_squared,load_ema i:load_level", f"WITH {HOURLY}, {ROWS}, {_LOAD} SELECT * FROM grad JOIN ema USING (unit, ts) JOIN lev USING (unit, ts)")
 def e10(spark, d):
-    return features.load(_rows(spark, d), keys=KEY, ts="ts")
+    return features.load(staged(_rows(spark, d), "rows"), keys=KEY, ts="ts")
 
 
 @query("F07_load_expressions", "s:unit t:ts f:load_squared,load_gradient,pressure_change",
