@@ -36,6 +36,15 @@ def floor_div(a: Column, size: int) -> Column:
     return ((a - F.pmod(a, F.lit(size))) / F.lit(size)).cast("long")
 
 
+def by_block(df: DataFrame, keys: Sequence[str], *block: str) -> DataFrame:
+    """Distribute rows by entity and block.
+
+    Said explicitly because a frame already distributed by entity alone (after a join on it) would satisfy a
+    window over entity and block, and leave a hot entity in one task.
+    """
+    return df.repartition(*keys, *block)
+
+
 def slot_position(df: DataFrame, ts: str, step_seconds: int = 3600) -> DataFrame:
     """Position on a regular grid: consecutive rows of a gridded series get consecutive numbers."""
     return df.withColumn(POS, floor_div(epoch(ts), step_seconds))
@@ -50,12 +59,13 @@ def row_position(df: DataFrame, keys: Sequence[str], ts: str, step_seconds: int
     """
     keys = list(keys)
     blocked = df.withColumn("_tb", floor_div(epoch(ts), step_seconds * BLOCK_ROWS))
+    spread = by_block(blocked, keys, "_tb")
     counts = blocked.groupBy(*keys, "_tb").agg(F.count("*").alias("_n"))
     before = Window.partitionBy(*keys).orderBy("_tb").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select(*keys, "_tb", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_off"))
     rn = F.row_number().over(Window.partitionBy(*keys, "_tb").orderBy(ts))
     return (
-        blocked.withColumn("_rn", rn)
+        spread.withColumn("_rn", rn)
         .join(offsets, [*keys, "_tb"], "left")
         .select(*df.columns, (F.col("_off") + F.col("_rn") - 1).alias(POS))
     )
@@ -85,7 +95,7 @@ def over_blocks(
         "*", home.alias("_home"), F.explode(F.array_compact(F.array(*copies))).alias("_block")
     )
     # offset from the block start, negative in the leading halo; features may use it as a local clock
-    spread = spread.withColumn(REL, F.col(pos) - F.col("_block") * size)
+    spread = by_block(spread.withColumn(REL, F.col(pos) - F.col("_block") * size), keys, "_block")
     w = Window.partitionBy(*keys, "_block").orderBy(pos)
     return spread.select(*df.columns, *build(w), "_home", "_block").filter("_home = _block").drop("_home", "_block")
 
@@ -121,7 +131,7 @@ def nearest(
         return pick(f"_v_{n}", ignorenulls=True).over(outer if far else inner).alias(f"{'_c' if far else '_n'}_{n}")
 
     carry = summary.select(*keys, "_block", *[picked(n, ahead, True) for n, _, ahead in wanted])
-    near = base.select("*", *[picked(n, ahead, False) for n, _, ahead in wanted])
+    near = by_block(base, keys, "_block").select("*", *[picked(n, ahead, False) for n, _, ahead in wanted])
     names = [n for n, _, _ in wanted]
     return near.join(carry, [*keys, "_block"], "left").select(
         *[c for c in df.columns if c not in names],

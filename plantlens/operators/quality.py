@@ -82,7 +82,7 @@ def regular_grid(df: DataFrame, keys: Sequence[str], ts: str, step_seconds: int
         F.min(blocks.epoch(ts)).alias("_a"), F.max(blocks.epoch(ts)).alias("_b"), F.max(step).alias("_step")
     )
     length = F.lit(blocks.BLOCK_ROWS) * F.col("_step")
-    starts = span.select("*", F.explode(F.sequence("_a", "_b", length)).alias("_s"))
+    starts = blocks.by_block(span.select("*", F.explode(F.sequence("_a", "_b", length)).alias("_s")), keys, "_s")
     stamps = starts.select(
         *keys,
         F.explode(F.sequence(F.col("_s"), F.least(F.col("_b"), F.col("_s") + length - F.col("_step")), F.col("_step"))).alias("_t"),

@@ -170,7 +170,7 @@ def value_rank(df: DataFrame, keys: Sequence[str], col: str, ts: str) -> DataFra
     starts = counts.select(*part, F.coalesce(F.sum("_n").over(order), F.lit(0)).alias("_start"))
     rn = F.row_number().over(Window.partitionBy(*part).orderBy(col, ts))
     return (
-        sliced.withColumn("_rn", rn).join(starts, part, "left")
+        blocks.by_block(sliced, keys, "_slice", "_sub").withColumn("_rn", rn).join(starts, part, "left")
         .select(*df.columns, (F.col("_start") + F.col("_rn")).alias("_rank"), "_size")
     )
 
