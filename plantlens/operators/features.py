@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from plantlens.functions import calendar, weather
@@ -73,10 +73,12 @@ def sliding(
 def drop_incomplete(df: DataFrame, created: Sequence[str], policy: str = "auto") -> DataFrame:
     """Keep complete rows; if fewer than five of more than five remain, keep rows with targets and mean-fill.
 
-    'auto' costs one counting action; 'drop' and 'fill' skip it.
+    'auto' has to count first, so it writes the rows once and reads them back; 'drop' skips that.
     """
     if policy == "keep":
         return df
+    if policy in ("auto", "fill"):
+        df = staged(df, "features")
     if policy == "auto":
         complete = None
         for c in df.columns:
