@@ -111,7 +111,7 @@ def targets(sizes: DataFrame, total_share: float = 1.5, cap: float = 2.0, weight
 
 def copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", total_share: float = 1.5,
            cap: float = 2.0, weights: tuple[float, ...] = (5.0, 2.0, 1.0), seed: int = 42) -> DataFrame:
-    """(uid, id, source, size, source_size, target, times): how often the mix takes each row; uid is one per row.
+    """(uid, id, draw, source, size, source_size, target, times): how often the mix takes each row; uid is one per row.
 
     Sizes are word counts, zero for null and blank texts. A row is taken ``times`` times, its whole part of target
     over source size or one more. Rows with null or repeated ids are rows of their own. Draws come from hashes of id
@@ -150,12 +150,12 @@ def copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sour
     else:
         more = placed.join(settled.withColumn("extra", F.lit(1)), placed["uid"] == F.col("u"), "left")
     times = F.when(F.col("size") > 0, F.col("sure") + F.coalesce("extra", F.lit(0))).otherwise(0).cast("long")
-    return more.select("uid", "id", "source", "size", "source_size", "target", times.alias("times"))
+    return more.select("uid", "id", "draw", "source", "size", "source_size", "target", times.alias("times"))
 
 
-def mixed(docs: DataFrame, **options) -> DataFrame:
-    """The rows the mix takes, repeated as often as it takes them, with their columns."""
-    id_col = options.get("id_col", "doc_id")
-    taken = copies(docs, **options).where("times > 0").groupBy(F.col("id").alias("__id")).agg(F.max("times").alias("__times"))
-    out = docs.join(taken, docs[id_col].cast("long").eqNullSafe(taken["__id"]))
-    return out.select(*[docs[c] for c in docs.columns], F.explode(F.sequence(F.lit(1), F.col("__times"))).alias("__n")).drop("__n")
+def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", seed: int = 42, **options) -> DataFrame:
+    """The rows the mix takes, with their columns and ``times``, how often it takes them (of equal rows, at most)."""
+    draw = F.xxhash64(F.lit(seed), F.col(id_col).cast("long"), F.col(text_col).cast("string"))
+    taken = copies(docs, id_col=id_col, text_col=text_col, seed=seed, **options).where("times > 0").groupBy(F.col("draw").alias("__draw")).agg(F.max("times").alias("__times"))
+    out = docs.join(taken.hint("shuffle_hash"), draw == F.col("__draw"))
+    return out.select(*[docs[c] for c in docs.columns], F.col("__times").alias("times"))

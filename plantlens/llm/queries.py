@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plantlens.llm import chunks, html, mixing, pii, ppm, quality, simhash, tokens, warc
+from plantlens.llm import chunks, html, leaks, mixing, pii, ppm, quality, simhash, tokens, warc
 from plantlens.llm.common import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -107,3 +107,10 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = pii.spans(docs, pii.fit(docs))
     counts = [pii.n_of(F.col("base"), k).alias(f"n_{k}") for k in pii.BASE]
     return found.select("doc_id", *counts, F.sha2(pii.listed(F.col("base")), 256).alias("base_sha256"), pii.listed(F.col("spans")).alias("spans"))
+
+
+@query("op4_decontamination")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document and benchmark item that it holds a passage of, with the shares of item and answer found."""
+    found = leaks.leaks(read(spark, sf_dir, "documents").select("doc_id", "text"), read(spark, sf_dir, "benchmark"))
+    return found.select(F.col("id").alias("doc_id"), F.col("item").alias("item_id"), "covered", "answered")

@@ -103,3 +103,90 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sh
     """The rows of ``docs`` whose id is the smallest of its component; of repeated ids all rows stay."""
     first = near_duplicates(docs, id_col, text_col, shingle, bits).where("id = component").select(F.col("id").alias("__kept")).distinct()
     return docs.join(first, docs[id_col].cast("long") == first["__kept"], "left_semi")
+
+
+# Links by similarity. Copies with edits in every tenth place differ in too many bits of 64 for pigeonholes, so
+# candidates meet in prints of the word set, which edits move least, and longer prints of the shingles judge them.
+
+WORD_LANES, LANES = 2, 8
+SEGMENT, SEGMENTS = 24, 4
+_GOLDEN = 0x9E3779B97F4A7C15
+
+
+def _lane(h: np.ndarray, lane: int) -> np.ndarray:
+    """Another 64 bits from each hash."""
+    if lane == 0:
+        return h
+    z = h + np.uint64(lane * _GOLDEN % 2**64)
+    z = (z ^ z >> np.uint64(30)) * np.uint64(0xBF58476D1CE4E5B9)
+    z = (z ^ z >> np.uint64(27)) * np.uint64(0x94D049BB133111EB)
+    return z ^ z >> np.uint64(31)
+
+
+def _majority(h: np.ndarray, lanes: int) -> np.ndarray:
+    ones = np.zeros((lanes, 64), np.int64)
+    for start in range(0, len(h), BLOCK):
+        for lane in range(lanes):
+            x = _lane(h[start : start + BLOCK], lane).astype("<u8").view(np.uint8).reshape(-1, 8)
+            ones[lane] += np.unpackbits(x, axis=1, bitorder="little").sum(0, dtype=np.int64)
+    return np.packbits(2 * ones > len(h), axis=1, bitorder="little").view("<u8").ravel()
+
+
+def long_print(text: str | None, shingle: int = 5) -> np.ndarray:
+    """128 bits of the set of words, then 512 of the word shingles, as ten unsigned numbers; all 0 without words."""
+    words = split_words(text)
+    if not words:
+        return np.zeros(WORD_LANES + LANES, np.uint64)
+    each = np.array([xxhash.xxh64_intdigest(w, SEED) for w in set(words)], np.uint64)
+    cuts = map(b" ".join, zip(*[words[i:] for i in range(shingle)])) if len(words) >= shingle else [b" ".join(words)]
+    shingles = np.array([xxhash.xxh64_intdigest(s, SEED) for s in cuts], np.uint64)
+    return np.concatenate([_majority(each, WORD_LANES), _majority(shingles, LANES)])
+
+
+def similar_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8) -> DataFrame:
+    """(id, component) of every row, linked where the shingles' similarity, as their prints estimate it, is enough.
+
+    The angle between prints estimates the cosine c of the shingle counts, and c / (2 - c) the Jaccard similarity.
+    The word-set print is cut into four segments of 24 bits with deletion variants; of the rows under one key each is
+    compared with the first, so a group of any size costs its number of rows times the keys, and rows that miss one
+    representative meet others under their other keys. Equal prints are one node. Null and empty texts are alike.
+    """
+    total = WORD_LANES + LANES
+    names = [f"p{i}" for i in range(total)]
+
+    def prints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = np.array([long_print(t.as_py(), shingle) for t in batch.column(1)], np.uint64).reshape(-1, total).view(np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(out[:, i].copy()) for i in range(total)]], names=["id", *names])
+
+    two = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
+    all_ = staged(two.mapInArrow(prints, ", ".join(["id long", *[f"{n} long" for n in names]])), "long-prints")
+    firsts = staged(all_.groupBy(*names).agg(F.min("id").alias("id")), "first-prints")
+    nodes = firsts.where("id is not null")
+    mask = (1 << SEGMENT) - 1
+    keys = []
+    for s in range(SEGMENTS):
+        lane, shift = divmod(s, 2)
+        segment = F.shiftrightunsigned(F.col(names[lane]), shift * SEGMENT).bitwiseAND(F.lit(mask))
+        keys += [segment.bitwiseAND(F.lit(mask & ~(1 << i))).bitwiseOR(F.lit((s * SEGMENT + i) << SEGMENT)) for i in range(SEGMENT)]
+    keyed = nodes.select("id", F.explode(F.array(*keys)).alias("key"))
+    heads = keyed.groupBy("key").agg(F.min("id").alias("head"), F.count("*").alias("n")).where("n > 1").drop("n")
+    pairs = keyed.join(heads, "key").where("id <> head").select("id", "head").distinct()
+    shingle_bits = [F.col(n) for n in names[WORD_LANES:]]
+    mine = nodes.select("id", F.array(*shingle_bits).alias("a"))
+    other = nodes.select(F.col("id").alias("head"), F.array(*shingle_bits).alias("b"))
+    differs = F.aggregate(F.zip_with("a", "b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
+    cosine = F.cos(differs * float(np.pi / (64 * LANES)))
+    near = pairs.join(mine, "id").join(other, "head").where(cosine >= 2 * similarity / (1 + similarity)).select("id", "head")
+    roots = components(near)
+    classes = firsts.join(roots, firsts["id"] == roots["node"], "left").select(*[F.col(n).alias(f"c_{n}") for n in names], F.coalesce("root", "id").alias("component"))
+    same = F.lit(True)
+    for n in names:
+        same = same & (F.col(n) == F.col(f"c_{n}"))
+    return all_.join(classes, same, "left").select("id", "component")
+
+
+def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """The rows of ``docs`` with the smallest id of their class of similar texts; of repeated ids all rows stay."""
+    first = staged(similar_classes(docs, id_col, text_col, **options).where("id = component").select(F.col("id").alias("__kept")).distinct(), "kept")
+    return docs.join(first.hint("shuffle_hash"), docs[id_col].cast("long") == first["__kept"], "left_semi")
