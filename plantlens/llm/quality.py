@@ -94,8 +94,10 @@ def assess(docs: DataFrame, text_col: str = "text", max_loss: float = 0.5) -> Da
 
 def cleaned(docs: DataFrame, text_col: str = "text", max_loss: float = 0.5) -> DataFrame:
     """The kept rows with their cleaned text, columns as before."""
-    kept = assess(docs, text_col, max_loss).where("quality.kept")
-    return kept.select(*[F.col("quality.clean").alias(c) if c == text_col else F.col(f"`{c}`") for c in docs.columns])
+    # A plain filter would be pushed below the steps that build the verdict and repeat them inside each other.
+    judged = assess(docs, text_col, max_loss)
+    kept = judged.select(*[F.col(f"`{c}`") for c in docs.columns], F.explode_outer(F.filter(F.array("quality"), lambda q: q["kept"])).alias("__kept")).where("__kept is not null")
+    return kept.select(*[F.col("__kept.clean").alias(c) if c == text_col else F.col(f"`{c}`") for c in docs.columns])
 
 
 def recounted(docs: DataFrame, text_col: str = "text", count_col: str = "n_chars") -> DataFrame:
