@@ -116,5 +116,5 @@ def cosine(a: Column, b: Column) -> Column:
 
 def unit_vector(a: Column) -> Column:
     """The array scaled to length one; a zero vector stays zero."""
-    norm = F.sqrt(dot(a, a))
-    return F.transform(a, lambda x: F.when(norm > 0, x.cast("double") / norm).otherwise(F.lit(0.0)))
+    norm = F.array(F.sqrt(dot(a, a)))  # bound once by the outer function, not summed anew for every element
+    return F.get(F.transform(norm, lambda n: F.transform(a, lambda x: F.when(n > 0, x.cast("double") / n).otherwise(F.lit(0.0)))), F.lit(0))
