@@ -147,9 +147,11 @@ def similar_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """(id, component) of every row, linked where the shingles' similarity, as their prints estimate it, is enough.
 
     The angle between prints estimates the cosine c of the shingle counts, and c / (2 - c) the Jaccard similarity.
-    The word-set print is cut into four segments of 24 bits with deletion variants; of the rows under one key each is
-    compared with the first, so a group of any size costs its number of rows times the keys, and rows that miss one
-    representative meet others under their other keys. Equal prints are one node. Null and empty texts are alike.
+    The word-set print is cut into four segments of 24 bits with deletion variants. Under one key each row is first
+    compared with the row of the smallest id, which joins most of a large group at a cost of its number of rows. Rows
+    under one key that are still in different classes are then compared with each other in the condition of an equality
+    join, so no link between two rows that share a key is lost and only links between classes come out. Equal prints
+    are one node. Null and empty texts are alike.
     """
     total = WORD_LANES + LANES
     names = [f"p{i}" for i in range(total)]
@@ -171,14 +173,22 @@ def similar_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         keys += [segment.bitwiseAND(F.lit(mask & ~(1 << i))).bitwiseOR(F.lit((s * SEGMENT + i) << SEGMENT)) for i in range(SEGMENT)]
     keyed = nodes.select("id", F.explode(F.array(*keys)).alias("key"))
     heads = keyed.groupBy("key").agg(F.min("id").alias("head"), F.count("*").alias("n")).where("n > 1").drop("n")
-    pairs = keyed.join(heads, "key").where("id <> head").select("id", "head").distinct()
-    shingle_bits = [F.col(n) for n in names[WORD_LANES:]]
-    mine = nodes.select("id", F.array(*shingle_bits).alias("a"))
-    other = nodes.select(F.col("id").alias("head"), F.array(*shingle_bits).alias("b"))
+    met = staged(keyed.join(heads, "key"), "met")
+    prints_of = nodes.select("id", F.array(*[F.col(n) for n in names[WORD_LANES:]]).alias("bits"))
+    mine = prints_of.select("id", F.col("bits").alias("a"))
+    other = prints_of.select(F.col("id").alias("head"), F.col("bits").alias("b"))
     differs = F.aggregate(F.zip_with("a", "b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
-    cosine = F.cos(differs * float(np.pi / (64 * LANES)))
-    near = pairs.join(mine, "id").join(other, "head").where(cosine >= 2 * similarity / (1 + similarity)).select("id", "head")
+    alike = F.cos(differs * float(np.pi / (64 * LANES))) >= 2 * similarity / (1 + similarity)
+    pairs = met.where("id <> head").select("id", "head").distinct()
+    near = staged(pairs.join(mine, "id").join(other, "head").where(alike).select("id", "head"), "near")
     roots = components(near)
+    placed = staged(met.join(roots, met["id"] == roots["node"], "left").select("key", "id", F.coalesce("root", "id").alias("class")), "placed")
+    mixed = placed.groupBy("key").agg(F.min("class").alias("low"), F.max("class").alias("high")).where("low < high").select("key")
+    crowd = staged(placed.join(mixed, "key", "left_semi").join(prints_of, "id"), "crowd")
+    one = crowd.select("key", "id", F.col("class").alias("c"), F.col("bits").alias("a"))
+    two = crowd.select(F.col("key").alias("key2"), F.col("id").alias("head"), F.col("class").alias("d"), F.col("bits").alias("b"))
+    late = one.join(two, (F.col("key") == F.col("key2")) & (F.col("c") < F.col("d")) & alike).select("id", "head").distinct()
+    roots = components(near.union(late))
     classes = firsts.join(roots, firsts["id"] == roots["node"], "left").select(*[F.col(n).alias(f"c_{n}") for n in names], F.coalesce("root", "id").alias("component"))
     same = F.lit(True)
     for n in names:

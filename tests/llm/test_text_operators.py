@@ -82,6 +82,34 @@ def test_similar_classes(docs, empty):
     assert simhash.keep_first(empty).count() == 0
 
 
+def test_similar_classes_keep_links_that_miss_the_first_row(spark):
+    r = random.Random(5)
+    texts = []
+    for family in range(12):
+        base = prose(100 + family, 120).split()
+        for step in range(14):  # each differs a little more from the base, so links run through chains
+            words = list(base)
+            for at in r.sample(range(len(words)), step // 2):
+                words[at] = r.choice(WORDS)
+            texts.append(" ".join(words))
+    order = r.sample(range(len(texts)), len(texts))
+    got = dict(simhash.similar_classes(spark.createDataFrame([(i, texts[t]) for i, t in enumerate(order)], "doc_id long, text string").repartition(4)).collect())
+    prints = [[int(x) for x in simhash.long_print(texts[t])] for t in order]
+
+    def keys(p):
+        segments = [p[s // 2] >> (s % 2 * simhash.SEGMENT) & 0xFFFFFF for s in range(simhash.SEGMENTS)]
+        return {(s, i, x & ~(1 << i)) for s, x in enumerate(segments) for i in range(simhash.SEGMENT)}
+
+    under, root = [keys(p) for p in prints], list(range(len(prints)))
+    for j in range(len(prints)):
+        for i in range(j):
+            bits = sum((x ^ y).bit_count() for x, y in zip(prints[i][2:], prints[j][2:]))
+            if under[i] & under[j] and math.cos(bits * math.pi / 512) >= 1.6 / 1.8:
+                a, b = sorted((root[i], root[j]))
+                root = [a if x == b else x for x in root]
+    assert got == dict(enumerate(root)) and len(set(root)) > 12
+
+
 def test_quality(spark, empty):
     good = "\n".join(prose(i, 20) for i in range(3))
     rows = [(1, good), (2, "Home | News | About | Contact | Help | Map | Jobs | More | All | End |"), (3, "BUY!! NOW!! CHEAP!! ALL!! OF!! IT!! IS!! HERE!! FOR!! YOU!!"), (4, None), (5, ""),
