@@ -187,9 +187,10 @@ def similar_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     crowd = staged(placed.join(mixed, "key", "left_semi").join(prints_of, "id"), "crowd")
     one = crowd.select("key", "id", F.col("class").alias("c"), F.col("bits").alias("a"))
     two = crowd.select(F.col("key").alias("key2"), F.col("id").alias("head"), F.col("class").alias("d"), F.col("bits").alias("b"))
-    late = one.join(two, (F.col("key") == F.col("key2")) & (F.col("c") < F.col("d")) & alike).select("id", "head").distinct()
-    roots = components(near.union(late))
-    classes = firsts.join(roots, firsts["id"] == roots["node"], "left").select(*[F.col(n).alias(f"c_{n}") for n in names], F.coalesce("root", "id").alias("component"))
+    late = one.join(two, (F.col("key") == F.col("key2")) & (F.col("c") < F.col("d")) & alike).select("c", "d").distinct()
+    higher = components(late).select(F.col("node").alias("class"), F.col("root").alias("top"))
+    classes = firsts.join(roots, firsts["id"] == roots["node"], "left").select(*[F.col(n).alias(f"c_{n}") for n in names], F.coalesce("root", "id").alias("class"))
+    classes = classes.join(higher, "class", "left").withColumn("component", F.coalesce("top", "class"))
     same = F.lit(True)
     for n in names:
         same = same & (F.col(n) == F.col(f"c_{n}"))
