@@ -64,11 +64,8 @@ def row_position(df: DataFrame, keys: Sequence[str], ts: str, step_seconds: int
     before = Window.partitionBy(*keys).orderBy("_tb").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select(*keys, "_tb", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_off"))
     rn = F.row_number().over(Window.partitionBy(*keys, "_tb").orderBy(ts))
-    return (
-        spread.withColumn("_rn", rn)
-        .join(offsets, [*keys, "_tb"], "left")
-        .select(*df.columns, (F.col("_off") + F.col("_rn") - 1).alias(POS))
-    )
+    return join_nulls(spread.withColumn("_rn", rn), offsets, [*keys, "_tb"]).select(
+        *df.columns, (F.col("_off") + F.col("_rn") - 1).alias(POS))
 
 
 Build = Callable[[WindowSpec], list[Column]]
@@ -133,26 +130,30 @@ def nearest(
     carry = summary.select(*keys, "_block", *[picked(n, ahead, True) for n, _, ahead in wanted])
     near = by_block(base, keys, "_block").select("*", *[picked(n, ahead, False) for n, _, ahead in wanted])
     names = [n for n, _, _ in wanted]
-    return near.join(carry, [*keys, "_block"], "left").select(
+    return join_nulls(near, carry, [*keys, "_block"]).select(
         *[c for c in df.columns if c not in names],
         *[F.coalesce(F.col(f"_n_{n}"), F.col(f"_c_{n}")).alias(n) for n in names],
     )
 
 
-SMALL_SIDE = 50_000
+def join_nulls(df: DataFrame, side: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Left join on ``keys`` in which a null key meets a null key; adds the other columns of ``side``."""
+    keys = list(keys)
+    other = side.select(*[F.col(k).alias(f"_k_{k}") if k in keys else F.col(k) for k in side.columns])
+    same = F.lit(True)
+    for k in keys:
+        same = same & F.col(k).eqNullSafe(F.col(f"_k_{k}"))
+    return df.join(other, same, "left").drop(*[f"_k_{k}" for k in keys])
 
 
 def attach(df: DataFrame, side: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Left join a side that is usually tiny (statistics per entity, one row per day) without moving ``df``.
+    """Left join a side that is usually tiny (statistics per entity, one row per day).
 
-    The side is evaluated once behind a row limit. One row without keys becomes literals; up to SMALL_SIDE
-    rows are broadcast; a larger side is joined by shuffle, where adaptive execution splits skewed keys.
+    Null keys meet null keys. The optimiser and adaptive execution broadcast the side if its size allows and split
+    skewed keys if not. A side without keys is one row, which becomes literals.
     """
-    keys, spark = list(keys), df.sparkSession
+    keys = list(keys)
     if keys:
-        rows = side.limit(SMALL_SIDE + 1).collect()
-        if len(rows) > SMALL_SIDE:
-            return df.join(side, keys, "left")
-        return df.join(F.broadcast(spark.createDataFrame(rows, side.schema)), keys, "left")
+        return join_nulls(df, side, keys)
     row, types = side.first(), dict(side.dtypes)
     return df.withColumns({c: F.lit(row[c]).cast(types[c]) for c in side.columns})

@@ -47,7 +47,8 @@ def sigma_bounds(df: DataFrame, cols: Sequence[str], keys: Sequence[str] = (), s
     """``{c}_lo`` and ``{c}_hi``: mean -/+ sigma sample deviations (null for a single row)."""
     aggs = []
     for c in cols:
-        m, s = F.avg(c), F.stddev_samp(c)
+        known = F.nanvl(F.col(c).cast("double"), F.lit(None))
+        m, s = F.avg(known), F.stddev_samp(known)
         aggs += [(m - sigma * s).alias(f"{c}_lo"), (m + sigma * s).alias(f"{c}_hi")]
     return df.groupBy(*keys).agg(*aggs)
 
@@ -60,7 +61,7 @@ def winsorise(value: Column, lo: Column, hi: Column) -> Column:
 def clip_sigma(df: DataFrame, cols: Sequence[str], keys: Sequence[str] = (), sigma: float = 3.0) -> DataFrame:
     wide = blocks.attach(df, sigma_bounds(df, cols, keys, sigma), keys)
     return wide.select(*[
-        winsorise(F.col(c).cast("double"), F.col(f"{c}_lo"), F.col(f"{c}_hi")).alias(c) if c in cols else F.col(c) for c in df.columns
+        winsorise(F.nanvl(F.col(c).cast("double"), F.lit(None)), F.col(f"{c}_lo"), F.col(f"{c}_hi")).alias(c) if c in cols else F.col(c) for c in df.columns
     ])
 
 
@@ -88,7 +89,7 @@ def regular_grid(df: DataFrame, keys: Sequence[str], ts: str, step_seconds: int
         F.explode(F.sequence(F.col("_s"), F.least(F.col("_b"), F.col("_s") + length - F.col("_step")), F.col("_step"))).alias("_t"),
     )
     grid = stamps.select(*keys, blocks.from_epoch(F.col("_t")).alias(ts))
-    return grid.join(df, [*keys, ts], "left").select(*df.columns)
+    return blocks.join_nulls(grid, df, [*keys, ts]).select(*df.columns)
 
 
 def repair_irregular(

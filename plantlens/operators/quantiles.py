@@ -28,7 +28,7 @@ def exact(df: DataFrame, keys: Sequence[str], cols: Sequence[str], probs: Sequen
     long = df.select(
         *keys,
         F.explode(F.array(*[F.struct(F.lit(c).alias("col"), F.col(c).cast("double").alias("v")) for c in cols])).alias("x"),
-    ).select(*keys, "x.col", "x.v").filter(F.col("v").isNotNull())
+    ).select(*keys, "x.col", "x.v").filter(F.col("v").isNotNull() & ~F.isnan("v"))
     group = [*keys, "col"]
     marks = [e for p in probs for e in _edges(p)]
     sketch = long.groupBy(*group).agg(

@@ -203,13 +203,14 @@ def e01(spark, d):
 
 
 @query("E02_null_policy", "s:unit t:ts f:value,value_lag,value_target_1h,value_target_2h",
-       f"""WITH {HOURLY}, b AS (SELECT unit, ts, value, CASE WHEN n > 1000000 THEN value END AS value_lag, lead(value) OVER w AS value_target_1h, lead(value, 2) OVER w AS value_target_2h FROM hourly {_W})
-       SELECT unit, ts, value, value_lag, value_target_1h, value_target_2h FROM b WHERE value_target_1h IS NOT NULL AND value_target_2h IS NOT NULL""")
+       f"""WITH {HOURLY}, b AS (SELECT unit, ts, value, lag(value) OVER w AS value_lag, lead(value) OVER w AS value_target_1h, lead(value, 2) OVER w AS value_target_2h FROM hourly {_W}),
+       k AS (SELECT * FROM b WHERE value_target_1h IS NOT NULL AND value_target_2h IS NOT NULL)
+       SELECT unit, ts, coalesce(value, avg(value) OVER ()) AS value, coalesce(value_lag, avg(value_lag) OVER ()) AS value_lag, value_target_1h, value_target_2h FROM k""")
 def e02(spark, d):
-    rows = _rows(spark, d).withColumn("value_lag", F.when(F.col("n") > 1000000, F.col("value")))
-    wide = windows.add(rows, KEY, [windows.lead("value", h, f"value_target_{h}h") for h in (1, 2)])
+    feats = [windows.lag("value", 1, "value_lag"), *[windows.lead("value", h, f"value_target_{h}h") for h in (1, 2)]]
+    wide = windows.add(_rows(spark, d), KEY, feats)
     kept = wide.select("unit", "ts", "value", "value_lag", "value_target_1h", "value_target_2h")
-    return features.drop_incomplete(kept, ["value_lag", "value_target_1h", "value_target_2h"])
+    return features.drop_incomplete(kept, ["value_lag", "value_target_1h", "value_target_2h"], "fill")
 
 
 @query("E03_window_shrink", "s:unit i:rows_,window,horizon",

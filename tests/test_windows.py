@@ -127,3 +127,23 @@ def test_null_policy_fills_when_too_few_complete_rows(spark):
     out = features.drop_incomplete(df, ["y", "x_target_1h"])
     assert out.count() == 8 and out.filter("y is null").count() == 0
     assert features.drop_incomplete(df, ["y"], policy="drop").count() == 1
+
+
+def test_null_entity_keys_are_an_entity_of_their_own(spark):
+    v = [1.0, None, ..., 4.0, None, None, 7.0] * 4
+    df = series(spark, v).unionByName(series(spark, v, unit=None))
+    out = pdf(blocks.row_position(df, KEY, "ts"), "ts")
+    assert len(out) == 48 and sorted(out[out.unit.isna()]["_pos"]) == list(range(24))
+    filled = pdf(windows.ffill(blocks.row_position(df, KEY, "ts"), KEY, ["value"]), "ts")
+    close(filled[filled.unit.isna()]["value"], filled[filled.unit == "a"]["value"])
+    grid = quality.regular_grid(df, KEY, "ts")
+    assert grid.where("unit is null and value is not null").count() == grid.where("unit = 'a' and value is not null").count() == 12
+
+
+def test_nan_counts_as_missing_in_bounds_and_quantiles(spark):
+    from plantlens.operators import quantiles
+
+    with_nan, without = [1.0, 2.0, float("nan"), 3.0, 90.0] * 5, [1.0, 2.0, None, 3.0, 90.0] * 5
+    one, two = series(spark, with_nan), series(spark, without)
+    close(pdf(quality.clip_sigma(one, ["value"], KEY), "ts")["value"], pdf(quality.clip_sigma(two, ["value"], KEY), "ts")["value"])
+    assert quantiles.exact(one, KEY, ["value"], [0.25, 0.5]).collect() == quantiles.exact(two, KEY, ["value"], [0.25, 0.5]).collect()
