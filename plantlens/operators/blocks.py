@@ -100,23 +100,25 @@ def over_blocks(
 def nearest(
     df: DataFrame, keys: Sequence[str], forward: dict[str, Column] | None = None,
     backward: dict[str, Column] | None = None, pos: str = POS, inclusive: bool = True, block_rows: int | None = None,
+    order: str | None = None,
 ) -> DataFrame:
     """Append, per name, the nearest non-null value at or before (``forward``) / at or after (``backward``) a row.
 
-    ``inclusive=False`` looks strictly before / after. ``pos`` only has to be ordered, not gap-free. Both
-    directions share one shuffle, one sort and one summary.
+    ``inclusive=False`` looks strictly before / after. ``pos`` only has to be ordered, not gap-free; where rows can
+    share a position, ``order`` names the finer column (the stamp) that orders them. Both directions share one shuffle,
+    one sort and one summary.
     """
-    keys = list(keys)
+    keys, by = list(keys), order or pos
     wanted = [(n, c, True) for n, c in (forward or {}).items()] + [(n, c, False) for n, c in (backward or {}).items()]
     base = df.withColumns({**{f"_v_{n}": c for n, c, _ in wanted}, "_block": floor_div(F.col(pos), block_rows or BLOCK_ROWS)})
 
     def edge(n: str, ahead: bool) -> Column:
-        known = F.when(F.col(f"_v_{n}").isNotNull(), F.col(pos))
+        known = F.when(F.col(f"_v_{n}").isNotNull(), F.col(by))
         return (F.max_by if ahead else F.min_by)(F.col(f"_v_{n}"), known).alias(f"_v_{n}")
 
     summary = base.groupBy(*keys, "_block").agg(*[edge(n, ahead) for n, _, ahead in wanted])
     across = Window.partitionBy(*keys).orderBy("_block")
-    inside = Window.partitionBy(*keys, "_block").orderBy(pos)
+    inside = Window.partitionBy(*keys, "_block").orderBy(by)
     end = 0 if inclusive else 1
     frames = {
         True: (F.last, across.rowsBetween(Window.unboundedPreceding, -1), inside.rowsBetween(Window.unboundedPreceding, -end)),

@@ -60,10 +60,16 @@ def sliding(
 ) -> DataFrame:
     """Sliding-window training rows: repair the grid, add features and targets, apply the null policy.
 
-    Fills read their input twice, so the series is written once before and once after the repair.
+    Fills read their input twice, so the series is written once before and once after the repair. A repaired series is
+    positioned by its own first stamp and step; without repair all entities lie on the grid of ``step_seconds``.
     """
-    series = staged(quality.repair_irregular(staged(df, "series"), keys, ts, targets, step_seconds), "repaired") if repair else df
-    placed = blocks.slot_position(series, ts, step_seconds)
+    if repair:
+        rows = staged(df, "series")
+        steps = staged(quality.modal_steps(rows, keys, ts, step_seconds), "steps")
+        series = staged(quality.repair_irregular(rows, keys, ts, targets, step_seconds, steps), "repaired")
+        placed = quality.grid_position(series, keys, ts, steps, step_seconds)
+    else:
+        placed = blocks.slot_position(df, ts, step_seconds)
     padded = blocks.nearest(placed, keys, forward={f"_pad_{c}": F.col(c) for c in targets})
     feats = sliding_features(targets, windows_, horizon)
     wide = windows.add(padded, keys, feats).drop(blocks.POS, *[f"_pad_{c}" for c in targets])

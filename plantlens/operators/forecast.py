@@ -36,7 +36,14 @@ def fit(df: DataFrame, *, features: Sequence[str], targets: Sequence[str], famil
 
 
 def predict(model: PipelineModel, df: DataFrame) -> DataFrame:
-    return model.transform(df).drop("_features")
+    """Every row of ``df`` with its predictions; null where a feature is null or NaN."""
+    pack = model.stages[0]
+    whole = F.lit(True)
+    for c in pack.getInputCols():
+        whole = whole & F.col(c).isNotNull() & ~F.isnan(F.col(c).cast("double"))
+    kept = PipelineModel([pack.copy().setHandleInvalid("keep"), *model.stages[1:]])
+    names = [m.getPredictionCol() for m in model.stages[1:]]
+    return kept.transform(df).withColumns({p: F.when(whole, F.col(p)) for p in names}).drop("_features")
 
 
 def long_predictions(pred: DataFrame, targets: Sequence[str], keep: Sequence[str] = ()) -> DataFrame:

@@ -92,13 +92,29 @@ def regular_grid(df: DataFrame, keys: Sequence[str], ts: str, step_seconds: int
     return blocks.join_nulls(grid, df, [*keys, ts]).select(*df.columns)
 
 
+def modal_steps(df: DataFrame, keys: Sequence[str], ts: str, step_seconds: int = 3600) -> DataFrame:
+    """keys, ``_modal``: the most common gap of each entity that has two rows or more."""
+    placed = blocks.slot_position(df, ts, step_seconds)
+    return windows.gap_profile(placed, keys, ts).select(*keys, F.col("modal_gap").alias("_modal"))
+
+
+def grid_position(df: DataFrame, keys: Sequence[str], ts: str, steps: DataFrame, step_seconds: int = 3600) -> DataFrame:
+    """Consecutive positions of gridded series: from the entity's own first stamp, in its own step."""
+    first = df.groupBy(*keys).agg(F.min(blocks.epoch(ts)).alias("_first"))
+    wide = blocks.attach(blocks.attach(df, first, keys), steps, keys)
+    at = (blocks.epoch(ts) - F.col("_first")) / F.coalesce(F.col("_modal"), F.lit(step_seconds))
+    return wide.select(*df.columns, at.cast("long").alias(blocks.POS))
+
+
 def repair_irregular(
-    df: DataFrame, keys: Sequence[str], ts: str, targets: Sequence[str], step_seconds: int = 3600
+    df: DataFrame, keys: Sequence[str], ts: str, targets: Sequence[str], step_seconds: int = 3600, steps: DataFrame | None = None,
 ) -> DataFrame:
-    """Entities with more than one distinct gap are put on their most common step and targets interpolated."""
+    """Entities with more than one distinct gap are put on their most common step and targets interpolated.
+
+    ``steps`` passes on what ``modal_steps`` returned for ``df``.
+    """
     keys = list(keys)
-    placed = blocks.slot_position(df, ts, step_seconds)
-    profile = windows.gap_profile(placed, keys, ts).select(*keys, F.col("modal_gap").alias("_modal"))
+    profile = modal_steps(df, keys, ts, step_seconds) if steps is None else steps
     stepped = blocks.attach(df, profile, keys).withColumn("_modal", F.coalesce("_modal", F.lit(step_seconds)))
     grid = regular_grid(stepped, keys, ts, F.col("_modal")).drop("_modal")
     placed = blocks.slot_position(grid, ts, step_seconds)
@@ -119,7 +135,7 @@ def clean_series(
     share = df.groupBy(*keys).agg(*[F.avg(F.col(c).isNull().cast("int")).alias(f"_m_{c}") for c in cols])
     placed = blocks.slot_position(df, ts, step_seconds)
     filled = blocks.nearest(
-        placed, keys, forward={f"_f_{c}": F.col(c) for c in cols}, backward={f"_b_{c}": F.col(c) for c in cols}
+        placed, keys, forward={f"_f_{c}": F.col(c) for c in cols}, backward={f"_b_{c}": F.col(c) for c in cols}, order=ts,
     )
     filled = blocks.attach(filled, share, keys)
     filled = filled.select(*[

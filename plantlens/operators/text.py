@@ -150,9 +150,15 @@ def evaluate_generations(df: DataFrame, *, reference: str, generated: str, marke
 
 
 def statement_is_valid(spark: SparkSession, sql: str) -> bool:
-    """Whether a statement analyses against the registered views; nothing is executed."""
+    """Whether a query analyses against the registered views; nothing is executed.
+
+    It is analysed as a subquery, where a command cannot stand, after EXPLAIN, which does not run what it explains, has
+    parsed it on its own.
+    """
+    query = sql.rstrip().rstrip(";")
     try:
-        spark.sql(sql.rstrip().rstrip(";")).schema  # noqa: B018 - forces analysis only
+        spark.sql(f"EXPLAIN {query}")
+        spark.sql(f"SELECT * FROM (\n{query}\n)").schema  # noqa: B018 - forces analysis only
         return True
     except (AnalysisException, ParseException):
         return False

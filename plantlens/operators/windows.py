@@ -99,7 +99,7 @@ def interpolate(df: DataFrame, keys: Sequence[str], ts: str, cols: Sequence[str]
         return F.when(F.col(c).isNotNull(), F.struct(blocks.epoch(ts).alias("t"), F.col(c).alias("v")))
 
     out = blocks.nearest(
-        df, keys, forward={f"_prev_{c}": known(c) for c in cols}, backward={f"_next_{c}": known(c) for c in cols}, pos=pos
+        df, keys, forward={f"_prev_{c}": known(c) for c in cols}, backward={f"_next_{c}": known(c) for c in cols}, pos=pos, order=ts,
     )
 
     def value(c: str) -> Column:
@@ -115,7 +115,7 @@ def interpolate(df: DataFrame, keys: Sequence[str], ts: str, cols: Sequence[str]
 
 def gaps(df: DataFrame, keys: Sequence[str], ts: str, pos: str = POS) -> DataFrame:
     """Seconds to the previous row of the entity; null on its first row."""
-    prev = blocks.nearest(df, keys, forward={"_prev": blocks.epoch(ts)}, pos=pos, inclusive=False)
+    prev = blocks.nearest(df, keys, forward={"_prev": blocks.epoch(ts)}, pos=pos, inclusive=False, order=ts)
     return prev.withColumn("gap", blocks.epoch(ts) - F.col("_prev")).drop("_prev")
 
 

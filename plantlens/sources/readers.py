@@ -22,7 +22,9 @@ def _parse_ts(name: str, fmt: str | None):
 
 
 def _number(name: str):
-    return F.nullif(F.trim(F.col(name)), F.lit(MISSING)).try_cast("double").alias(name)
+    """The column as a number; '-', text that is no number, and the text NaN are missing."""
+    x = F.nullif(F.trim(F.col(name)), F.lit(MISSING)).try_cast("double")
+    return F.nanvl(x, F.lit(None).cast("double")).alias(name)
 
 
 def source_file():

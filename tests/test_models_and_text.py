@@ -13,6 +13,7 @@ from plantlens.functions import domain
 from plantlens.functions import text as tf
 from plantlens.operators import evaluate, forecast, reduce, spectrum, split, text, vectors
 from plantlens.plans import business
+from plantlens.sources import readers
 from plantlens.streaming import jobs
 from tests.helpers import close, pdf, series
 
@@ -205,3 +206,30 @@ def test_stream_equals_batch_and_resumes(spark, tmp_path):
     want = df.toPandas().set_index("ts")["value"].resample("h").mean()
     close(got["value"], want.iloc[:len(got)])
     assert isinstance(want.index[0], pd.Timestamp)
+
+
+def test_predict_keeps_every_row(spark):
+    df = spark.createDataFrame([(float(i), 2.0 * i) for i in range(20)], "x double, y double")
+    model = forecast.fit(df, features=["x"], targets=["y"])
+    holes = spark.createDataFrame([(3.0,), (None,), (float("nan"),)], "x double")
+    got = [r["y_pred"] for r in forecast.predict(model, holes).collect()]
+    assert len(got) == 3 and got[0] == pytest.approx(6.0) and got[1:] == [None, None]
+
+
+def test_validity_check_runs_nothing(spark, tmp_path):
+    where = str(tmp_path / "rows")
+    spark.sql(f"CREATE TABLE kept_rows (a INT) USING parquet LOCATION '{where}'")
+    try:
+        assert not text.statement_is_valid(spark, "WITH x AS (SELECT 1 AS a) INSERT INTO kept_rows SELECT a FROM x")
+        assert spark.table("kept_rows").count() == 0
+        assert text.statement_is_valid(spark, "WITH x AS (SELECT a FROM kept_rows) SELECT a, a FROM x ORDER BY a -- end")
+        assert not text.statement_is_valid(spark, "SELECT missing FROM kept_rows")
+        assert not text.statement_is_valid(spark, "SELECT 1) t UNION (SELECT 2")
+    finally:
+        spark.sql("DROP TABLE kept_rows")
+
+
+def test_reader_takes_nan_for_missing(spark, tmp_path):
+    (tmp_path / "a.tsv").write_text("time\tv\n2024/01/01 00:00\tNaN\n2024/01/01 01:00\t-\n2024/01/01 02:00\t1.5\n")
+    got = readers.read_series_tsv(spark, str(tmp_path / "a.tsv"), ["v"]).orderBy("ts").collect()
+    assert [r["v"] for r in got] == [None, None, 1.5]

@@ -1,5 +1,8 @@
 """Block-wise windows against pandas on whole series, with blocks far shorter than the series."""
 
+import datetime as dt
+import random
+
 import numpy as np
 import pandas as pd
 import pytest
@@ -147,3 +150,23 @@ def test_nan_counts_as_missing_in_bounds_and_quantiles(spark):
     one, two = series(spark, with_nan), series(spark, without)
     close(pdf(quality.clip_sigma(one, ["value"], KEY), "ts")["value"], pdf(quality.clip_sigma(two, ["value"], KEY), "ts")["value"])
     assert quantiles.exact(one, KEY, ["value"], [0.25, 0.5]).collect() == quantiles.exact(two, KEY, ["value"], [0.25, 0.5]).collect()
+
+
+def test_order_by_stamp_below_the_step(spark):
+    """Ten-minute rows share an hour's position; gaps and interpolation follow the stamps."""
+    rows = [("a", dt.datetime(2024, 1, 1) + dt.timedelta(minutes=10 * i), None if i % 5 == 2 else float(i)) for i in range(300)]
+    random.Random(3).shuffle(rows)
+    df = blocks.slot_position(spark.createDataFrame(rows, "k string, ts timestamp_ntz, v double").repartition(5), "ts")
+    assert [tuple(r) for r in windows.gap_profile(df, ["k"], "ts").collect()] == [("a", 1, 600)]
+    got = windows.interpolate(df, ["k"], "ts", ["v"]).orderBy("ts").collect()
+    assert [r["v"] for r in got] == pytest.approx([float(i) for i in range(300)])
+
+
+def test_sliding_at_the_series_own_step(spark):
+    """Rows every two hours and every ten minutes in one table, each at its own step."""
+    rows = [(k, dt.datetime(2024, 1, 1) + dt.timedelta(minutes=m * i), float(i + 1)) for k, m in (("slow", 120), ("fast", 10)) for i in range(120)]
+    df = spark.createDataFrame(rows, "k string, ts timestamp_ntz, v double")
+    got = features.sliding(df, keys=["k"], ts="ts", targets=["v"], windows_=(4, 8), horizon=3, null_policy="drop").orderBy("k", "ts").collect()
+    assert [(r["k"], r["v"]) for r in got] == [(k, float(i + 1)) for k in ("fast", "slow") for i in range(8, 117)]
+    for r in got:
+        assert r["v_mean_8h"] == r["v"] - 3.5 and r["v_diff_4h"] == 4 and r["v_target_3h"] == r["v"] + 3
