@@ -197,7 +197,152 @@ def similar_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return all_.join(classes, same, "left").select("id", "component")
 
 
+# Exact classes. Two sets of similarity s or more share one of the first n - ceil(s n) + 1 members of either set in any
+# order that is the same for all sets, so these members are the keys; each candidate is then judged on the whole sets.
+
+_P1, _P2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
+HELD_WORDS = 500_000  # words whose hashes a task holds
+SAMPLE, COMMON, MOST_COMMON = 5_000, 10, 200_000
+_HEADS = (F.min, F.max)  # who stands for the rows of a key in each round that compares with one row only
+
+
+def shingle_set(text: str | None, shingle: int = 5, held: dict[bytes, int] | None = None) -> np.ndarray:
+    """The distinct 64-bit hashes of the word shingles in ascending order; a text of fewer words is one shingle."""
+    words = split_words(text)
+    if not words:
+        return np.zeros(0, np.uint64)
+    held = {} if held is None else held
+    if len(held) > HELD_WORDS:
+        held.clear()
+    for w in words:
+        if w not in held:
+            held[w] = xxhash.xxh64_intdigest(w, SEED)
+    each = np.fromiter(map(held.__getitem__, words), np.uint64, len(words))
+    wide = min(shingle, len(words))
+    n = len(words) - wide + 1
+    out = np.full(n, SEED, np.uint64)
+    for k in range(wide):
+        out = (out ^ each[k : k + n]) * _P1
+        out ^= out >> np.uint64(29)
+        out *= _P2
+        out ^= out >> np.uint64(32)
+    return np.unique(out)
+
+
+def set_id(hashes: np.ndarray) -> int:
+    """A signed 64-bit name of the set."""
+    return int(np.array([xxhash.xxh3_64_intdigest(hashes.tobytes())], np.uint64).view(np.int64)[0])
+
+
+def prefix(hashes: np.ndarray, similarity: float, common: np.ndarray) -> np.ndarray:
+    """The members that a set of this similarity shares one of: by hash, those in ``common`` last."""
+    n = len(hashes)
+    often = np.isin(hashes, common)
+    return np.concatenate([hashes[~often], hashes[often]])[: n - int(np.ceil(similarity * n - 1e-9)) + 1 if n else 0]
+
+
+def _texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    text = F.col(text_col).cast("string")
+    return docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text).alias("mark"), text.alias("text"))
+
+
+def _common(texts: DataFrame, shingle: int) -> np.ndarray:
+    """Shingles of many texts, from a sample. They only set the order of members: any choice gives the same classes."""
+
+    def members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[bytes, int] = {}
+        for batch in batches:
+            sets = [shingle_set(t.as_py(), shingle, held).view(np.int64) for t in batch.column(0)]
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.zeros(0, np.int64), *sets]))], names=["h"])
+
+    share = min(1.0, SAMPLE / max(1, texts.count()))
+    counted = texts.select("text").sample(share, SEED).mapInArrow(members, "h long").groupBy("h").count().where(F.col("count") >= COMMON)
+    found = counted.orderBy(F.desc("count"), "h").limit(MOST_COMMON).select("h").toPandas()["h"].to_numpy(np.int64)
+    return np.sort(found.view(np.uint64))
+
+
+def exact_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8) -> DataFrame:
+    """(id, mark, component) of every row: rows are linked where the Jaccard similarity of their sets of word shingles is enough.
+
+    ``mark`` is the hash of the text, the component the smallest name of a set that links lead to. No pair of this
+    similarity is left out and none below it is linked, save by equal 64-bit hashes. Rows of equal sets are one node. In
+    two rounds each set is compared with the one that it shares most keys with among those that stand for its keys,
+    which joins large groups at a cost of their number of rows; then all sets that share a key and are in different
+    classes are compared. Many sets under one key that stay apart cost the square of their number. Null and empty
+    texts have the empty set and are alike.
+    """
+    texts = _texts(docs, id_col, text_col)
+    common = _common(texts, shingle)
+
+    def sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[bytes, int] = {}
+        for batch in batches:
+            sets = [shingle_set(t.as_py(), shingle, held) for t in batch.column(2)]
+            keys = [prefix(s, similarity, common).view(np.int64) for s in sets]
+            ends = np.cumsum([0, *map(len, keys)]).astype(np.int32)
+            lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([np.zeros(0, np.int64), *keys])))
+            cols = [batch.column(0), batch.column(1), pa.array([set_id(s) for s in sets], pa.int64()), pa.array(map(len, sets), pa.int32()), lists]
+            yield pa.RecordBatch.from_arrays(cols, names=["id", "mark", "node", "n", "keys"])
+
+    def members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[bytes, int] = {}
+        for batch in batches:
+            sets = [shingle_set(t.as_py(), shingle, held) for t in batch.column(0)]
+            yield pa.RecordBatch.from_arrays([pa.array([set_id(s) for s in sets], pa.int64()), pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))], names=["node", "members"])
+
+    all_ = staged(texts.mapInArrow(sketches, "id long, mark long, node long, n int, keys array<long>"), "sketches")
+    keyed = all_.select("node", "n", F.posexplode("keys").alias("at", "key"))
+    twice = keyed.select("key").groupBy("key").count().where("count > 1").select("key")
+    met = staged(keyed.join(twice, "key").distinct(), "met")
+    several = met.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low < high").select("key")
+    met = staged(met.join(several, "key"), "met-sets")
+    rows = all_.select("id", "mark", "node").join(met.select("node").distinct(), "node")
+    first = rows.groupBy("node").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "mark")).alias("r")).select(F.col("r.id").alias("i"), F.col("r.mark").alias("m"))
+    wanted = texts.join(first.hint("shuffle_hash"), F.col("id").eqNullSafe(F.col("i")) & (F.col("mark") == F.col("m")), "left_semi")
+    sets = staged(wanted.select("text").mapInArrow(members, "node long, members array<long>").groupBy("node").agg(F.first("members").alias("members")), "sets")
+    least = similarity / (1 + similarity)
+
+    def may(n: str, at: str, m: str, to: str) -> Column:
+        """Sets of n and m members may be alike if their first common member stands at these places."""
+        return F.least(F.col(n) - F.col(at), F.col(m) - F.col(to)) >= (F.col(n) + F.col(m)) * least - 1e-6
+
+    def judged(pairs: DataFrame, name: str) -> DataFrame:
+        both = pairs.join(sets.select(F.col("node").alias("a"), F.col("members").alias("x")), "a").join(sets.select(F.col("node").alias("b"), F.col("members").alias("y")), "b")
+        return staged(both.where(F.size(F.array_intersect("x", "y")) >= (F.size("x") + F.size("y")) * least - 1e-6).select("a", "b"), name)
+
+    placed, near, roots = met.withColumn("class", F.col("node")), None, None
+
+    def settle(found: DataFrame) -> None:
+        nonlocal placed, near, roots
+        near = found if near is None else near.union(found)
+        roots = components(near)
+        placed = staged(met.join(roots.withColumnRenamed("node", "of"), F.col("node") == F.col("of"), "left").select(*met.columns, F.coalesce("root", "node").alias("class")), "placed")
+        mixed = placed.groupBy("key").agg(F.min("class").alias("low"), F.max("class").alias("high")).where("low < high").select("key")
+        placed = placed.join(mixed, "key")
+
+    for pick in _HEADS:
+        heads = placed.groupBy("key").agg(pick(F.struct("node", "n", "at", "class")).alias("h")).select("key", F.col("h.node").alias("b"), F.col("h.n").alias("m"), F.col("h.at").alias("to"), F.col("h.class").alias("d"))
+        shared = placed.join(heads, "key").where((F.col("class") != F.col("d")) & may("n", "at", "m", "to")).groupBy("node", "b").count()
+        settle(judged(shared.groupBy("node").agg(F.max(F.struct("count", "b")).alias("best")).select(F.col("node").alias("a"), F.col("best.b").alias("b")), "near"))
+    one = placed.select("key", F.col("node").alias("a"), "n", "at", F.col("class").alias("c"))
+    two = placed.select(F.col("key").alias("key2"), F.col("node").alias("b"), F.col("n").alias("m"), F.col("at").alias("to"), F.col("class").alias("d"))
+    pairs = one.join(two, (F.col("key") == F.col("key2")) & (F.col("c") < F.col("d")) & may("n", "at", "m", "to")).select("a", "b").distinct()
+    settle(judged(pairs, "late"))
+    of = roots.select(F.col("node").alias("of"), "root")
+    return all_.select("id", "mark", "node").join(of, F.col("node") == F.col("of"), "left").select("id", "mark", F.coalesce("root", "node").alias("component"))
+
+
 def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """The rows of ``docs`` with the smallest id of their class of similar texts; of repeated ids all rows stay."""
-    first = staged(similar_classes(docs, id_col, text_col, **options).where("id = component").select(F.col("id").alias("__kept")).distinct(), "kept")
-    return docs.join(first.hint("shuffle_hash"), docs[id_col].cast("long") == first["__kept"], "left_semi")
+    """One row of ``docs`` for each class of similar texts (``exact_classes``): that of the smallest id.
+
+    A row without an id is a row like any other and stays if no row of its class has an id. Of rows of one id in a class
+    one stays.
+    """
+    rows = exact_classes(docs, id_col, text_col, **options).groupBy("component", "id", "mark").agg(F.count("*").alias("rows"))
+    best = rows.groupBy("component").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "mark", "rows")).alias("r"))
+    first = staged(best.select(*[F.col(f"r.{c}").alias(f"__{c}") for c in ("id", "mark", "rows")]), "kept")
+    on = docs[id_col].cast("long").eqNullSafe(F.col("__id")) & (F.xxhash64(docs[text_col].cast("string")) == F.col("__mark"))
+    if first.where("__rows > 1").isEmpty():
+        return docs.join(first.hint("shuffle_hash"), on, "left_semi")
+    again = docs.join(first.where("__rows > 1"), on).groupBy("__id", "__mark").agg(F.first(F.struct(*[docs[c] for c in docs.columns])).alias("__row"))
+    return docs.join(first.where("__rows = 1").hint("shuffle_hash"), on, "left_semi").unionByName(again.select("__row.*"))

@@ -110,6 +110,59 @@ def test_similar_classes_keep_links_that_miss_the_first_row(spark):
     assert got == dict(enumerate(root)) and len(set(root)) > 12
 
 
+def edited_copies(r):
+    """Texts with a copy each that is cut, longer, replaced in one block, edited throughout or repeats lines, above and below similarity 0.8."""
+    out = []
+    for k in range(60):
+        base = [r.choice(WORDS) + str(r.randrange(900)) for _ in range(r.randrange(40, 300))]
+        n, share = len(base), r.choice([0.05, 0.1, 0.15, 0.18, 0.22, 0.3])
+        more = [f"new{r.randrange(10**6)}" for _ in range(int(n * share))]
+        at = r.randrange(n - len(more))
+        copies = [base[: n - len(more)], base[len(more) :], base + more, base[:at] + more + base[at + len(more) :], base + base[: n // 2] * 3, list(base)]
+        for i in r.sample(range(n), max(1, int(n * share / 6))):
+            copies[5][i] = f"edit{i}"
+        out += [base, copies[k % 6]]
+    return [" ".join(x) for x in out]
+
+
+def jaccard_roots(texts, shingle=5, similarity=0.8):
+    sets = []
+    for t in texts:
+        w = (t or "").lower().split()
+        sets.append({tuple(w[i : i + shingle]) for i in range(max(1, len(w) - shingle + 1))} if w else set())
+    root, links = list(range(len(sets))), 0
+    for j in range(len(sets)):
+        for i in range(j):
+            if len(sets[i] & sets[j]) >= similarity * len(sets[i] | sets[j]) - 1e-9:
+                a, b = sorted((root[i], root[j]))
+                root, links = [a if x == b else x for x in root], links + 1
+    return root, links
+
+
+def test_exact_classes_equal_brute_force(spark):
+    r = random.Random(11)
+    hot = " ".join(f"common{i}" for i in range(60))
+    texts = edited_copies(r) + [f"{hot} {prose(300 + i, 12)}" for i in range(40)] + [None, "", " \n", "One two", "one TWO", "one two three"]
+    for family in range(3):
+        base = [r.choice(WORDS) + str(r.randrange(900)) for _ in range(150)]
+        for step in range(12):
+            words = list(base)
+            for at in r.sample(range(150), step):
+                words[at] = f"x{r.randrange(10**6)}"
+            texts.append(" ".join(words))
+    r.shuffle(texts)
+    want, links = jaccard_roots(texts)
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    got = collections.defaultdict(set)
+    for row in simhash.exact_classes(df).collect():
+        got[row["component"]].add(row["id"])
+    classes = collections.defaultdict(set)
+    for i, x in enumerate(want):
+        classes[x].add(i)
+    assert sorted(map(sorted, got.values())) == sorted(map(sorted, classes.values())) and links > 50
+    assert {x["doc_id"] for x in simhash.keep_first(df).collect()} == set(want)
+
+
 def test_quality(spark, empty):
     good = "\n".join(prose(i, 20) for i in range(3))
     rows = [(1, good), (2, "Home | News | About | Contact | Help | Map | Jobs | More | All | End |"), (3, "BUY!! NOW!! CHEAP!! ALL!! OF!! IT!! IS!! HERE!! FOR!! YOU!!"), (4, None), (5, ""),
