@@ -163,6 +163,21 @@ def test_exact_classes_equal_brute_force(spark):
     assert {x["doc_id"] for x in simhash.keep_first(df).collect()} == set(want)
 
 
+def test_keep_first_judges_whole_sets(spark):
+    base = [f"w{i}" for i in range(204)]  # 200 shingles
+    rows, want = [], set()
+    for k in range(30):
+        words = [f"{w}f{k}" for w in base]
+        cut = words[: 200 - 2 * (k % 15)]  # the copy keeps 196 - 2 (k % 15) of the 200: similarity 0.98 to 0.84
+        cut = cut if k % 2 else cut[: 163 if k % 4 else 164]  # 159 (0.795) or 160 (0.8) of them
+        rows += [(2 * k, " ".join(words)), (2 * k + 1, " ".join(cut))]
+        sets = [{tuple(x[i : i + 5]) for i in range(len(x) - 4)} for x in (rows[-2][1].split(), rows[-1][1].split())]
+        want |= {2 * k} | ({2 * k + 1} if len(sets[0] & sets[1]) < 0.8 * len(sets[0] | sets[1]) - 1e-9 else set())
+    rows += [(100, "a b c d e f g h i j " * 3), (101, "a b c d e f g h i j " * 40)]  # the same set
+    got = {x["doc_id"] for x in simhash.keep_first(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == want | {100} and 30 < len(want) < 60
+
+
 def test_quality(spark, empty):
     good = "\n".join(prose(i, 20) for i in range(3))
     rows = [(1, good), (2, "Home | News | About | Contact | Help | Map | Jobs | More | All | End |"), (3, "BUY!! NOW!! CHEAP!! ALL!! OF!! IT!! IS!! HERE!! FOR!! YOU!!"), (4, None), (5, ""),
