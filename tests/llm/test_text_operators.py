@@ -178,6 +178,13 @@ def test_keep_first_judges_whole_sets(spark):
     assert got == want | {100} and 30 < len(want) < 60
 
 
+def test_keep_first_counts_rows_without_an_id(spark):
+    same = prose(1, 60)
+    rows = [(None, prose(2, 60)), (None, prose(3, 60)), (None, prose(3, 60)), (None, same), (7, same), (7, same), (9, same), (8, prose(4, 60))]
+    kept = simhash.keep_first(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted(map(repr, map(tuple, kept))) == sorted(map(repr, [rows[0], rows[1], rows[4], rows[7]]))
+
+
 def test_quality(spark, empty):
     good = "\n".join(prose(i, 20) for i in range(3))
     rows = [(1, good), (2, "Home | News | About | Contact | Help | Map | Jobs | More | All | End |"), (3, "BUY!! NOW!! CHEAP!! ALL!! OF!! IT!! IS!! HERE!! FOR!! YOU!!"), (4, None), (5, ""),
