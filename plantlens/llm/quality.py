@@ -5,6 +5,8 @@ Everything is a column expression; nothing leaves the row, so no shuffle is need
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -16,7 +18,10 @@ BOILERPLATE = (
     r"(?i)(\b(licen[sc]ed under|under the .{1,40} licen[sc]e|all rights reserved|copyright|\(c\) ?[0-9]{4}|privacy policy|terms of (use|service)"
     r"|cookies?|enable javascript|subscribe (to|now)|sign up|log ?in|read more|click here)\b|spdx-licen[sc]e-identifier)"
 )
+LICENCE = r"(?i)(\b(licen[sc]ed under|under the .{1,40} licen[sc]e)\b|spdx-licen[sc]e-identifier)"
 WINDOW = 5
+LEAST_WORDS = 10
+DENSE = 20  # a line of more than 40 words is boilerplate if it has a phrase of it in as many words
 
 
 def _count(text: Column, pattern: str) -> Column:
@@ -30,11 +35,17 @@ def line_fails(line: Column, words: Column) -> Column:
         F.when((menu >= 2) & (5 * menu >= words), "navigation")
         .when((_count(line, SYMBOLS) * 5 > words) & (words >= 3), "symbols")
         .when((shout * 3 > words) & (shout >= 3), "shouting")
-        .when(line.rlike(BOILERPLATE) & (words <= 40), "boilerplate")
+        .when((words <= 40) & line.rlike(BOILERPLATE), F.when(line.rlike(LICENCE), "licence").otherwise("boilerplate"))
         .when((words > 3) & ~line.rlike(END), "punctuation")
+        .when((words > 40) & (_count(line, BOILERPLATE) * DENSE >= words), "notice")
     )
 
 
+def words_of(some: Callable[[Column], Column]) -> Column:
+    """The words of the judged lines that fail by one of some rules."""
+    return F.aggregate("__judged", F.lit(0).cast("long"), lambda s, x: s + F.when(some(x["rule"]), x["words"]).otherwise(0))
+
+
 def repeated_words(hashes: str, n: str) -> list[tuple[str, Column]]:
     """Columns, one on the other, that end in ``n_repeat_words``: words inside windows met twice or more.
 
@@ -59,10 +70,12 @@ def assess(docs: DataFrame, text_col: str = "text", max_loss: float = 0.5) -> Da
     """``docs`` with one column ``quality``, a struct of counts, flags and the cleaned text; no row is dropped.
 
     Fields: n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, n_kept_words (words of the lines
-    that pass), clean (those lines joined by line feeds, lines without a word included), kept. A text is kept if
-    base_failed is false, a word is left, and lines that fail by other rules than boilerplate hold at most ``max_loss``
-    of its words: a licence line says nothing about the rest. Null and blank texts have zero
-    counts and fail for want of words. Repeated rows are judged alike; other columns pass through whatever they hold.
+    that pass), clean (those lines joined by line feeds, lines without a word included), kept, kept_clean. A text is kept
+    if base_failed is false, a word is left, and lines that fail by other rules than licence, boilerplate and notice hold
+    at most ``max_loss`` of its words; this is the verdict that the SQL of op2 gives. It is kept_clean, which ``cleaned``
+    asks for, if also all failing lines but those that name a licence hold at most ``max_loss`` of its words and
+    the cleaned text has ten words. Null and blank texts have zero counts and fail for want of words. Repeated rows are
+    judged alike; other columns pass through whatever they hold.
     """
     if "quality" in docs.columns:
         raise ValueError("the input has a column named quality already")
@@ -79,24 +92,26 @@ def assess(docs: DataFrame, text_col: str = "text", max_loss: float = 0.5) -> Da
     d = d.select("*", (F.size("__full") - F.size(F.array_distinct("__full"))).cast("long").alias("n_dup_lines"),
                  judged.alias("__judged"))
     d = d.select("*", F.filter("__judged", lambda x: x["rule"].isNull()).alias("__passed"),
-                 F.aggregate("__judged", F.lit(0).cast("long"), lambda s, x: s + F.when(x["rule"] != "boilerplate", x["words"]).otherwise(0)).alias("__lost"))
+                 words_of(lambda r: ~r.isin("licence", "boilerplate", "notice")).alias("__lost"), words_of(lambda r: r != "licence").alias("__all_lost"),
+                 words_of(lambda r: r == "notice").alias("__notices"))
     for name, column in repeated_words("__hashes", "n_words"):
         d = d.select("*", column.alias(name))
     d = d.select(
         "*", F.aggregate("__passed", F.lit(0).cast("long"), lambda s, x: s + x["words"]).alias("n_kept_words"),
         F.array_join(F.transform("__passed", lambda x: x["line"]), "\n").alias("clean"),
-        ((F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))).alias("base_failed"),
+        ((F.col("n_words") < LEAST_WORDS) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))).alias("base_failed"),
     )
-    kept = ~F.col("base_failed") & (F.col("n_kept_words") > 0) & (F.col("__lost") <= F.col("n_words") * max_loss)
+    kept = ~F.col("base_failed") & (F.col("n_kept_words") + F.col("__notices") > 0) & (F.col("__lost") <= F.col("n_words") * max_loss)
+    kept_clean = kept & (F.col("n_kept_words") >= LEAST_WORDS) & (F.col("__all_lost") <= F.col("n_words") * max_loss)
     fields = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "n_kept_words", "clean"]
-    return d.select(*[F.col("__row").getField(c).alias(c) for c in names], F.struct(*fields, kept.alias("kept")).alias("quality"))
+    return d.select(*[F.col("__row").getField(c).alias(c) for c in names], F.struct(*fields, kept.alias("kept"), kept_clean.alias("kept_clean")).alias("quality"))
 
 
 def cleaned(docs: DataFrame, text_col: str = "text", max_loss: float = 0.5) -> DataFrame:
-    """The kept rows with their cleaned text, columns as before."""
+    """The kept_clean rows with their cleaned text, columns as before."""
     # A plain filter would be pushed below the steps that build the verdict and repeat them inside each other.
     judged = assess(docs, text_col, max_loss)
-    kept = judged.select(*[F.col(f"`{c}`") for c in docs.columns], F.explode_outer(F.filter(F.array("quality"), lambda q: q["kept"])).alias("__kept")).where("__kept is not null")
+    kept = judged.select(*[F.col(f"`{c}`") for c in docs.columns], F.explode_outer(F.filter(F.array("quality"), lambda q: q["kept_clean"])).alias("__kept")).where("__kept is not null")
     return kept.select(*[F.col("__kept.clean").alias(c) if c == text_col else F.col(f"`{c}`") for c in docs.columns])
 
 

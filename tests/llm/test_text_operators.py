@@ -198,6 +198,17 @@ def test_quality(spark, empty):
     assert quality.assess(empty).count() == 0
 
 
+def test_cleaned_counts_boilerplate_as_loss(spark):
+    site = "\n".join(f"{x} {i}." for i in range(8) for x in ("Cookies help us", "Please log in", "Subscribe now to", "Copyright by site"))
+    good = "\n".join(prose(i, 20) for i in range(3))
+    notice = "By going on you accept the terms of use of this page, its privacy policy and our own cookies, " + " ".join(f"rule{i}" for i in range(24)) + ", all rights reserved."
+    rows = [(1, site + "\nOne short line."), (2, site + "\n" + prose(1, 30)), (3, good + "\nPlease log in."), (4, good + "\n" + notice), (5, notice + "\nOne short line of text."),
+            (6, "Released in all its many parts and for all of their users under the MIT License.\n" + prose(2, 12)), (7, "Plain words of it.\nBUY NOW !!!!\nfour or more words here"), (8, prose(3, 60) + " It says copyright once.")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    out = {r["doc_id"]: r["text"] for r in quality.cleaned(df).collect()}
+    assert set(out) == {3, 4, 6, 8} and out[3] == out[4] == good and out[8] == rows[7][1] and out[6] == prose(2, 12)
+
+
 def test_quality_counts_equal_brute_force(docs, corpus):
     for r in quality.assess(docs).collect():
         t = r["text"] or ""
