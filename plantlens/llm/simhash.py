@@ -203,7 +203,7 @@ def similar_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 _P1, _P2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 HELD_WORDS = 500_000  # words whose hashes a task holds
 SAMPLE, COMMON, MOST_COMMON = 5_000, 10, 200_000
-_HEADS = (F.min, F.max)  # who stands for the rows of a key in each round that compares with one row only
+_HEADS = (F.min, F.max)  # who stand for the rows of a key in the round that compares with them only
 
 
 def shingle_set(text: str | None, shingle: int = 5, held: dict[bytes, int] | None = None) -> np.ndarray:
@@ -235,9 +235,9 @@ def set_id(hashes: np.ndarray) -> int:
 
 
 def prefix(hashes: np.ndarray, similarity: float, common: np.ndarray) -> np.ndarray:
-    """The members that a set of this similarity shares one of: by hash, those in ``common`` last."""
+    """The members that a set of this similarity shares one of: by hash, those in the sorted ``common`` last."""
     n = len(hashes)
-    often = np.isin(hashes, common)
+    often = common[np.minimum(np.searchsorted(common, hashes), len(common) - 1)] == hashes if len(common) else np.zeros(n, bool)
     return np.concatenate([hashes[~often], hashes[often]])[: n - int(np.ceil(similarity * n - 1e-9)) + 1 if n else 0]
 
 
@@ -265,10 +265,10 @@ def exact_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     """(id, mark, component) of every row: rows are linked where the Jaccard similarity of their sets of word shingles is enough.
 
     ``mark`` is the hash of the text, the component the smallest name of a set that links lead to. No pair of this
-    similarity is left out and none below it is linked, save by equal 64-bit hashes. Rows of equal sets are one node. In
-    two rounds each set is compared with the one that it shares most keys with among those that stand for its keys,
-    which joins large groups at a cost of their number of rows; then all sets that share a key and are in different
-    classes are compared. Many sets under one key that stay apart cost the square of their number. Null and empty
+    similarity is left out and none below it is linked, save by equal 64-bit hashes. Rows of equal sets are one node.
+    First each set is compared with the two that it shares most keys with among those that stand for its keys, which
+    joins large groups at a cost of their number of rows; then all sets that share a key and are in different classes
+    are compared. Many sets under one key that stay apart cost the square of their number. Null and empty
     texts have the empty set and are alike.
     """
     texts = _texts(docs, id_col, text_col)
@@ -310,7 +310,7 @@ def exact_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
         both = pairs.join(sets.select(F.col("node").alias("a"), F.col("members").alias("x")), "a").join(sets.select(F.col("node").alias("b"), F.col("members").alias("y")), "b")
         return staged(both.where(F.size(F.array_intersect("x", "y")) >= (F.size("x") + F.size("y")) * least - 1e-6).select("a", "b"), name)
 
-    placed, near, roots = met.withColumn("class", F.col("node")), None, None
+    placed, near, roots = None, None, None
 
     def settle(found: DataFrame) -> None:
         nonlocal placed, near, roots
@@ -320,10 +320,13 @@ def exact_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
         mixed = placed.groupBy("key").agg(F.min("class").alias("low"), F.max("class").alias("high")).where("low < high").select("key")
         placed = placed.join(mixed, "key")
 
+    firsts = None
     for pick in _HEADS:
-        heads = placed.groupBy("key").agg(pick(F.struct("node", "n", "at", "class")).alias("h")).select("key", F.col("h.node").alias("b"), F.col("h.n").alias("m"), F.col("h.at").alias("to"), F.col("h.class").alias("d"))
-        shared = placed.join(heads, "key").where((F.col("class") != F.col("d")) & may("n", "at", "m", "to")).groupBy("node", "b").count()
-        settle(judged(shared.groupBy("node").agg(F.max(F.struct("count", "b")).alias("best")).select(F.col("node").alias("a"), F.col("best.b").alias("b")), "near"))
+        heads = met.groupBy("key").agg(pick(F.struct("node", "n", "at")).alias("h")).select("key", F.col("h.node").alias("b"), F.col("h.n").alias("m"), F.col("h.at").alias("to"))
+        shared = met.join(heads, "key").where((F.col("node") != F.col("b")) & may("n", "at", "m", "to")).groupBy("node", "b").count()
+        best = shared.groupBy("node").agg(F.max(F.struct("count", "b")).alias("best")).select(F.col("node").alias("a"), F.col("best.b").alias("b"))
+        firsts = best if firsts is None else firsts.union(best)
+    settle(judged(firsts.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "near"))
     one = placed.select("key", F.col("node").alias("a"), "n", "at", F.col("class").alias("c"))
     two = placed.select(F.col("key").alias("key2"), F.col("node").alias("b"), F.col("n").alias("m"), F.col("at").alias("to"), F.col("class").alias("d"))
     pairs = one.join(two, (F.col("key") == F.col("key2")) & (F.col("c") < F.col("d")) & may("n", "at", "m", "to")).select("a", "b").distinct()
