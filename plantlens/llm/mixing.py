@@ -154,8 +154,11 @@ def copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sour
 
 
 def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", seed: int = 42, **options) -> DataFrame:
-    """The rows the mix takes, with their columns and ``times``, how often it takes them (of equal rows, at most)."""
+    """The rows the mix takes, with their columns and ``times``, how often it takes them (of equal rows, at most).
+
+    A column ``times`` of the input gives way to the new one.
+    """
     draw = F.xxhash64(F.lit(seed), F.col(id_col).cast("long"), F.col(text_col).cast("string"))
     taken = copies(docs, id_col=id_col, text_col=text_col, seed=seed, **options).where("times > 0").groupBy(F.col("draw").alias("__draw")).agg(F.max("times").alias("__times"))
     out = docs.join(taken.hint("shuffle_hash"), draw == F.col("__draw"))
-    return out.select(*[docs[c] for c in docs.columns], F.col("__times").alias("times"))
+    return out.select(*[docs[f"`{c}`"] for c in docs.columns if c != "times"], F.col("__times").alias("times"))

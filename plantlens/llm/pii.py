@@ -175,13 +175,14 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", fit_doc
     return model
 
 
-def spans(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
-    """``docs`` with columns base and spans: sorted arrays of (start, kind, end, found), code points, end exclusive.
+def spans(docs: DataFrame, model: Model, text_col: str = "text", into: tuple[str, str] = ("base", "spans")) -> DataFrame:
+    """``docs`` with two columns ``into``, base and spans: sorted arrays of (start, kind, end, found), code points, end exclusive.
 
-    spans holds all of base and what the model adds beyond it; spans may overlap. Null and empty texts have none.
+    spans holds all of base and what the model adds beyond it; spans may overlap. Null and empty texts have none. Other
+    columns pass through whatever they are called and hold, save that none may be called as the two.
     """
-    if {"base", "spans"} & set(docs.columns):
-        raise ValueError("the input has a column named base or spans already")
+    if set(into) & set(docs.columns):
+        raise ValueError(f"the input has a column named {into[0]} or {into[1]} already")
     names = docs.columns
     d = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("__row"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("__text"))
     d = d.select("*", F.sort_array(F.concat(*[find(F.col("__text"), k) for k in BASE])).alias("__base"))
@@ -193,7 +194,7 @@ def spans(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
         all_ = F.sort_array(F.concat("__base", added.cast(_SPAN)))
     else:
         all_ = F.col("__base")
-    return d.select(*[F.col("__row").getField(c).alias(c) for c in names], F.col("__base").alias("base"), all_.alias("spans"))
+    return d.select(*[F.col("__row").getField(c).alias(c) for c in names], F.col("__base").alias(into[0]), all_.alias(into[1]))
 
 
 def listed(spans_: Column) -> Column:
@@ -216,7 +217,7 @@ def redacted(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame
         piece = F.concat(F.substring(text, acc["at"] + 1, s["start"] - acc["at"]), F.lit("["), F.get(names, s["kind"]), F.lit("]"))
         return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), F.when(fresh, F.concat(acc["out"], F.array(piece))).otherwise(acc["out"]).alias("out"))
 
-    done = F.aggregate("spans", F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out")), step,
+    done = F.aggregate("__spans_found", F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out")), step,
                        lambda acc: F.concat(F.array_join(acc["out"], ""), F.substring(text, acc["at"] + 1, F.length(text))))
-    found = spans(docs, model, text_col)
-    return found.select(*[F.when(F.size("spans") > 0, done).otherwise(text).alias(c) if c == text_col else F.col(f"`{c}`") for c in docs.columns])
+    found = spans(docs, model, text_col, ("__base_found", "__spans_found"))
+    return found.select(*[F.when(F.size("__spans_found") > 0, done).otherwise(text).alias(c) if c == text_col else F.col(f"`{c}`") for c in docs.columns])

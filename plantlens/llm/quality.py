@@ -66,21 +66,20 @@ def repeated_words(hashes: str, n: str) -> list[tuple[str, Column]]:
     return [("__win", window), ("__placed", placed), ("__again", F.sort_array(again)), ("n_repeat_words", total)]
 
 
-def assess(docs: DataFrame, text_col: str = "text", max_loss: float = 0.5) -> DataFrame:
-    """``docs`` with one column ``quality``, a struct of counts, flags and the cleaned text; no row is dropped.
+def assess(docs: DataFrame, text_col: str = "text", max_loss: float = 0.5, into: str = "quality") -> DataFrame:
+    """``docs`` with one more column, ``into``: a struct of counts, flags and the cleaned text; no row is dropped.
 
     Fields: n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, n_kept_words (words of the lines
-    that pass), clean (those lines joined by line feeds, lines without a word included), kept, kept_clean. A text is kept
-    if base_failed is false, a word is left, and lines that fail by other rules than licence, boilerplate and notice hold
-    at most ``max_loss`` of its words; this is the verdict that the SQL of op2 gives. It is kept_clean, which ``cleaned``
-    asks for, if also all failing lines but those that name a licence hold at most ``max_loss`` of its words and
-    the cleaned text has ten words. Null and blank texts have zero counts and fail for want of words. Repeated rows are
-    judged alike; other columns pass through whatever they hold.
+    that pass), clean (those lines joined by line feeds, lines without a word included), kept. A text is kept if
+    base_failed is false, the cleaned text has ten words, and failing lines hold at most ``max_loss`` of its words; lines
+    that name a licence are removed but not counted as lost. Null and blank texts have zero counts and fail
+    for want of words. Repeated rows are judged alike; other columns pass through whatever they are called and hold, save
+    that none may be called as ``into``.
     """
-    if "quality" in docs.columns:
-        raise ValueError("the input has a column named quality already")
+    if into in docs.columns:
+        raise ValueError(f"the input has a column named {into} already")
     names = docs.columns
-    d = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("__row"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("__text"))
+    d = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("__row"), F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")).alias("__text"))
     d = d.select("*", text_words(F.col("__text")).alias("__words"), F.split("__text", "\n").alias("__lines"))
     d = d.select(
         "*", F.size("__words").cast("long").alias("n_words"), F.transform("__words", lambda w: F.xxhash64(w)).alias("__hashes"),
@@ -89,11 +88,8 @@ def assess(docs: DataFrame, text_col: str = "text", max_loss: float = 0.5) -> Da
         F.transform("__lines", lambda x: F.struct(x.alias("line"), _count(x, WORD).alias("words"))).alias("__counted"),
     )
     judged = F.transform("__counted", lambda x: F.struct(x["line"].alias("line"), x["words"].alias("words"), F.when(x["words"] > 0, line_fails(x["line"], x["words"])).alias("rule")))
-    d = d.select("*", (F.size("__full") - F.size(F.array_distinct("__full"))).cast("long").alias("n_dup_lines"),
-                 judged.alias("__judged"))
-    d = d.select("*", F.filter("__judged", lambda x: x["rule"].isNull()).alias("__passed"),
-                 words_of(lambda r: ~r.isin("licence", "boilerplate", "notice")).alias("__lost"), words_of(lambda r: r != "licence").alias("__all_lost"),
-                 words_of(lambda r: r == "notice").alias("__notices"))
+    d = d.select("*", (F.size("__full") - F.size(F.array_distinct("__full"))).cast("long").alias("n_dup_lines"), judged.alias("__judged"))
+    d = d.select("*", F.filter("__judged", lambda x: x["rule"].isNull()).alias("__passed"), words_of(lambda r: r != "licence").alias("__lost"))
     for name, column in repeated_words("__hashes", "n_words"):
         d = d.select("*", column.alias(name))
     d = d.select(
@@ -101,18 +97,17 @@ def assess(docs: DataFrame, text_col: str = "text", max_loss: float = 0.5) -> Da
         F.array_join(F.transform("__passed", lambda x: x["line"]), "\n").alias("clean"),
         ((F.col("n_words") < LEAST_WORDS) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))).alias("base_failed"),
     )
-    kept = ~F.col("base_failed") & (F.col("n_kept_words") + F.col("__notices") > 0) & (F.col("__lost") <= F.col("n_words") * max_loss)
-    kept_clean = kept & (F.col("n_kept_words") >= LEAST_WORDS) & (F.col("__all_lost") <= F.col("n_words") * max_loss)
+    kept = ~F.col("base_failed") & (F.col("n_kept_words") >= LEAST_WORDS) & (F.col("__lost") <= F.col("n_words") * max_loss)
     fields = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "n_kept_words", "clean"]
-    return d.select(*[F.col("__row").getField(c).alias(c) for c in names], F.struct(*fields, kept.alias("kept"), kept_clean.alias("kept_clean")).alias("quality"))
+    # A generator, as a filter on the verdict would else be pushed below its steps and repeat them inside each other.
+    verdict = F.explode_outer(F.array(F.struct(*fields, kept.alias("kept"))))
+    return d.select("__row", verdict.alias("__verdict")).select(*[F.col("__row").getField(c).alias(c) for c in names], F.col("__verdict").alias(into))
 
 
 def cleaned(docs: DataFrame, text_col: str = "text", max_loss: float = 0.5) -> DataFrame:
-    """The kept_clean rows with their cleaned text, columns as before."""
-    # A plain filter would be pushed below the steps that build the verdict and repeat them inside each other.
-    judged = assess(docs, text_col, max_loss)
-    kept = judged.select(*[F.col(f"`{c}`") for c in docs.columns], F.explode_outer(F.filter(F.array("quality"), lambda q: q["kept_clean"])).alias("__kept")).where("__kept is not null")
-    return kept.select(*[F.col("__kept.clean").alias(c) if c == text_col else F.col(f"`{c}`") for c in docs.columns])
+    """The kept rows with their cleaned text, columns as before."""
+    judged = assess(docs, text_col, max_loss, "__quality").where("__quality.kept")
+    return judged.select(*[F.col("__quality.clean").alias(c) if c == text_col else F.col(f"`{c}`") for c in docs.columns])
 
 
 def recounted(docs: DataFrame, text_col: str = "text", count_col: str = "n_chars") -> DataFrame:

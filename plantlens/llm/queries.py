@@ -42,15 +42,17 @@ dup AS (SELECT doc_id, count(*) - count(DISTINCT line) AS n FROM lines WHERE n >
 facts AS (SELECT *, len(regexp_extract_all(line, '!')) AS shout, len(regexp_extract_all(line, '[#*$%&|<>]')) AS sym,
   len(list_filter(string_split_regex(line, '[\x20\x09]'), lambda x: regexp_full_match(x, '[|·»›>]+'))) AS menu,
   n <= 40 AND regexp_matches(line, '(?i)(\b(licen[sc]ed under|under the .{1,40} licen[sc]e|all rights reserved|copyright|\(c\) ?[0-9]{4}|privacy policy|terms of (use|service)|cookies?|enable javascript|subscribe (to|now)|sign up|log ?in|read more|click here)\b|spdx-licen[sc]e-identifier)') AS boiler,
+  n > 40 AND 20 * len(regexp_extract_all(line, '(?i)(\b(licen[sc]ed under|under the .{1,40} licen[sc]e|all rights reserved|copyright|\(c\) ?[0-9]{4}|privacy policy|terms of (use|service)|cookies?|enable javascript|subscribe (to|now)|sign up|log ?in|read more|click here)\b|spdx-licen[sc]e-identifier)')) >= n AS notice,
+  regexp_matches(line, '(?i)(\b(licen[sc]ed under|under the .{1,40} licen[sc]e)\b|spdx-licen[sc]e-identifier)') AS licence,
   regexp_matches(line, '[.!?…:;]["''”’»)\]]*([\x20\x09-\x0D]|\z)') AS ends FROM lines WHERE n > 0),
-ok AS (SELECT doc_id, sum(n) AS n FROM facts WHERE NOT (menu >= 2 AND 5 * menu >= n) AND NOT (sym * 5 > n AND n >= 3) AND NOT (shout * 3 > n AND shout >= 3)
-  AND NOT boiler AND NOT (n > 3 AND NOT ends) GROUP BY 1),
-lost AS (SELECT doc_id, sum(n) AS n FROM facts WHERE (menu >= 2 AND 5 * menu >= n) OR (sym * 5 > n AND n >= 3) OR (shout * 3 > n AND shout >= 3) OR (NOT boiler AND n > 3 AND NOT ends) GROUP BY 1),
+judged AS (SELECT doc_id, n, (menu >= 2 AND 5 * menu >= n) OR (sym * 5 > n AND n >= 3) OR (shout * 3 > n AND shout >= 3) AS junk,
+  junk OR boiler OR (n > 3 AND NOT ends) OR notice AS fails, NOT junk AND boiler AND licence AS exempt FROM facts),
+sums AS (SELECT doc_id, sum(n) FILTER (NOT fails) AS n_ok, sum(n) FILTER (fails AND NOT exempt) AS n_lost FROM judged GROUP BY 1),
 base AS (SELECT w.doc_id, len(words)::BIGINT AS n_words, coalesce(list_sum(list_transform(words, lambda x: length(x))), 0)::BIGINT AS word_chars,
-  len(regexp_extract_all(text, '[#*$%&|<>]'))::BIGINT AS n_symbols, coalesce(dup.n, 0)::BIGINT AS n_dup_lines, coalesce(rep.n, 0)::BIGINT AS n_repeat_words, coalesce(ok.n, 0) AS n_ok, coalesce(lost.n, 0) AS n_lost
-  FROM w LEFT JOIN dup USING (doc_id) LEFT JOIN rep USING (doc_id) LEFT JOIN ok USING (doc_id) LEFT JOIN lost USING (doc_id))
+  len(regexp_extract_all(text, '[#*$%&|<>]'))::BIGINT AS n_symbols, coalesce(dup.n, 0)::BIGINT AS n_dup_lines, coalesce(rep.n, 0)::BIGINT AS n_repeat_words, coalesce(n_ok, 0) AS n_ok, coalesce(n_lost, 0) AS n_lost
+  FROM w LEFT JOIN dup USING (doc_id) LEFT JOIN rep USING (doc_id) LEFT JOIN sums USING (doc_id))
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed,
-  NOT (n_words < 10 OR 100 * n_repeat_words > 20 * n_words) AND n_ok > 0 AND n_lost <= n_words * 0.5 AS kept FROM base""")
+  NOT (n_words < 10 OR 100 * n_repeat_words > 20 * n_words) AND n_ok >= 10 AND n_lost <= n_words * 0.5 AS kept FROM base""")
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Counts and verdict of the quality rules for every document."""
     fields = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")

@@ -37,15 +37,16 @@ def fingerprint(text: str | None, shingle: int = 5) -> int:
 
 
 def fingerprints(docs: DataFrame, id_col: str, text_col: str, shingle: int = 5) -> DataFrame:
-    """(id, print) of every row, the print as a signed long; columns besides the two are not read."""
+    """(id, mark, print) of every row: a hash of the text and the print as signed longs; other columns are not read."""
 
     def prints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = np.fromiter((fingerprint(t.as_py(), shingle) for t in batch.column(1)), np.uint64, batch.num_rows)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out.view(np.int64))], names=["id", "print"])
+            out = np.fromiter((fingerprint(t.as_py(), shingle) for t in batch.column(2)), np.uint64, batch.num_rows)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out.view(np.int64))], names=["id", "mark", "print"])
 
-    two = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    return two.mapInArrow(prints, "id long, print long")
+    text = F.col(f"`{text_col}`").cast("string")
+    three = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.xxhash64(text).alias("mark"), text.alias("text"))
+    return three.mapInArrow(prints, "id long, mark long, print long")
 
 
 def _half(x: Column, v: Column) -> Column:
@@ -66,286 +67,52 @@ def variants(prints: DataFrame) -> DataFrame:
 
 
 def links(prints: DataFrame, bits: int = 3) -> DataFrame:
-    """(a, b): ids of all pairs of different prints at ``bits`` (3 at most) differing bits or fewer.
+    """(a, b): all pairs of different prints at ``bits`` (3 at most) differing bits or fewer.
 
     ``prints`` has one row per print. The equality join on the key is checked in its condition, so only true links
     come out, each once per segment: a pair meets in the variant of its differing bit, or in the first one.
     """
     if bits > 3:
         raise ValueError("two segments find pairs of at most three differing bits")
-    keyed = variants(prints)
-    one = keyed.select("key", F.col("print").alias("p"), F.col("id").alias("a"))
-    two = keyed.select("key", F.col("print").alias("q"), F.col("id").alias("b"))
-    x = F.col("p").bitwiseXOR(F.col("q"))
+    keyed = variants(prints.select("print"))
+    one = keyed.select("key", F.col("print").alias("a"))
+    two = keyed.select("key", F.col("print").alias("b"))
+    x = F.col("a").bitwiseXOR(F.col("b"))
     v = F.shiftright(one["key"], HALF).cast("int")
     differs = _half(x, v)
     bit = F.pmod(v, F.lit(HALF))
     met = (differs == F.pow(F.lit(2.0), bit).cast("long")) | ((differs == 0) & (bit == 0))
-    near = (F.col("p") < F.col("q")) & (F.bit_count(x) <= bits) & met
+    near = (F.col("a") < F.col("b")) & (F.bit_count(x) <= bits) & met
     return one.join(two, (one["key"] == two["key"]) & near).select("a", "b").distinct()
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, bits: int = 3) -> DataFrame:
-    """(id, print, component): the component is the smallest id that links lead to.
+    """(id, mark, print, root, component): root names a class of linked rows, component is the smallest id in it.
 
-    Every row is returned. Null and empty texts have print 0 and link like any other; repeated ids each keep their
-    row; rows with a null id take the component of their print. An empty table gives an empty table. Prints are
-    written to the shared folder once; rows with equal prints meet in one aggregate, so copies are never paired.
+    Every row is returned. Null and empty texts have print 0 and link like any other; rows without an id and rows that
+    repeat an id are rows like any other, and a class without any id has no component. An empty table gives an empty
+    table. Prints are written to the shared folder once; rows with equal prints meet in one aggregate, so copies
+    are never paired.
     """
     prints = staged(fingerprints(docs, id_col, text_col, shingle), "prints")
     firsts = staged(prints.groupBy("print").agg(F.min("id").alias("id")), "firsts")
-    roots = components(links(firsts.where("id is not null"), bits))
-    classes = firsts.join(roots, firsts["id"] == roots["node"], "left").select("print", F.coalesce("root", "id").alias("component"))
-    return prints.join(classes, "print", "left").select("id", "print", "component")
+    roots = components(links(firsts, bits))
+    placed = firsts.join(roots, firsts["print"] == roots["node"], "left").select("print", "id", F.coalesce("root", "print").alias("root"))
+    lowest = placed.groupBy("root").agg(F.min("id").alias("component"))
+    classes = placed.drop("id").join(lowest, "root")
+    return prints.join(classes, "print").select("id", "mark", "print", "root", "component")
 
 
-def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, bits: int = 3) -> DataFrame:
-    """The rows of ``docs`` whose id is the smallest of its component; of repeated ids all rows stay."""
-    first = near_duplicates(docs, id_col, text_col, shingle, bits).where("id = component").select(F.col("id").alias("__kept")).distinct()
-    return docs.join(first, docs[id_col].cast("long") == first["__kept"], "left_semi")
+def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, bits: int = 3) -> DataFrame:
+    """One row of ``docs`` for each class of ``near_duplicates``: that of the smallest id.
 
-
-# Links by similarity. Copies with edits in every tenth place differ in too many bits of 64 for pigeonholes, so
-# candidates meet in prints of the word set, which edits move least, and longer prints of the shingles judge them.
-
-WORD_LANES, LANES = 2, 8
-SEGMENT, SEGMENTS = 24, 4
-_GOLDEN = 0x9E3779B97F4A7C15
-
-
-def _lane(h: np.ndarray, lane: int) -> np.ndarray:
-    """Another 64 bits from each hash."""
-    if lane == 0:
-        return h
-    z = h + np.uint64(lane * _GOLDEN % 2**64)
-    z = (z ^ z >> np.uint64(30)) * np.uint64(0xBF58476D1CE4E5B9)
-    z = (z ^ z >> np.uint64(27)) * np.uint64(0x94D049BB133111EB)
-    return z ^ z >> np.uint64(31)
-
-
-def _majority(h: np.ndarray, lanes: int) -> np.ndarray:
-    ones = np.zeros((lanes, 64), np.int64)
-    for start in range(0, len(h), BLOCK):
-        for lane in range(lanes):
-            x = _lane(h[start : start + BLOCK], lane).astype("<u8").view(np.uint8).reshape(-1, 8)
-            ones[lane] += np.unpackbits(x, axis=1, bitorder="little").sum(0, dtype=np.int64)
-    return np.packbits(2 * ones > len(h), axis=1, bitorder="little").view("<u8").ravel()
-
-
-def long_print(text: str | None, shingle: int = 5) -> np.ndarray:
-    """128 bits of the set of words, then 512 of the word shingles, as ten unsigned numbers; all 0 without words."""
-    words = split_words(text)
-    if not words:
-        return np.zeros(WORD_LANES + LANES, np.uint64)
-    each = np.array([xxhash.xxh64_intdigest(w, SEED) for w in set(words)], np.uint64)
-    cuts = map(b" ".join, zip(*[words[i:] for i in range(shingle)])) if len(words) >= shingle else [b" ".join(words)]
-    shingles = np.array([xxhash.xxh64_intdigest(s, SEED) for s in cuts], np.uint64)
-    return np.concatenate([_majority(each, WORD_LANES), _majority(shingles, LANES)])
-
-
-def similar_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8) -> DataFrame:
-    """(id, component) of every row, linked where the shingles' similarity, as their prints estimate it, is enough.
-
-    The angle between prints estimates the cosine c of the shingle counts, and c / (2 - c) the Jaccard similarity.
-    The word-set print is cut into four segments of 24 bits with deletion variants. Under one key each row is first
-    compared with the row of the smallest id, which joins most of a large group at a cost of its number of rows. Rows
-    under one key that are still in different classes are then compared with each other in the condition of an equality
-    join, so no link between two rows that share a key is lost and only links between classes come out. Equal prints
-    are one node. Null and empty texts are alike.
-    """
-    total = WORD_LANES + LANES
-    names = [f"p{i}" for i in range(total)]
-
-    def prints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out = np.array([long_print(t.as_py(), shingle) for t in batch.column(1)], np.uint64).reshape(-1, total).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(out[:, i].copy()) for i in range(total)]], names=["id", *names])
-
-    two = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    all_ = staged(two.mapInArrow(prints, ", ".join(["id long", *[f"{n} long" for n in names]])), "long-prints")
-    firsts = staged(all_.groupBy(*names).agg(F.min("id").alias("id")), "first-prints")
-    nodes = firsts.where("id is not null")
-    mask = (1 << SEGMENT) - 1
-    keys = []
-    for s in range(SEGMENTS):
-        lane, shift = divmod(s, 2)
-        segment = F.shiftrightunsigned(F.col(names[lane]), shift * SEGMENT).bitwiseAND(F.lit(mask))
-        keys += [segment.bitwiseAND(F.lit(mask & ~(1 << i))).bitwiseOR(F.lit((s * SEGMENT + i) << SEGMENT)) for i in range(SEGMENT)]
-    keyed = nodes.select("id", F.explode(F.array(*keys)).alias("key"))
-    heads = keyed.groupBy("key").agg(F.min("id").alias("head"), F.count("*").alias("n")).where("n > 1").drop("n")
-    met = staged(keyed.join(heads, "key"), "met")
-    prints_of = nodes.select("id", F.array(*[F.col(n) for n in names[WORD_LANES:]]).alias("bits"))
-    mine = prints_of.select("id", F.col("bits").alias("a"))
-    other = prints_of.select(F.col("id").alias("head"), F.col("bits").alias("b"))
-    differs = F.aggregate(F.zip_with("a", "b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
-    alike = F.cos(differs * float(np.pi / (64 * LANES))) >= 2 * similarity / (1 + similarity)
-    pairs = met.where("id <> head").select("id", "head").distinct()
-    near = staged(pairs.join(mine, "id").join(other, "head").where(alike).select("id", "head"), "near")
-    roots = components(near)
-    placed = staged(met.join(roots, met["id"] == roots["node"], "left").select("key", "id", F.coalesce("root", "id").alias("class")), "placed")
-    mixed = placed.groupBy("key").agg(F.min("class").alias("low"), F.max("class").alias("high")).where("low < high").select("key")
-    crowd = staged(placed.join(mixed, "key", "left_semi").join(prints_of, "id"), "crowd")
-    one = crowd.select("key", "id", F.col("class").alias("c"), F.col("bits").alias("a"))
-    two = crowd.select(F.col("key").alias("key2"), F.col("id").alias("head"), F.col("class").alias("d"), F.col("bits").alias("b"))
-    late = one.join(two, (F.col("key") == F.col("key2")) & (F.col("c") < F.col("d")) & alike).select("c", "d").distinct()
-    higher = components(late).select(F.col("node").alias("class"), F.col("root").alias("top"))
-    classes = firsts.join(roots, firsts["id"] == roots["node"], "left").select(*[F.col(n).alias(f"c_{n}") for n in names], F.coalesce("root", "id").alias("class"))
-    classes = classes.join(higher, "class", "left").withColumn("component", F.coalesce("top", "class"))
-    same = F.lit(True)
-    for n in names:
-        same = same & (F.col(n) == F.col(f"c_{n}"))
-    return all_.join(classes, same, "left").select("id", "component")
-
-
-# Exact classes. Two sets of similarity s or more share one of the first n - ceil(s n) + 1 members of either set in any
-# order that is the same for all sets, so these members are the keys; each candidate is then judged on the whole sets.
-
-_P1, _P2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
-HELD_WORDS = 500_000  # words whose hashes a task holds
-SAMPLE, COMMON, MOST_COMMON = 5_000, 10, 200_000
-_HEADS = (F.min, F.max)  # who stand for the rows of a key in the round that compares with them only
-
-
-def shingle_set(text: str | None, shingle: int = 5, held: dict[bytes, int] | None = None) -> np.ndarray:
-    """The distinct 64-bit hashes of the word shingles in ascending order; a text of fewer words is one shingle."""
-    words = split_words(text)
-    if not words:
-        return np.zeros(0, np.uint64)
-    held = {} if held is None else held
-    if len(held) > HELD_WORDS:
-        held.clear()
-    for w in words:
-        if w not in held:
-            held[w] = xxhash.xxh64_intdigest(w, SEED)
-    each = np.fromiter(map(held.__getitem__, words), np.uint64, len(words))
-    wide = min(shingle, len(words))
-    n = len(words) - wide + 1
-    out = np.full(n, SEED, np.uint64)
-    for k in range(wide):
-        out = (out ^ each[k : k + n]) * _P1
-        out ^= out >> np.uint64(29)
-        out *= _P2
-        out ^= out >> np.uint64(32)
-    return np.unique(out)
-
-
-def set_id(hashes: np.ndarray) -> int:
-    """A signed 64-bit name of the set."""
-    return int(np.array([xxhash.xxh3_64_intdigest(hashes.tobytes())], np.uint64).view(np.int64)[0])
-
-
-def prefix(hashes: np.ndarray, similarity: float, common: np.ndarray) -> np.ndarray:
-    """The members that a set of this similarity shares one of: by hash, those in the sorted ``common`` last."""
-    n = len(hashes)
-    often = common[np.minimum(np.searchsorted(common, hashes), len(common) - 1)] == hashes if len(common) else np.zeros(n, bool)
-    return np.concatenate([hashes[~often], hashes[often]])[: n - int(np.ceil(similarity * n - 1e-9)) + 1 if n else 0]
-
-
-def _texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    text = F.col(text_col).cast("string")
-    return docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text).alias("mark"), text.alias("text"))
-
-
-def _common(texts: DataFrame, shingle: int) -> np.ndarray:
-    """Shingles of many texts, from a sample. They only set the order of members: any choice gives the same classes."""
-
-    def members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[bytes, int] = {}
-        for batch in batches:
-            sets = [shingle_set(t.as_py(), shingle, held).view(np.int64) for t in batch.column(0)]
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.zeros(0, np.int64), *sets]))], names=["h"])
-
-    share = min(1.0, SAMPLE / max(1, texts.count()))
-    counted = texts.select("text").sample(share, SEED).mapInArrow(members, "h long").groupBy("h").count().where(F.col("count") >= COMMON)
-    found = counted.orderBy(F.desc("count"), "h").limit(MOST_COMMON).select("h").toPandas()["h"].to_numpy(np.int64)
-    return np.sort(found.view(np.uint64))
-
-
-def exact_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8) -> DataFrame:
-    """(id, mark, component) of every row: rows are linked where the Jaccard similarity of their sets of word shingles is enough.
-
-    ``mark`` is the hash of the text, the component the smallest name of a set that links lead to. No pair of this
-    similarity is left out and none below it is linked, save by equal 64-bit hashes. Rows of equal sets are one node.
-    First each set is compared with the two that it shares most keys with among those that stand for its keys, which
-    joins large groups at a cost of their number of rows; then all sets that share a key and are in different classes
-    are compared. Many sets under one key that stay apart cost the square of their number. Null and empty
-    texts have the empty set and are alike.
-    """
-    texts = _texts(docs, id_col, text_col)
-    common = _common(texts, shingle)
-
-    def sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[bytes, int] = {}
-        for batch in batches:
-            sets = [shingle_set(t.as_py(), shingle, held) for t in batch.column(2)]
-            keys = [prefix(s, similarity, common).view(np.int64) for s in sets]
-            ends = np.cumsum([0, *map(len, keys)]).astype(np.int32)
-            lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([np.zeros(0, np.int64), *keys])))
-            cols = [batch.column(0), batch.column(1), pa.array([set_id(s) for s in sets], pa.int64()), pa.array(map(len, sets), pa.int32()), lists]
-            yield pa.RecordBatch.from_arrays(cols, names=["id", "mark", "node", "n", "keys"])
-
-    def members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[bytes, int] = {}
-        for batch in batches:
-            sets = [shingle_set(t.as_py(), shingle, held) for t in batch.column(0)]
-            yield pa.RecordBatch.from_arrays([pa.array([set_id(s) for s in sets], pa.int64()), pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))], names=["node", "members"])
-
-    all_ = staged(texts.mapInArrow(sketches, "id long, mark long, node long, n int, keys array<long>"), "sketches")
-    keyed = all_.select("node", "n", F.posexplode("keys").alias("at", "key"))
-    twice = keyed.select("key").groupBy("key").count().where("count > 1").select("key")
-    met = staged(keyed.join(twice, "key").distinct(), "met")
-    several = met.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low < high").select("key")
-    met = staged(met.join(several, "key"), "met-sets")
-    rows = all_.select("id", "mark", "node").join(met.select("node").distinct(), "node")
-    first = rows.groupBy("node").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "mark")).alias("r")).select(F.col("r.id").alias("i"), F.col("r.mark").alias("m"))
-    wanted = texts.join(first.hint("shuffle_hash"), F.col("id").eqNullSafe(F.col("i")) & (F.col("mark") == F.col("m")), "left_semi")
-    sets = staged(wanted.select("text").mapInArrow(members, "node long, members array<long>").groupBy("node").agg(F.first("members").alias("members")), "sets")
-    least = similarity / (1 + similarity)
-
-    def may(n: str, at: str, m: str, to: str) -> Column:
-        """Sets of n and m members may be alike if their first common member stands at these places."""
-        return F.least(F.col(n) - F.col(at), F.col(m) - F.col(to)) >= (F.col(n) + F.col(m)) * least - 1e-6
-
-    def judged(pairs: DataFrame, name: str) -> DataFrame:
-        both = pairs.join(sets.select(F.col("node").alias("a"), F.col("members").alias("x")), "a").join(sets.select(F.col("node").alias("b"), F.col("members").alias("y")), "b")
-        return staged(both.where(F.size(F.array_intersect("x", "y")) >= (F.size("x") + F.size("y")) * least - 1e-6).select("a", "b"), name)
-
-    placed, near, roots = None, None, None
-
-    def settle(found: DataFrame) -> None:
-        nonlocal placed, near, roots
-        near = found if near is None else near.union(found)
-        roots = components(near)
-        placed = staged(met.join(roots.withColumnRenamed("node", "of"), F.col("node") == F.col("of"), "left").select(*met.columns, F.coalesce("root", "node").alias("class")), "placed")
-        mixed = placed.groupBy("key").agg(F.min("class").alias("low"), F.max("class").alias("high")).where("low < high").select("key")
-        placed = placed.join(mixed, "key")
-
-    firsts = None
-    for pick in _HEADS:
-        heads = met.groupBy("key").agg(pick(F.struct("node", "n", "at")).alias("h")).select("key", F.col("h.node").alias("b"), F.col("h.n").alias("m"), F.col("h.at").alias("to"))
-        shared = met.join(heads, "key").where((F.col("node") != F.col("b")) & may("n", "at", "m", "to")).groupBy("node", "b").count()
-        best = shared.groupBy("node").agg(F.max(F.struct("count", "b")).alias("best")).select(F.col("node").alias("a"), F.col("best.b").alias("b"))
-        firsts = best if firsts is None else firsts.union(best)
-    settle(judged(firsts.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "near"))
-    one = placed.select("key", F.col("node").alias("a"), "n", "at", F.col("class").alias("c"))
-    two = placed.select(F.col("key").alias("key2"), F.col("node").alias("b"), F.col("n").alias("m"), F.col("at").alias("to"), F.col("class").alias("d"))
-    pairs = one.join(two, (F.col("key") == F.col("key2")) & (F.col("c") < F.col("d")) & may("n", "at", "m", "to")).select("a", "b").distinct()
-    settle(judged(pairs, "late"))
-    of = roots.select(F.col("node").alias("of"), "root")
-    return all_.select("id", "mark", "node").join(of, F.col("node") == F.col("of"), "left").select("id", "mark", F.coalesce("root", "node").alias("component"))
-
-
-def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """One row of ``docs`` for each class of similar texts (``exact_classes``): that of the smallest id.
-
-    A row without an id is a row like any other and stays if no row of its class has an id. Of rows of one id in a class
-    one stays.
+    A row without an id is a row like any other and stays if no row of its class has an id. Of rows that repeat the id
+    one stays, of the text with the smallest hash.
     """
-    rows = exact_classes(docs, id_col, text_col, **options).groupBy("component", "id", "mark").agg(F.count("*").alias("rows"))
-    best = rows.groupBy("component").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "mark", "rows")).alias("r"))
+    rows = near_duplicates(docs, id_col, text_col, shingle, bits).groupBy("root", "id", "mark").agg(F.count("*").alias("rows"))
+    best = rows.groupBy("root").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "mark", "rows")).alias("r"))
     first = staged(best.select(*[F.col(f"r.{c}").alias(f"__{c}") for c in ("id", "mark", "rows")]), "kept")
-    on = docs[id_col].cast("long").eqNullSafe(F.col("__id")) & (F.xxhash64(docs[text_col].cast("string")) == F.col("__mark"))
-    if first.where("__rows > 1").isEmpty():
-        return docs.join(first.hint("shuffle_hash"), on, "left_semi")
-    again = docs.join(first.where("__rows > 1"), on).groupBy("__id", "__mark").agg(F.first(F.struct(*[docs[c] for c in docs.columns])).alias("__row"))
-    return docs.join(first.where("__rows = 1").hint("shuffle_hash"), on, "left_semi").unionByName(again.select("__row.*"))
+    on = docs[f"`{id_col}`"].cast("long").eqNullSafe(F.col("__id")) & (F.xxhash64(docs[f"`{text_col}`"].cast("string")) == F.col("__mark"))
+    once = docs.join(first.where("__rows = 1"), on, "left_semi")
+    again = docs.join(first.where("__rows > 1"), on).groupBy("__id", "__mark").agg(F.first(F.struct(*[docs[f"`{c}`"] for c in docs.columns])).alias("__row"))
+    return once.unionByName(again.select("__row.*"))

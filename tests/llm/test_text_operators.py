@@ -71,120 +71,28 @@ def test_links_find_all_pairs_within_three_bits(spark):
     base = r.getrandbits(64)
     prints = list({base ^ sum(1 << b for b in r.sample(range(64), r.randrange(4))) for _ in range(80)} | {r.getrandbits(64) for _ in range(80)})
     signed = [p - 2**64 if p >= 2**63 else p for p in prints]
-    df = spark.createDataFrame(list(zip(range(len(prints)), signed)), "id long, print long")
-    got = {tuple(sorted(x)) for x in simhash.links(df).collect()}
-    assert got == {(i, j) for i in range(len(prints)) for j in range(i + 1, len(prints)) if (prints[i] ^ prints[j]).bit_count() <= 3}
-
-
-def test_similar_classes(docs, empty):
-    kept = {r["doc_id"] for r in simhash.keep_first(docs).collect()}
-    assert 3 in kept and 40 not in kept and 42 in kept and {43, 44} & kept == set() and set(range(40)) <= kept
+    got = {tuple(x) for x in simhash.links(spark.createDataFrame([(p,) for p in signed], "print long")).collect()}
+    assert got == {(a, b) for p, a in zip(prints, signed) for q, b in zip(prints, signed) if a < b and (p ^ q).bit_count() <= 3}
+
+
+def test_keep_first_keeps_one_row_of_each_class(spark, docs, corpus, empty):
+    prints = [simhash.fingerprint(t, 3) for _, t in corpus]
+    classes = list(range(len(corpus)))
+    for i, p in enumerate(prints):
+        for j, q in enumerate(prints):
+            if (p ^ q).bit_count() <= 3:
+                classes = [min(classes[i], classes[j]) if c in (classes[i], classes[j]) else c for c in classes]
+    want = [min((corpus[i][0] is None, corpus[i][0] or 0) for i in range(len(corpus)) if classes[i] == c) for c in sorted(set(classes))]
+    got = simhash.keep_first(docs).collect()
+    assert sorted((r["doc_id"] is None, r["doc_id"] or 0) for r in got) == sorted(want)
+    assert got[0].asDict().keys() == set(docs.columns)
+    # Rows without an id link others, and one stays where no row of a class has an id.
+    rows = [(None, prose(7, 200)), (None, prose(7, 200)), (5, prose(8, 200)), (None, prose(8, 200)), (5, prose(9, 200)), (5, prose(9, 200))]
+    left = simhash.keep_first(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted(repr(tuple(r)) for r in left) == sorted(map(repr, {rows[0], rows[2], rows[4]}))
     assert simhash.keep_first(empty).count() == 0
 
 
-def test_similar_classes_keep_links_that_miss_the_first_row(spark):
-    r = random.Random(5)
-    texts = []
-    for family in range(12):
-        base = prose(100 + family, 120).split()
-        for step in range(14):  # each differs a little more from the base, so links run through chains
-            words = list(base)
-            for at in r.sample(range(len(words)), step // 2):
-                words[at] = r.choice(WORDS)
-            texts.append(" ".join(words))
-    order = r.sample(range(len(texts)), len(texts))
-    got = dict(simhash.similar_classes(spark.createDataFrame([(i, texts[t]) for i, t in enumerate(order)], "doc_id long, text string").repartition(4)).collect())
-    prints = [[int(x) for x in simhash.long_print(texts[t])] for t in order]
-
-    def keys(p):
-        segments = [p[s // 2] >> (s % 2 * simhash.SEGMENT) & 0xFFFFFF for s in range(simhash.SEGMENTS)]
-        return {(s, i, x & ~(1 << i)) for s, x in enumerate(segments) for i in range(simhash.SEGMENT)}
-
-    under, root = [keys(p) for p in prints], list(range(len(prints)))
-    for j in range(len(prints)):
-        for i in range(j):
-            bits = sum((x ^ y).bit_count() for x, y in zip(prints[i][2:], prints[j][2:]))
-            if under[i] & under[j] and math.cos(bits * math.pi / 512) >= 1.6 / 1.8:
-                a, b = sorted((root[i], root[j]))
-                root = [a if x == b else x for x in root]
-    assert got == dict(enumerate(root)) and len(set(root)) > 12
-
-
-def edited_copies(r):
-    """Texts with a copy each that is cut, longer, replaced in one block, edited throughout or repeats lines, above and below similarity 0.8."""
-    out = []
-    for k in range(60):
-        base = [r.choice(WORDS) + str(r.randrange(900)) for _ in range(r.randrange(40, 300))]
-        n, share = len(base), r.choice([0.05, 0.1, 0.15, 0.18, 0.22, 0.3])
-        more = [f"new{r.randrange(10**6)}" for _ in range(int(n * share))]
-        at = r.randrange(n - len(more))
-        copies = [base[: n - len(more)], base[len(more) :], base + more, base[:at] + more + base[at + len(more) :], base + base[: n // 2] * 3, list(base)]
-        for i in r.sample(range(n), max(1, int(n * share / 6))):
-            copies[5][i] = f"edit{i}"
-        out += [base, copies[k % 6]]
-    return [" ".join(x) for x in out]
-
-
-def jaccard_roots(texts, shingle=5, similarity=0.8):
-    sets = []
-    for t in texts:
-        w = (t or "").lower().split()
-        sets.append({tuple(w[i : i + shingle]) for i in range(max(1, len(w) - shingle + 1))} if w else set())
-    root, links = list(range(len(sets))), 0
-    for j in range(len(sets)):
-        for i in range(j):
-            if len(sets[i] & sets[j]) >= similarity * len(sets[i] | sets[j]) - 1e-9:
-                a, b = sorted((root[i], root[j]))
-                root, links = [a if x == b else x for x in root], links + 1
-    return root, links
-
-
-def test_exact_classes_equal_brute_force(spark):
-    r = random.Random(11)
-    hot = " ".join(f"common{i}" for i in range(60))
-    texts = edited_copies(r) + [f"{hot} {prose(300 + i, 12)}" for i in range(40)] + [None, "", " \n", "One two", "one TWO", "one two three"]
-    for family in range(3):
-        base = [r.choice(WORDS) + str(r.randrange(900)) for _ in range(150)]
-        for step in range(12):
-            words = list(base)
-            for at in r.sample(range(150), step):
-                words[at] = f"x{r.randrange(10**6)}"
-            texts.append(" ".join(words))
-    r.shuffle(texts)
-    want, links = jaccard_roots(texts)
-    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
-    got = collections.defaultdict(set)
-    for row in simhash.exact_classes(df).collect():
-        got[row["component"]].add(row["id"])
-    classes = collections.defaultdict(set)
-    for i, x in enumerate(want):
-        classes[x].add(i)
-    assert sorted(map(sorted, got.values())) == sorted(map(sorted, classes.values())) and links > 50
-    assert {x["doc_id"] for x in simhash.keep_first(df).collect()} == set(want)
-
-
-def test_keep_first_judges_whole_sets(spark):
-    base = [f"w{i}" for i in range(204)]  # 200 shingles
-    rows, want = [], set()
-    for k in range(30):
-        words = [f"{w}f{k}" for w in base]
-        cut = words[: 200 - 2 * (k % 15)]  # the copy keeps 196 - 2 (k % 15) of the 200: similarity 0.98 to 0.84
-        cut = cut if k % 2 else cut[: 163 if k % 4 else 164]  # 159 (0.795) or 160 (0.8) of them
-        rows += [(2 * k, " ".join(words)), (2 * k + 1, " ".join(cut))]
-        sets = [{tuple(x[i : i + 5]) for i in range(len(x) - 4)} for x in (rows[-2][1].split(), rows[-1][1].split())]
-        want |= {2 * k} | ({2 * k + 1} if len(sets[0] & sets[1]) < 0.8 * len(sets[0] | sets[1]) - 1e-9 else set())
-    rows += [(100, "a b c d e f g h i j " * 3), (101, "a b c d e f g h i j " * 40)]  # the same set
-    got = {x["doc_id"] for x in simhash.keep_first(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
-    assert got == want | {100} and 30 < len(want) < 60
-
-
-def test_keep_first_counts_rows_without_an_id(spark):
-    same = prose(1, 60)
-    rows = [(None, prose(2, 60)), (None, prose(3, 60)), (None, prose(3, 60)), (None, same), (7, same), (7, same), (9, same), (8, prose(4, 60))]
-    kept = simhash.keep_first(spark.createDataFrame(rows, "doc_id long, text string")).collect()
-    assert sorted(map(repr, map(tuple, kept))) == sorted(map(repr, [rows[0], rows[1], rows[4], rows[7]]))
-
-
 def test_quality(spark, empty):
     good = "\n".join(prose(i, 20) for i in range(3))
     rows = [(1, good), (2, "Home | News | About | Contact | Help | Map | Jobs | More | All | End |"), (3, "BUY!! NOW!! CHEAP!! ALL!! OF!! IT!! IS!! HERE!! FOR!! YOU!!"), (4, None), (5, ""),
@@ -209,6 +117,17 @@ def test_cleaned_counts_boilerplate_as_loss(spark):
     assert set(out) == {3, 4, 6, 8} and out[3] == out[4] == good and out[8] == rows[7][1] and out[6] == prose(2, 12)
 
 
+def test_quality_verdict_can_be_filtered(docs, spark):
+    """A filter on the verdict is not pushed below its steps; thirty lines of boilerplate are no text."""
+    judged = quality.assess(docs).select("doc_id", "quality.*")
+    rows = judged.collect()
+    assert judged.where("kept").count() == sum(r["kept"] for r in rows)
+    assert judged.where("not base_failed and n_words > 30").count() == sum(not r["base_failed"] and r["n_words"] > 30 for r in rows)
+    site = "\n".join(f"Please log in and accept cookies number {i} of this page." for i in range(30))
+    df = spark.createDataFrame([(1, site, "x"), (2, prose(1, 40), "y")], "doc_id long, text string, quality string")
+    assert [tuple(r) for r in quality.cleaned(df).collect()] == [(2, prose(1, 40), "y")]
+
+
 def test_quality_counts_equal_brute_force(docs, corpus):
     for r in quality.assess(docs).collect():
         t = r["text"] or ""
