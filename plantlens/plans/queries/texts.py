@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from plantlens.functions import text as tf
-from plantlens.operators import split, text, vectors
+from plantlens.operators import split, text, vector_index, vectors
 from plantlens.plans import catalog, datasets
 from plantlens.plans.queries.base import norm, query
 from plantlens.plans.queries.models import _HASH
@@ -98,6 +98,20 @@ def t08(spark, d):
     return vectors.search(queries, vectors.build_index(emb, id_col="vec_id", embedding="embedding"), k=5)
 
 
+_PAIR_SIM = "round(list_dot_product(q.embedding::DOUBLE[], e.embedding::DOUBLE[]) / (sqrt(list_dot_product(q.embedding::DOUBLE[], q.embedding::DOUBLE[])) * sqrt(list_dot_product(e.embedding::DOUBLE[], e.embedding::DOUBLE[]))), 12)"
+
+
+@query("T08_index_search", "i:query_id,id,rank f:similarity",
+       f"WITH sim AS (SELECT q.vec_id AS query_id, e.vec_id AS id, {_PAIR_SIM} AS s FROM embeddings q, embeddings e WHERE q.vec_id % 100 = 0) SELECT * FROM (SELECT query_id, id, s AS similarity, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, id) AS rank FROM sim) WHERE rank <= 10")
+def t08_index(spark, d):
+    """Through stored inverted lists: the ten nearest of all rows for every row whose id is divisible by 100."""
+    emb = catalog.table(spark, d, "embeddings")
+    path = scratch_path(spark, "vector-index")
+    vector_index.build(emb, id_col="vec_id", embedding="embedding").save(path)
+    queries = emb.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), "embedding")
+    return vector_index.search(queries, vector_index.load(spark, path), k=10)
+
+
 @query("L06_top_k_similar", "i:id f:similarity",
        """WITH el AS (SELECT unnest(embedding)::DOUBLE AS x, generate_subscripts(embedding, 1) AS i FROM embeddings), m AS (SELECT list(x ORDER BY i) AS c FROM (SELECT i, avg(x) AS x FROM el GROUP BY 1))
        SELECT vec_id AS id, list_dot_product(embedding::DOUBLE[], c) / (sqrt(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[])) * sqrt(list_dot_product(c, c))) AS similarity FROM embeddings, m ORDER BY round(similarity, 12) DESC, vec_id LIMIT 10""")
