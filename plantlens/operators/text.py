@@ -29,14 +29,16 @@ NEGATIVE = ("bad", "poor", "fail", "pollution", "exceed", "超标", "污染", "
 HOT_TERMS = 1000
 
 
-def keywords(df: DataFrame, *, id_col: str, text: str, k: int = 5) -> DataFrame:
+def keywords(df: DataFrame, *, id_col: str, text: str, k: int = 5, tokens: str | None = None) -> DataFrame:
     """Top-k terms per document by TF-IDF (ties by term), as id, keywords array; blank text gives [].
 
+    Terms are the text's words between blanks, or the array column ``tokens`` (see ``segment`` for text without blanks).
+
     Document terms are written once. A term that holds more than one in HOT_TERMS of them is hot; there can
     be at most HOT_TERMS such terms, so their weights are broadcast. All other terms are joined by shuffle,
     where none can dominate a task.
     """
-    pairs = df.select(id_col, F.explode(tf.tokens(F.col(text))).alias("term")).groupBy(id_col, "term").agg(F.count("*").alias("tf"))
+    pairs = df.select(id_col, F.explode(F.col(tokens) if tokens else tf.tokens(F.col(text))).alias("term")).groupBy(id_col, "term").agg(F.count("*").alias("tf"))
     terms = staged(pairs, "terms")
     n_docs, n_pairs = df.count(), terms.count()
     weights = terms.groupBy("term").agg(F.count("*").alias("df"))

@@ -18,14 +18,15 @@ QUERY_BLOCK = 1024
 _BITS = 60
 
 
-def embed(df: DataFrame, *, id_col: str, text: str, dims: int = 64, out: str = "embedding") -> DataFrame:
+def embed(df: DataFrame, *, id_col: str, text: str, dims: int = 64, out: str = "embedding", tokens: str | None = None) -> DataFrame:
     """id, embedding: the mean of the text's token vectors; blank text gives the zero vector.
 
     A token's vector is a fixed direction of -1 and 1 components read off the bits of its MD5 digest, so
-    there is no vocabulary to train, hold or ship and any number of texts is one aggregation. Learned
+    there is no vocabulary to train, hold or ship and any number of texts is one aggregation. Tokens are words between
+    blanks, or the array column ``tokens``. Learned
     vectors can be passed to every other operator here as an array column instead.
     """
-    words = df.select(id_col, F.explode_outer(tf.tokens(F.col(text))).alias("token"))
+    words = df.select(id_col, F.explode_outer(F.col(tokens) if tokens else tf.tokens(F.col(text))).alias("token"))
     salted = words.select(id_col, "token", *[
         F.md5("token" if j == 0 else F.concat("token", F.lit(f"#{j}"))).alias(f"_d{j}") for j in range(-(-dims // (2 * _BITS)))])
     halves = salted.select(id_col, "token", *[

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from plantlens.functions import text as tf
-from plantlens.operators import split, text, vector_index, vectors
+from plantlens.operators import segment, split, text, vector_index, vectors
 from plantlens.plans import catalog, datasets
 from plantlens.plans.queries.base import norm, query
 from plantlens.plans.queries.models import _HASH
@@ -45,6 +46,30 @@ def t03(spark, d):
     return out.withColumn("keywords", F.array_join("keywords", " "))
 
 
+_JOINED = """seg AS (SELECT name, row_number() OVER (ORDER BY name) - 1 AS r FROM (SELECT DISTINCT c_mktsegment AS name FROM customer)),
+  j AS (SELECT o_orderkey, x.name AS a, n_name AS b, y.name AS c FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey
+  JOIN seg x ON x.r = o_orderkey // 5 % 5 JOIN seg y ON y.r = o_orderkey % 5)"""
+
+
+def _joined(spark, d):
+    """Orders with a segment, their nation and another segment written as one string without blanks."""
+    orders, customer, nation = (catalog.table(spark, d, t) for t in ("orders", "customer", "nation"))
+    number = (F.row_number().over(Window.orderBy("c_mktsegment")) - 1).alias("r")  # five rows
+    names = customer.select("c_mktsegment").distinct().select("c_mktsegment", number)
+    rows = orders.join(customer, F.col("o_custkey") == F.col("c_custkey")).join(nation, F.col("c_nationkey") == F.col("n_nationkey")).drop("c_mktsegment")
+    rows = rows.join(names.withColumnsRenamed({"c_mktsegment": "a", "r": "i"}), F.floor(F.col("o_orderkey") / 5) % 5 == F.col("i"))
+    rows = rows.join(names.withColumnsRenamed({"c_mktsegment": "c", "r": "j"}), F.col("o_orderkey") % 5 == F.col("j"))
+    return rows.select("o_orderkey", F.concat("a", "n_name", "c").alias("text"))
+
+
+@query("T02_words_without_blanks", "i:o_orderkey s:words", f"WITH {_JOINED} SELECT o_orderkey, lower(a || ' ' || b || ' ' || c) AS words FROM j")
+def t02_words(spark, d):
+    """Segment and nation names found in strings without blanks by a lexicon learnt from these strings."""
+    rows = _joined(spark, d).withColumn("text", F.lower("text"))
+    words = segment.lexicon(rows, "text", chars="a-z0-9_", longest=14, min_cohesion=3.0, min_entropy=0.6)
+    return segment.segmented(rows, "text", words, chars="a-z0-9_").select("o_orderkey", F.array_join("tokens", " ").alias("words"))
+
+
 _CENTROID = """el AS (SELECT label, unnest(embedding)::DOUBLE AS x, generate_subscripts(embedding, 1) AS i FROM embeddings),
   mean_ AS (SELECT label, i, avg(x) AS x FROM el GROUP BY 1, 2), cen AS (SELECT label, list(x ORDER BY i) AS c FROM mean_ GROUP BY 1),
   sim AS (SELECT vec_id, e.label AS own, cen.label, round(list_dot_product(embedding::DOUBLE[], c) / (sqrt(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[])) * sqrt(list_dot_product(c, c))), 12) AS s FROM embeddings e, cen)"""
