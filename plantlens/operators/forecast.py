@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from concurrent.futures import ThreadPoolExecutor
+from itertools import product
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.evaluation import RegressionEvaluator
@@ -88,6 +90,59 @@ def tune(
     return search.bestModel, df.sparkSession.createDataFrame(rows, "params string, rmse double")
 
 
+def time_folds(df: DataFrame, ts: str, folds: int = 3) -> list:
+    """``folds`` + 2 stamps that cut the rows into ``folds`` + 1 parts of about equal size, oldest first."""
+    shares = [i / (folds + 1) for i in range(folds + 2)]
+    return df.agg(F.percentile_approx(F.col(ts).cast("timestamp_ntz").cast("timestamp").cast("double"), shares, 100_000).alias("p")).first()["p"] or []
+
+
+def halving(
+    df: DataFrame, *, features: Sequence[str], target: str, ts: str, family: str = "forest", grid: dict[str, Sequence], folds: int = 3,
+    factor: int = 3, parallelism: int = 4,
+) -> tuple[PipelineModel, DataFrame]:
+    """Search of the full grid by successive halving on expanding time-ordered folds; returns (best model, every trial).
+
+    Fold i fits on all rows up to the i-th cut in time and validates on those after it up to the next. The first rung
+    tries every combination on the first fold; each rung keeps the best 1 / ``factor`` of them, at least one, and
+    adds the next, longer fold, so most fits see the shortest history. A combination is judged by its mean error over
+    the folds it was tried on, ties by its place in the grid; the best is refitted on all rows. Trials:
+    (rung, fold, params, rmse, kept). Rows with a null among the inputs are left out.
+    """
+    rows = df.select(*features, target, F.col(ts).cast("timestamp_ntz").cast("timestamp").cast("double").alias("_at")).dropna("any")
+    rows = staged(rows, "halving")
+    cuts = time_folds(rows.withColumn("_ts", F.timestamp_seconds("_at")), "_ts", folds)
+    if not cuts:
+        raise ValueError("there are no complete rows")
+    pack = VectorAssembler(inputCols=list(features), outputCol="_features", handleInvalid="skip")
+    names = sorted(grid)
+    combos = [dict(zip(names, values)) for values in product(*(grid[n] for n in names))]
+    judge = RegressionEvaluator(labelCol=target, predictionCol=f"{target}_pred", metricName="rmse")
+    alive, errors, trials = list(range(len(combos))), {i: [] for i in range(len(combos))}, []
+
+    def trial(i: int, train: DataFrame, valid: DataFrame) -> float:
+        found = estimator(family, target, **combos[i]).fit(train)
+        return float(judge.evaluate(found.transform(valid)))
+
+    for rung in range(folds):
+        packed = pack.transform(rows.where(F.col("_at") <= cuts[rung + 2])).select("_features", target, "_at")
+        train = packed.where(F.col("_at") <= cuts[rung + 1]).persist()
+        valid = packed.where(F.col("_at") > cuts[rung + 1]).persist()
+        try:
+            if not (train.isEmpty() or valid.isEmpty()):
+                with ThreadPoolExecutor(parallelism) as pool:
+                    for i, rmse in zip(alive, pool.map(lambda i: trial(i, train, valid), alive)):
+                        errors[i].append(rmse)
+        finally:
+            train.unpersist()
+            valid.unpersist()
+        order = sorted(alive, key=lambda i: (sum(errors[i]) / len(errors[i]) if errors[i] else 0.0, i))
+        kept = order[: max(1, -(-len(alive) // factor))] if rung < folds - 1 else order[:1]
+        trials += [(rung, rung, ", ".join(f"{n}={combos[i][n]}" for n in names), errors[i][-1] if errors[i] else None, i in kept) for i in alive]
+        alive = kept
+    best = Pipeline(stages=[pack, estimator(family, target, **combos[alive[0]])]).fit(rows)
+    return best, df.sparkSession.createDataFrame(trials, "rung int, fold int, params string, rmse double, kept boolean")
+
+
 def compare(
     df: DataFrame, *, keys: Sequence[str], ts: str, features: Sequence[str], targets: Sequence[str],
     families: Sequence[str] = FAMILIES,

@@ -87,6 +87,14 @@ def m06(spark, d):
     return table
 
 
+@query("M06_successive_halving", "i:rung,fold s:params f4:rmse")
+def m06_halving(spark, d):
+    """54 combinations of a linear forecaster, tried by successive halving on expanding folds in time."""
+    grid = {"regParam": [0.0, 0.01, 0.1], "elasticNetParam": [0.0, 0.5, 1.0], "maxIter": [5, 20, 50], "fitIntercept": [True, False]}
+    _, trials = forecast.halving(_lagged(spark, d), features=_INPUTS, target="next", ts="ts", family="linear", grid=grid)
+    return trials.where("kept").drop("kept")
+
+
 _PRED = """pred AS (SELECT o_orderkey, o_orderdate AS ts, o_orderpriority AS target, o_totalprice / 1000 AS y, o_totalprice / 1000 * 0.9::DOUBLE + 20 AS a,
   o_totalprice / 1000 + o_custkey % 41 - 20 AS b, 250.0::DOUBLE AS c FROM orders),
   long_pred AS (SELECT o_orderkey, ts, target, y, 'a' AS model, a AS yhat FROM pred UNION ALL SELECT o_orderkey, ts, target, y, 'b', b FROM pred UNION ALL SELECT o_orderkey, ts, target, y, 'c', c FROM pred)"""

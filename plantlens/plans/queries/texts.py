@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from plantlens.functions import text as tf
-from plantlens.operators import segment, split, text, vector_index, vectors
+from plantlens.operators import segment, sentiment, split, text, vector_index, vectors
 from plantlens.plans import catalog, datasets
 from plantlens.plans.queries.base import norm, query
 from plantlens.plans.queries.models import _HASH
@@ -97,6 +97,14 @@ def t05(spark, d):
     return text.sentiment(catalog.corpus(spark, d), "text", _WORDS_P, _WORDS_N)
 
 
+@query("T05_sentiment_model", "i:doc_id f4:score s:sentiment")
+def t05_model(spark, d):
+    """Every text's label by a model of the labelled ones, whose quality stands for sentiment."""
+    docs = catalog.corpus(spark, d).select("doc_id", "text")
+    known = docs.join(catalog.table(spark, d, "labels").select("doc_id", "quality"), "doc_id")
+    return sentiment.classify(docs, sentiment.fit(known, text="text", label="quality"), text="text").select("doc_id", "score", "sentiment")
+
+
 _LEX = (text.POSITIVE, text.NEGATIVE)
 
 

@@ -10,7 +10,7 @@ from plantlens.plans import catalog
 
 SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 # Model fitting repeats many small jobs; the check tool covers these at every scale.
-SLOW = {"M05_families_compared", "M06_grid_search", "E13_process_series"}
+SLOW = {"M05_families_compared", "M06_grid_search", "M06_successive_halving", "E13_process_series"}
 
 
 @pytest.fixture(scope="module")
