@@ -13,6 +13,7 @@ time: its shard by the bounds in the catalogue, its slot by the hash, and the fi
 
 from __future__ import annotations
 
+import gc
 import io
 import os
 import re
@@ -33,7 +34,7 @@ TOKENIZER = "byte_bpe_50k.json"
 SHARD_BYTES = 32 << 20  # of text in a shard, about
 SHARD_ROWS = 500_000  # documents in a shard, about
 ROUTE_SHARDS = 2_000_000  # shards whose bounds a lookup sends to its tasks, 24 bytes each
-HELD = 400_000  # pieces whose ids a worker holds
+HELD = 250_000  # pieces in one of two generations whose ids a worker holds
 MAGIC = b"IDSHARD1"
 _TRAILER = struct.Struct("<8sQQ")
 _ARRAYS = ("keys", "null", "offsets", "sizes", "bits", "left", "prints", "first", "rows")
@@ -56,7 +57,7 @@ def _encoder(path: str):
     found = Tokenizer.from_file(path)
     split = found.pre_tokenizer
     byte_level = type(split).__name__ == "ByteLevel" and not split.add_prefix_space and found.normalizer is None
-    return found, byte_level, {}
+    return found, byte_level, ({}, {}, {})
 
 
 def tokenizer_path(path: str | None) -> str:
@@ -69,21 +70,47 @@ def tokenizer_path(path: str | None) -> str:
 
 def encoded(texts: list[str], dtype: str, path: str) -> list[bytes]:
     """The ids of each text as raw numbers, without an end id."""
-    model, by_piece, held = _encoder(path)
+    model, by_piece, generations = _encoder(path)
     if not by_piece:
-        return [np.array(e.ids, dtype).tobytes() for e in model.encode_batch_fast(texts, add_special_tokens=False)]
-    pieces = []
+        return _ids(model, texts, dtype)
+    collects = gc.isenabled()
+    gc.disable()  # hundreds of thousands of small objects and no cycles
+    try:
+        return _by_piece(model, texts, dtype, *generations)
+    finally:
+        if collects:
+            gc.enable()
+
+
+def _ids(model, texts: list[str], dtype: str) -> list[bytes]:
+    return [np.array(e.ids, dtype).tobytes() for e in model.encode_batch_fast(texts, add_special_tokens=False)]
+
+
+def _by_piece(model, texts: list[str], dtype: str, young: dict[str, bytes], old: dict[str, bytes], exact: dict[str, bytes]) -> list[bytes]:
+    """``young`` and ``old`` hold pieces without the one blank before them, and pieces that start with another; ``exact`` holds the rest."""
+    heads, rest = [], []
     for t in texts:
         if _RUN.search(t):
-            pieces.append(_CUT.split(t))
+            heads.append(_CUT.split(t))
+            rest.append(())
         else:
-            first, *rest = t.replace("\n", " \n").replace("\t", " \t").replace("\r", " \r").split(" ")
-            pieces.append([first, *[x if x[:1] in ("\n", "\t", "\r") else " " + x for x in rest]])
-    if len(held) > HELD:
-        held.clear()
-    new = list(set().union(*pieces).difference(held))
-    held.update(zip(new, (np.array(e.ids, dtype).tobytes() for e in model.encode_batch_fast(new, add_special_tokens=False))))
-    return [b"".join(map(held.__getitem__, p)) for p in pieces]
+            first, *more = t.replace("\n", " \n").replace("\t", " \t").replace("\r", " \r").split(" ")
+            heads.append((first,))
+            rest.append(more)
+    if len(young) > HELD:
+        old.clear()
+        old.update(young)
+        young.clear()
+    if len(exact) > HELD:
+        exact.clear()
+    wanted = set().union(*rest).difference(young)
+    again = wanted.intersection(old)
+    young.update(zip(again, map(old.__getitem__, again)))
+    new = list(wanted.difference(again))
+    young.update(zip(new, _ids(model, [x if x[:1] in ("\n", "\t", "\r") else " " + x for x in new], dtype)))
+    new = list(set().union(*heads).difference(exact))
+    exact.update(zip(new, _ids(model, new, dtype)))
+    return [b"".join([*map(exact.__getitem__, h), *map(young.__getitem__, r)]) for h, r in zip(heads, rest)]
 
 
 # The hash: levels of bit arrays. A key has its place in the first level where no other key shares its bit; its slot is
@@ -199,8 +226,8 @@ def write(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "t
     def shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model, keys, lengths, payload = tokenizer_path(path_of), [], [], 0
         for batch in batches:
-            for start in range(0, batch.num_rows, 500):
-                part = batch.slice(start, 500)
+            for start in range(0, batch.num_rows, 1000):
+                part = batch.slice(start, 1000)
                 data = encoded([t or "" for t in part.column(1).to_pylist()], dtype, model)
                 keys += part.column(0).to_pylist()
                 lengths += [len(x) // width + 1 for x in data]
