@@ -39,7 +39,6 @@ MAGIC = b"IDSHARD1"
 _TRAILER = struct.Struct("<8sQQ")
 _ARRAYS = ("keys", "null", "offsets", "sizes", "bits", "left", "prints", "first", "rows")
 GAMMA, LEVELS = 2, 24
-_EMPTY = np.iinfo(np.uint32).max
 
 
 # Encoding. A byte-level tokenizer never joins a character that is no blank with the blank behind it, so a text can be
