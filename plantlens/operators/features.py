@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from plantlens.functions import calendar, weather
@@ -42,6 +42,21 @@ def shrink(n: int, windows_: Sequence[int], horizon: int) -> tuple[list[int], in
     return [w for w in windows_ if w <= m] or [m], min(horizon, n - m)
 
 
+def halvings(window: int) -> list[int]:
+    """The window and its repeated halves, down to one row."""
+    out = [window]
+    while out[-1] > 1:
+        out.append(out[-1] // 2)
+    return out
+
+
+def frame(n: Column, windows_: Sequence[int], horizon: int) -> tuple[Column, Column]:
+    """``shrink`` as columns: the one window of a short series (null where all fit) and the horizon, at least zero."""
+    fits = F.coalesce(*[F.when(n >= m + horizon, m) for m in halvings(min(windows_))], F.lit(1))
+    short = n < max(windows_) + horizon
+    return F.when(short, fits).cast("int"), F.when(short, F.greatest(F.least(F.lit(horizon), n - fits), F.lit(0))).otherwise(horizon).cast("int")
+
+
 def sliding_features(targets: Sequence[str], windows_: Sequence[int], horizon: int) -> list[Feature]:
     """Rolling statistics, differences, changes and the next ``horizon`` values of each target."""
     out: list[Feature] = []
@@ -56,10 +71,13 @@ def sliding_features(targets: Sequence[str], windows_: Sequence[int], horizon: i
 
 def sliding(
     df: DataFrame, *, keys: Sequence[str], ts: str, targets: Sequence[str], windows_: Sequence[int] = (24, 48, 72),
-    horizon: int = 24, step_seconds: int = 3600, null_policy: str = "auto", repair: bool = True,
+    horizon: int = 24, step_seconds: int = 3600, null_policy: str = "auto", repair: bool = True, by_length: bool = False,
 ) -> DataFrame:
     """Sliding-window training rows: repair the grid, add features and targets, apply the null policy.
 
+    A series too short for its windows gives no complete row, unless ``by_length`` lets windows and horizon shrink with
+    it (``sliding_by_length``).
+
     Fills read their input twice, so the series is written once before and once after the repair. A repaired series is
     positioned by its own first stamp and step; without repair all entities lie on the grid of ``step_seconds``.
     """
@@ -70,12 +88,75 @@ def sliding(
         placed = quality.grid_position(series, keys, ts, steps, step_seconds)
     else:
         placed = blocks.slot_position(df, ts, step_seconds)
+    if by_length:
+        return sliding_by_length(placed, keys=keys, targets=targets, windows_=windows_, horizon=horizon, null_policy=null_policy).drop(blocks.POS)
     padded = blocks.nearest(placed, keys, forward={f"_pad_{c}": F.col(c) for c in targets})
     feats = sliding_features(targets, windows_, horizon)
     wide = windows.add(padded, keys, feats).drop(blocks.POS, *[f"_pad_{c}" for c in targets])
     return drop_incomplete(wide, [f.name for f in feats], null_policy)
 
 
+def sliding_by_length(
+    placed: DataFrame, *, keys: Sequence[str], targets: Sequence[str], windows_: Sequence[int] = (24, 48, 72),
+    horizon: int = 24, null_policy: str = "auto",
+) -> DataFrame:
+    """Sliding-window rows in which each entity's windows and horizon fit the number of its rows (``shrink``).
+
+    ``placed`` carries row positions. One count per entity puts it into a class: all windows fit, or the one window left
+    of halving the smallest. There are log2(smallest window) + 2 classes at most, whatever the number of entities, and a
+    class computes only its own windows. The columns are the same for any data: those of ``windows_``, of all
+    halvings, and ``frame_window`` (null where all windows fit) and ``frame_horizon``. What is not in an entity's frame is
+    null, and the null policy does not ask for it. The policy looks at each entity as a table of its own: 'drop' keeps complete
+    rows; 'auto' does too, but where fewer than five of more than five rows are complete, it keeps the rows with all
+    targets and fills them with the entity's means (null where it has no value); 'keep' keeps all rows. An entity of
+    one row has no target, hence no complete row. Null keys are an entity; an empty table gives an empty one.
+    """
+    keys = list(keys)
+    window, ahead = frame(F.col("_n"), windows_, horizon)
+    counts = placed.groupBy(*keys).agg(F.count("*").alias("_n"))
+    sized = counts.select(*keys, window.alias("frame_window"), ahead.alias("frame_horizon"))
+    padded = blocks.nearest(placed, keys, forward={f"_pad_{c}": F.col(c) for c in targets})
+    rows = staged(blocks.attach(padded, sized, keys), "framed")
+    present = {r[0] for r in rows.select("frame_window").distinct().collect()}
+    halves = halvings(min(windows_))
+    wide = None
+    for m in [None, *[m for m in halves if m in present]]:
+        feats = sliding_features(targets, windows_ if m is None else [m], horizon)
+        part = windows.add(rows.filter(F.col("frame_window").eqNullSafe(F.lit(m).cast("int"))), keys, feats)
+        wide = part if wide is None else wide.unionByName(part, allowMissingColumns=True)
+    stats = {f.name: w for w in dict.fromkeys([*windows_, *halves]) for f in sliding_features(targets, [w], 0)}
+    ahead_of = {f"{c}_target_{h}h": h for c in targets for h in range(1, horizon + 1)}
+    given = [c for c in placed.columns if c not in stats and c not in ahead_of]
+
+    def in_frame(c: str) -> Column:
+        if c in ahead_of:
+            return F.col("frame_horizon") >= ahead_of[c]
+        alone = F.col("frame_window").eqNullSafe(F.lit(stats[c]))
+        return alone | F.col("frame_window").isNull() if stats[c] in windows_ else alone
+
+    def all_known(names: Sequence[str]) -> Column:
+        out = F.col("frame_horizon") > 0
+        for c in names:
+            out = out & (F.col(c).isNotNull() | ~in_frame(c) if c in stats or c in ahead_of else F.col(c).isNotNull())
+        return out
+
+    cells = [(F.when(in_frame(c), F.col(c)) if c in wide.columns else F.lit(None).cast("double")).alias(c) for c in [*stats, *ahead_of]]
+    out = wide.select(*given, "frame_window", "frame_horizon", *cells)
+    if null_policy == "keep":
+        return out
+    aimed, complete = all_known(list(ahead_of)), all_known([*[c for c in given if c not in keys], *stats, *ahead_of])
+    if null_policy == "drop":
+        return out.filter(complete)
+    out = staged(out.withColumns({"_complete": complete, "_aimed": aimed}), "features")
+    means = quality.numeric_columns(out, [*keys, *ahead_of, blocks.POS, "frame_window", "frame_horizon"])
+    facts = out.groupBy(*keys).agg(
+        ((F.count_if("_complete") < 5) & (F.count("*") > 5)).alias("_fill"), *[F.avg(F.when(F.col("_aimed"), F.col(c))).alias(f"_mean_{c}") for c in means])
+    judged = blocks.attach(out, facts, keys).filter(F.when(F.col("_fill"), F.col("_aimed")).otherwise(F.col("_complete")))
+    return judged.select(*[
+        F.coalesce(F.col(c), F.when(F.col("_fill"), F.col(f"_mean_{c}"))).alias(c) if c in means else F.col(c)
+        for c in out.columns if c not in ("_complete", "_aimed")])
+
+
 def drop_incomplete(df: DataFrame, created: Sequence[str], policy: str = "auto") -> DataFrame:
     """Keep complete rows; if fewer than five of more than five remain, keep rows with targets and mean-fill.
 

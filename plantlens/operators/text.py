@@ -4,12 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-import numpy as np
-import pandas as pd
 from pyspark.errors import AnalysisException, ParseException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from plantlens.functions import text as tf
 from plantlens.session import scratch_path, staged
@@ -103,25 +100,34 @@ def speech_dataset(df: DataFrame, *, text: str = "text", domain: str = "domain",
     return kept.select(*keep, F.col(text).alias("text"), label.alias("domain"))
 
 
-def _word_distance(a: list[str], b: list[str]) -> int:
-    """Edits between two token lists; one vector step per token of the shorter list."""
-    if len(a) > len(b):
-        a, b = b, a
-    ids: dict[str, int] = {}
-    other = np.array([ids.setdefault(w, len(ids)) for w in b], dtype=np.int64)
-    ramp = np.arange(len(b) + 1)
-    row = ramp.copy()
-    for i, w in enumerate(a, 1):
-        step = np.empty_like(row)
-        step[0] = i
-        step[1:] = np.minimum(row[1:] + 1, row[:-1] + (other != ids.get(w, -1)))
-        row = np.minimum.accumulate(step - ramp) + ramp
-    return int(row[-1])
-
-
-@F.pandas_udf(T.LongType())
-def word_distance(ref: pd.Series, hyp: pd.Series) -> pd.Series:
-    return pd.Series([_word_distance(a.split(), b.split()) for a, b in zip(ref, hyp)])
+_FIRST_POINT, _LAST_POINT = 0x10000, 0x10FFFF  # supplementary planes: no surrogates, no byte order mark
+
+
+def code_points(numbers: Column) -> Column:
+    """A string with one character for each number from 0 to 1,048,575 of an array; equal numbers give equal characters."""
+    encoded = F.transform(numbers, lambda i: F.lpad(F.hex((i + _FIRST_POINT).cast("long")), 8, "0"))
+    return F.decode(F.unhex(F.array_join(encoded, "")), "UTF-32")
+
+
+def word_distance(ref: Column, hyp: Column) -> Column:
+    """Edits between the words of two normalised texts, upper and lower case apart; null if either is.
+
+    Words become characters, numbered within the pair, and the built-in edit distance compares those. Words that only
+    one text has can match nothing, so each side needs one character for all of them, and a pair may share 1,048,574
+    different words (beyond that an error: the edit table would have 10^12 cells).
+    """
+    r, h = (F.filter(F.split(t, " "), lambda w: w != "") for t in (ref, hyp))
+    pair = F.struct(r.alias("ref"), h.alias("hyp"), F.array_intersect(r, h).alias("both"))
+
+    def coded(p: Column, side: str, alone: int) -> Column:
+        return code_points(F.transform(p[side], lambda w: F.when(F.array_contains(p["both"], w), F.array_position(p["both"], w) + 1).otherwise(F.lit(alone))))
+
+    def distance(p: Column) -> Column:
+        beyond = F.size(p["both"]) > _LAST_POINT - _FIRST_POINT - 1
+        error = F.raise_error(F.lit("a pair of texts shares more words than there are characters")).cast("int")
+        return F.when(beyond, error).otherwise(F.levenshtein(coded(p, "ref", 0), coded(p, "hyp", 1)))
+
+    return F.get(F.transform(F.array(pair), distance), F.lit(0)).cast("long")
 
 
 def error_rates(df: DataFrame, *, ref: str, hyp: str, by: Sequence[str] = ()) -> DataFrame:

@@ -213,17 +213,47 @@ def e02(spark, d):
     return features.drop_incomplete(kept, ["value_lag", "value_target_1h", "value_target_2h"], "fill")
 
 
-@query("E03_window_shrink", "s:unit i:rows_,window,horizon",
-       f"""WITH {HOURLY}, s AS (SELECT unit, count(*) AS n FROM hourly WHERE ts < TIMESTAMP '2024-01-03' GROUP BY 1), r AS (SELECT unit, n, CASE WHEN n >= 96 THEN 72 WHEN 24 + 24 <= n THEN 24 WHEN 12 + 24 <= n THEN 12 WHEN 6 + 24 <= n THEN 6 WHEN 3 + 24 <= n THEN 3 ELSE 1 END AS m FROM s)
-       SELECT unit, n AS rows_, m AS "window", CASE WHEN n >= 96 THEN 24 ELSE least(24, n - m) END AS horizon FROM r""")
+_SPAN, _AHEAD = (4, 8, 12), 4  # orders a customer looks back on, and ahead to
+DAYS = "days AS (SELECT o_custkey AS custkey, o_orderdate AS day, sum(CAST(o_totalprice AS DOUBLE)) AS value FROM orders GROUP BY 1, 2)"
+FRAMES = """frames AS (SELECT custkey, n, CASE WHEN n >= 16 THEN NULL WHEN n >= 8 THEN 4 WHEN n >= 6 THEN 2 ELSE 1 END AS frame_window,
+       CASE WHEN n >= 5 THEN 4 ELSE n - 1 END AS frame_horizon FROM (SELECT custkey, count(*) AS n FROM days GROUP BY 1))"""
+
+
+def _order_days(spark, d):
+    """A customer's order value by day: many series of few rows."""
+    return catalog.table(spark, d, "orders").groupBy(F.col("o_custkey").alias("custkey"), F.col("o_orderdate").cast("timestamp_ntz").alias("day")).agg(F.sum(F.col("o_totalprice").cast("double")).alias("value"))
+
+
+@query("E03_window_shrink", "i:custkey,rows_,window,horizon",
+       f'WITH {DAYS}, {FRAMES} SELECT custkey, n AS rows_, coalesce(frame_window, 12) AS "window", frame_horizon AS horizon FROM frames')
 def e03(spark, d):
-    early = catalog.hourly(spark, d).filter("ts < timestamp_ntz'2024-01-03'").groupBy("unit").agg(F.count("*").alias("n"))
     n = F.col("n")
-    m = F.lit(24)
-    for _ in range(5):
-        m = F.when((m > 1) & (m + 24 > n), F.floor(m / 2)).otherwise(m)
-    full = n >= 96
-    return early.select("unit", n.alias("rows_"), F.when(full, 72).otherwise(m).alias("window"), F.when(full, 24).otherwise(F.least(F.lit(24), n - m)).alias("horizon"))
+    window, horizon = features.frame(n, _SPAN, _AHEAD)
+    counts = _order_days(spark, d).groupBy("custkey").agg(F.count("*").alias("n"))
+    return counts.select("custkey", n.alias("rows_"), F.coalesce(window, F.lit(max(_SPAN))).alias("window"), horizon.alias("horizon"))
+
+
+_SIZES = (1, 2, 4, 8, 12)
+_ORDERED = "OVER (PARTITION BY custkey ORDER BY day)"
+_OF_SIZE = {f"value_{k}_{w}h": w for w in _SIZES for k in (*_STATS, "diff", "pct_change")}
+_IN_FRAME = {c: f"(frame_window IS NOT DISTINCT FROM {w}{' OR frame_window IS NULL' if w in _SPAN else ''})" for c, w in _OF_SIZE.items()}
+
+
+def _by_customer(w: int) -> list[str]:
+    """The columns of one window, for SQL."""
+    rolled = [_roll("value", k, w, f"value_{k}_{w}h", max(1, w // 2)).replace("PARTITION BY unit ORDER BY ts", "PARTITION BY custkey ORDER BY day") for k in _STATS]
+    return [*rolled, f"value - lag(value, {w}) {_ORDERED} AS value_diff_{w}h", f"value / nullif(lag(value, {w}) {_ORDERED}, 0) - 1 AS value_pct_change_{w}h"]
+
+
+@query("E03_sliding_by_length", "i:custkey t:day f2:value i:frame_window,frame_horizon f2:" + ",".join([*_OF_SIZE, *[f"value_target_{h}h" for h in range(1, _AHEAD + 1)]]),
+       f"""WITH {DAYS}, {FRAMES}, wide AS (SELECT custkey, day, value, """ + ", ".join([*[c for w in _SIZES for c in _by_customer(w)], *[f"lead(value, {h}) {_ORDERED} AS value_target_{h}h" for h in range(1, _AHEAD + 1)]])
+       + " FROM days) SELECT custkey, CAST(day AS TIMESTAMP) AS day, value, frame_window, frame_horizon, "
+       + ", ".join([*[f"CASE WHEN {test} THEN {c} END AS {c}" for c, test in _IN_FRAME.items()], *[f"CASE WHEN frame_horizon >= {h} THEN value_target_{h}h END AS value_target_{h}h" for h in range(1, _AHEAD + 1)]])
+       + " FROM wide JOIN frames USING (custkey) WHERE frame_horizon > 0 AND "
+       + " AND ".join([*[f"({c} IS NOT NULL OR NOT {test})" for c, test in _IN_FRAME.items()], *[f"(frame_horizon < {h} OR value_target_{h}h IS NOT NULL)" for h in range(1, _AHEAD + 1)]]))
+def e03_sliding(spark, d):
+    placed = blocks.row_position(staged(_order_days(spark, d), "days"), ["custkey"], "day", 86400)
+    return features.sliding_by_length(placed, keys=["custkey"], targets=["value"], windows_=_SPAN, horizon=_AHEAD, null_policy="drop")
 
 
 @query("E06_time_features", "s:unit t:ts i:hour,dayofweek,month,quarter,year,dayofyear,is_weekend f:hour_sin,hour_cos,month_cos",

@@ -1,12 +1,11 @@
 """Splits, spectrum, reduction, metrics, vectors, text and streams on small fixtures."""
 
 import math
+import random
 
 import numpy as np
 import pandas as pd
 import pytest
-from hypothesis import given, settings
-from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from plantlens.functions import domain
@@ -120,12 +119,6 @@ def _edits(a, b):
     return row[-1]
 
 
-@settings(max_examples=200, deadline=None)
-@given(st.lists(st.sampled_from("abc"), max_size=9), st.lists(st.sampled_from("abcd"), max_size=9))
-def test_word_distance_equals_textbook(a, b):
-    assert text._word_distance(a, b) == _edits(a, b)
-
-
 def test_error_rates_are_ratios_of_sums_and_handle_non_ascii(spark):
     df = spark.createDataFrame([("机组 排放 正常", "机组 排放 超常"), ("a b c d", "a c d")], "r string, h string")
     row = text.error_rates(df, ref="r", hyp="h").first()
@@ -233,3 +226,24 @@ def test_reader_takes_nan_for_missing(spark, tmp_path):
     (tmp_path / "a.tsv").write_text("time\tv\n2024/01/01 00:00\tNaN\n2024/01/01 01:00\t-\n2024/01/01 02:00\t1.5\n")
     got = readers.read_series_tsv(spark, str(tmp_path / "a.tsv"), ["v"]).orderBy("ts").collect()
     assert [r["v"] for r in got] == [None, None, 1.5]
+
+
+def test_word_distance_equals_the_edit_table_without_python(spark):
+    rng = random.Random(3)
+    words = ["a", "b", "c", "A", "größe", "达标", "😀", "\ufeff", "x#y", "0"]
+    pairs = [(" ".join(rng.choices(words, k=rng.randint(0, 12))), " ".join(rng.choices(words, k=rng.randint(0, 12)))) for _ in range(300)]
+    pairs += [(" ".join(rng.choices("abc", k=rng.randint(0, 9))), " ".join(rng.choices("abcd", k=rng.randint(0, 9)))) for _ in range(200)]
+    pairs += [("", ""), ("", "a b"), ("a", None), (None, None), ("a " * 400 + "b", "b " + "a " * 399)]
+    df = spark.createDataFrame([(i, *p) for i, p in enumerate(pairs)], "i int, r string, h string").select("i", text.word_distance(F.col("r"), F.col("h")).alias("n"))
+    assert "Python" not in df._jdf.queryExecution().toString()
+    got = {r["i"]: r["n"] for r in df.collect()}
+    for i, (r, h) in enumerate(pairs):
+        assert got[i] == (None if r is None or h is None else _edits(r.split(), h.split())), pairs[i]
+
+
+def test_code_points_are_one_character_each_beyond_one_plane(spark):
+    n = 200_000
+    s = spark.range(1).select(text.code_points(F.sequence(F.lit(0), F.lit(n - 1))).alias("s")).first()["s"]
+    assert len(s) == len(set(s)) == n
+    last = spark.range(1).select(text.code_points(F.array(F.lit(1_048_575))).alias("s")).first()["s"]
+    assert ord(last) == 0x10FFFF

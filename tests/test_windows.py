@@ -117,6 +117,57 @@ def test_history_fill_reproduces_bfill_then_ffill(spark):
     close(out["value_24h_ago"], s.shift(24).bfill().ffill())
 
 
+def _framed(values, windows_, horizon):
+    """The frame of one series by plain pandas: its complete rows under the shrunken windows."""
+    n = len(values)
+    own, ahead = features.shrink(n, windows_, horizon)
+    s, cols = pd.Series(values, dtype=float), {}
+    for w in own:
+        roll = s.rolling(w, min_periods=max(1, w // 2))
+        cols |= {f"value_mean_{w}h": roll.mean(), f"value_std_{w}h": roll.std(), f"value_min_{w}h": roll.min(), f"value_max_{w}h": roll.max(),
+                 f"value_diff_{w}h": s.diff(w), f"value_pct_change_{w}h": s.pct_change(w, fill_method=None)}
+    cols |= {f"value_target_{h}h": s.shift(-h) for h in range(1, ahead + 1)}
+    wide = pd.DataFrame({"value": s, **cols})
+    complete = wide.dropna() if ahead > 0 else wide.iloc[:0]
+    if len(complete) < 5 and n > 5:
+        complete = wide.dropna(subset=[c for c in wide if "target" in c])
+        complete = complete.fillna(complete.mean())
+    return complete
+
+
+def test_sliding_by_length_equals_each_series_on_its_own(spark):
+    rng = np.random.default_rng(5)
+    lengths = {f"u{n}": n for n in (1, 2, 3, 4, 5, 6, 7, 9, 11, 14, 15, 16, 17, 30, 41)}
+    lengths[None] = 12
+    values = {u: rng.uniform(1, 9, n).round(3).tolist() for u, n in lengths.items()}
+    rows = [(u, dt.datetime(2024, 1, 1) + dt.timedelta(hours=i), v, "x") for u, vs in values.items() for i, v in enumerate(vs)]
+    df = spark.createDataFrame(rows, "unit string, ts timestamp_ntz, value double, frame string")
+    got = features.sliding(df, keys=["unit"], ts="ts", targets=["value"], windows_=(6, 9, 12), horizon=3, repair=False, by_length=True).toPandas()
+    assert [c for c in got if c.startswith("value_mean")] == [f"value_mean_{w}h" for w in (6, 9, 12, 3, 1)]
+    for u, vs in values.items():
+        mine = got[got.unit.isna() if u is None else got.unit == u].sort_values("ts")
+        want = _framed(vs, (6, 9, 12), 3)
+        assert len(mine) == len(want), u
+        for c in mine:
+            if c in want:
+                close(mine[c], want[c])
+            elif c.startswith("value_"):
+                assert mine[c].isna().all(), (u, c)
+    dropped = features.sliding(df, keys=["unit"], ts="ts", targets=["value"], windows_=(6, 9, 12), horizon=3, repair=False, by_length=True, null_policy="drop")
+    plain = features.sliding(df.where("unit = 'u41'"), keys=["unit"], ts="ts", targets=["value"], windows_=(6, 9, 12), horizon=3, repair=False, null_policy="drop")
+    assert dropped.where("unit = 'u41'").count() == plain.count() > 0
+    kept = features.sliding(df, keys=["unit"], ts="ts", targets=["value"], windows_=(6, 9, 12), horizon=3, repair=False, by_length=True, null_policy="keep")
+    assert kept.count() == len(rows)
+    assert features.sliding(df.limit(0), keys=["unit"], ts="ts", targets=["value"], repair=False, by_length=True).count() == 0
+
+
+def test_frame_columns_follow_the_formula(spark):
+    w, h = features.frame(F.col("id"), (24, 48, 72), 24)
+    for r in spark.range(140).select("id", w.alias("w"), h.alias("h")).collect():
+        own, ahead = features.shrink(r["id"], (24, 48, 72), 24)
+        assert ([r["w"]] if r["w"] else [24, 48, 72], r["h"]) == (own, max(0, ahead))
+
+
 def test_shrink_formula():
     assert features.shrink(200, (24, 48, 72), 24) == ([24, 48, 72], 24)
     assert features.shrink(60, (24, 48, 72), 24) == ([24], 24)
