@@ -22,7 +22,7 @@ WORD_DEFAULT, TAG_DEFAULT = 0.5, -1.0
 WORD_RANGE, TAG_RANGE = (0.01, 1.0), (-8.0, -0.02)
 
 _RAW = "script|style|noscript|template|textarea|title|svg|iframe|select|object|math|canvas|video|audio"
-_TOKEN = re.compile(rf"<!--.*?(?:-->|\Z)|<({_RAW})\b(?:[^>]*/>|[^>]*>.*?(?:</\1\s*>|\Z))|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*'|[\"'])*)(?:>|\Z)|[^<]+|<", re.S | re.I)
+_TOKEN = re.compile(rf"<!--.*?(?:-->|\Z)|<({_RAW})(?=[\s/>]|\Z)(?:[^>]*/>|[^>]*>.*?(?:</\1\s*>|\Z))|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*'|[\"'])*)(?:>|\Z)|[^<]+|<", re.S | re.I)
 _BLOCK = frozenset(
     "address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html"
     " li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split())
@@ -31,22 +31,35 @@ _VOID = frozenset("area base br col embed hr img input link meta param source tr
 _FURNITURE = frozenset("nav aside footer header form menu dialog button label fieldset".split())
 _NAMED = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
 _ROLE = re.compile(
-    r"(?:^|[\s_-])(?:ads?|advert\w*|sponsor\w*|promo\w*|side-?bar|nav\w*|menu\w*|breadcrumbs?|footer|header|masthead|comments?|disqus|repl(?:y|ies)|respond"
-    r"|cookies?|notices?|consent|banner|popup|modal|newsletter|subscribe\w*|shar(?:e|ing)|social|related|recommend\w*|widget|toolbar|pagination|login|signup|search)(?:$|[\s_-])", re.I)
+    r"ads?|advert\w*|sponsor\w*|promo\w*|side-?bar|nav\w*|menu\w*|breadcrumbs?|footer|header|masthead|comments?|disqus|repl(?:y|ies)|respond"
+    r"|cookies?|notices?|consent|banner|popup|modal|newsletter|subscribe\w*|shar(?:e|ing)|social|related|recommend\w*|widget|toolbar|pagination|login|signup|search", re.I)
+_PART = re.compile(r"[a-z0-9]+|[^a-z0-9_\s-]+", re.I)
+# First parts of names that speak of what an element has or lacks, or how it is laid out, not of what it is.
+_ABOUT = frozenset("with without no not has have is hide show hidden toggle under below above after before next left right full beside col row grid layout page body content main article post entry".split())
+
+
+def _role_word(name: str) -> bool:
+    """Whether a class, id or role names page furniture: it is a role word, or a compound of one, but not like ``with-sidebar``."""
+    if _ROLE.fullmatch(name):
+        return True
+    parts = _PART.findall(name)
+    return len(parts) > 1 and parts[0].lower() not in _ABOUT and bool(_ROLE.fullmatch(parts[0]) or _ROLE.fullmatch(parts[-1]))
 
 
 def _furniture(name: str, attrs: str) -> bool:
+    """Elements that are furniture by their kind, and block or unknown elements that a class, id or role names so."""
     if name in _FURNITURE:
         return True
-    if not attrs or name in ("html", "body", "article", "main"):
+    if not attrs or name in ("html", "body", "article", "main") or name in _INLINE:
         return False
-    return any(_ROLE.search(a or b or c) for a, b, c in _NAMED.findall(attrs))
+    return any(_role_word(word) for found in _NAMED.findall(attrs) for word in "".join(found).split())
 
 
-def tokens(page: str) -> list[tuple[str, str, str, bool]]:
+def tokens(page: str, named: bool = True) -> list[tuple[str, str, str, bool]]:
     """(kind, name, text, skipped): kind is open, close or text; a text's name is the element it stands in.
 
-    Scripts, styles, comments and the like give no token. skipped marks what lies inside page furniture.
+    Scripts, styles, comments and the like give no token. skipped marks what lies inside page furniture; if ``named`` is
+    false, classes, ids and roles do not make an element furniture.
     """
     out, stack, skip, depth = [], ["html"], "", 0
     for m in _TOKEN.finditer(page):
@@ -66,7 +79,7 @@ def tokens(page: str) -> list[tuple[str, str, str, bool]]:
                     skip = ""
             out.append(("close" if closing else "open", name, "", True))
         else:
-            if not closing and name not in _VOID and _furniture(name, m[4]):
+            if not closing and name not in _VOID and _furniture(name, m[4] if named else ""):
                 skip, depth = name, 1
             out.append(("close" if closing else "open", name, "", bool(skip)))
         if name in _BLOCK or name == "a":
@@ -146,10 +159,16 @@ def region(found: list[tuple[str, str, str, bool]], model: dict[str, float]) ->
 
 
 def main_text(page: str | None, model: dict[str, float]) -> str:
-    """The region's blocks, white space folded, one per line. Null, empty and wordless pages give an empty text."""
+    """The region's blocks, white space folded, one per line. Null, empty and wordless pages give an empty text.
+
+    A page all of whose words lie in elements that only a class, id or role names furniture is read without those names.
+    """
     if not page:
         return ""
-    found = tokens(page)
+    return _text(tokens(page), model) or _text(tokens(page, named=False), model)
+
+
+def _text(found: list[tuple[str, str, str, bool]], model: dict[str, float]) -> str:
     start, end = region(found, model)
     blocks, held = [], []
     for kind, name, text, skipped in found[start:end]:

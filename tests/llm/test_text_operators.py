@@ -382,3 +382,17 @@ def test_cuts_resist_insertions():
 
 def test_html_text_is_unescaped_once():
     assert html.main_text("<article><p>a &amp;lt; b</p></article>", {}) == entities.unescape("a &amp;lt; b")
+
+
+@pytest.mark.parametrize("page,want", [
+    ("<article><p>first words here</p><svg-icon></svg-icon><p>second words here</p><object-viewer>third words here</object-viewer></article>", "first words here\nsecond words here\nthird words here"),
+    ("<body><div class='content with-sidebar'><p>all of the text stays</p><div class=sidebar><p>other links</p></div></div>", "all of the text stays"),
+    ("<body class='page no-sidebar'><div class='page no-sidebar'><p>all of the text stays</p></div>", "all of the text stays"),
+    ("<article><p>a sentence with <a class='social-link' href=x>one inline link</a> goes on</p></article>", "a sentence with one inline link goes on"),
+    ("<article><p>one two three four</p><div class='ad-box'>buy this</div><ul class='comment-list'><li>I like it</li></ul><div id='site-footer'>us</div><p>five six seven</p></article>", "one two three four\nfive six seven"),
+    ("<div class='search'><p>all words lie in a named element</p></div>", "all words lie in a named element"),
+    ("<div><p>x y z</p><svg><text>drawn</text></svg><svg", "x y z"),
+    ("<nav>only a menu</nav>", ""),
+])
+def test_html_names_and_custom_elements(page, want):
+    assert html.main_text(page, dict.fromkeys(("t div", "t p", "t article", "t other", "t a", "t ul", "t li"), -0.1)) == want
