@@ -396,3 +396,60 @@ def test_html_text_is_unescaped_once():
 ])
 def test_html_names_and_custom_elements(page, want):
     assert html.main_text(page, dict.fromkeys(("t div", "t p", "t article", "t other", "t a", "t ul", "t li"), -0.1)) == want
+
+
+def test_deduplicated_texts_equal_brute_force(spark):
+    rng = random.Random(11)
+
+    def words(n):
+        return " ".join("".join(rng.choices("abcdefghéß達", k=rng.randint(2, 9))) for _ in range(n))
+
+    shared, other, short = words(90), words(120), words(6)
+    texts = [(3, words(40) + " " + shared), (1, words(70) + " " + shared + " " + words(30)), (None, shared + " " + words(20)), (None, words(60)),
+             (7, words(30) + " " + other + " " + words(25) + " " + other), (5, words(50) + " " + short), (6, short + " " + words(50)), (8, ""), (9, None), (4, words(80)), (4, shared)]
+    df = spark.createDataFrame([(*t, 0, 0) for t in texts], "doc_id long, text string, row int, removed int").repartition(3)
+    found = chunks.deduplicated(df).collect()
+    assert sorted(str(r["id"]) for r in found) == sorted(str(i) for i, _ in texts)
+    # chunks of each text by the cutting rule alone, first holders by id, runs of later copies
+    cut = {}
+    for i, (_, t) in enumerate(texts):
+        one = spark.createDataFrame([(0, t)], "doc_id long, text string")
+        cut[i] = [(r["bytes"], r["words"], r["hi"], r["lo"]) for r in sorted(chunks.chunks(one).collect(), key=lambda r: r["seq"]) if r["bytes"]]
+    order = {i: (texts[i][0] is None, texts[i][0] or 0, 0) for i in cut}
+    by_text = {}
+    for r in found:
+        by_text.setdefault(r["id"], []).append(r)
+    for i, (key, t) in enumerate(texts):
+        if key in (None, 4):
+            continue  # which of two rows with one id is first is not said
+        firsts = {}
+        for j in cut:
+            for q, c in enumerate(cut[j]):
+                firsts[c[2:]] = min(firsts.get(c[2:], (order[j], j, q)), (order[j], j, q))
+        at, run, spans = 0, [], []
+        for q, (size, n, *digest) in enumerate([*cut[i], (0, 0, None, None)]):
+            later = digest[0] is not None and firsts[tuple(digest)] != (order[i], i, q)
+            if later:
+                run.append((at, size, n))
+            elif run:
+                if sum(n for *_, n in run) >= 25:
+                    spans.append((run[0][0], run[-1][0] + run[-1][1]))
+                run = []
+            at += size
+        (row,) = by_text[key]
+        want, gone = chunks._without(t, spans) if t else (t, [])
+        assert row["text"] == want and [(r["start"], r["end"]) for r in row["removed"]] == gone, key
+    for r in found:
+        t = dict(texts)[r["id"]] if r["id"] not in (None, 4) else None
+        if t:
+            pieces, at = [], 0
+            for a, b in r["removed"]:
+                pieces.append(t[at:a])
+                at = b
+            assert "".join([*pieces, t[at:]]) == r["text"]
+    one = {r["id"]: r for r in found}
+    assert one[1]["removed"] == [] and one[5]["removed"] == [] and one[6]["removed"] == []
+    assert len(one[3]["removed"]) == 1 and len(one[3]["text"]) < 0.6 * len(texts[0][1])
+    assert len(one[7]["removed"]) == 1 and one[8]["text"] == "" and one[9]["text"] is None
+    assert sum(shared in (r["text"] or "") for r in found) == 1
+    assert chunks.deduplicated(df.limit(0)).count() == 0
