@@ -1,8 +1,9 @@
 """Personal data: strict patterns that always count, and spans that boosted trees pick among loose candidates.
 
 Generators of high recall propose spans, which may overlap. Boosted trees score their format and context, and of each
-kind those above its calibrated threshold are added. The trees are fitted by Spark ML on a bounded sample and applied
-as column expressions inside each row, so documents are neither shuffled nor handed to Python.
+kind those above its calibrated threshold are added. The trees are fitted by Spark ML on a bounded number of made-up
+cases and look-alikes put into sampled texts, so their labels owe nothing to the strict patterns. They are applied as
+column expressions inside each row, so documents are neither shuffled nor handed to Python.
 """
 
 from __future__ import annotations
@@ -16,10 +17,11 @@ from pyspark.sql import functions as F
 
 from plantlens.llm.common import staged
 
-FIT_DOCUMENTS = 20_000  # documents whose candidates the trees are fitted on, about; chosen by hash
+PLANTS = 8000  # cases and look-alikes that the trees are fitted on, about
+HOST = 150  # characters of a sampled text on each side of a case
 CONTEXT = 40  # characters before a span that count as its context
-PRECISION = 0.95  # wanted of a kind's added spans on the calibration part
-TREES, DEPTH = 8, 3
+PRECISION = 0.95  # wanted of a kind's spans on the cases kept for calibration
+TREES, DEPTH = 12, 4
 
 # Starts are tied to the start of a run (or the end of the last match), which changes no match but keeps long runs linear.
 BASE: dict[str, str] = {
@@ -29,14 +31,19 @@ BASE: dict[str, str] = {
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
 LOOSE: dict[str, str] = {
-    "secret": r"(?i)(?<![a-z])(?:token|secret|password|passwd|api[_-]?key|access[_-]?key)[\"']?\x20?[:=]\x20?[\"']?[a-z0-9_/+=.-]{6,}+[\"']?",
-    "number": r"(?<![0-9.])[0-9](?:[\x20.()-]{0,2}[0-9]){8,}+",
-    "contact": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++(?:@|\x20?[(\[](?:at|AT)[)\]]\x20?)[A-Za-z0-9-]++(?:(?:\.|\x20?[(\[](?:dot|DOT)[)\]]\x20?)[A-Za-z0-9-]++)*+",
+    "secret": r"(?i)(?<![a-z])(?:token|secret|password|passwd|pwd|api[_-]?key|access[_-]?key)[\"']?\x20?[:=]\x20?[\"']?[a-z0-9_/+=.!@#$%^&*~-]{6,}+[\"']?",
+    "number": r"(?<![0-9A-Za-z.])[0-9](?:[\x20.()-]{0,2}[0-9]){6,}+",
+    "contact": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++(?:@|\x20?[(\[](?:at|AT)[)\]]\x20?|\x20(?:at|AT)\x20(?=[A-Za-z0-9-]++\x20(?:dot|DOT)\x20[A-Za-z]))"
+               r"[A-Za-z0-9-]++(?:(?:\.|\x20?[(\[](?:dot|DOT)[)\]]\x20?|\x20(?:dot|DOT)\x20)[A-Za-z0-9-]++)*+",
     "host": r"(?<![0-9A-Fa-f:.])[0-9A-Fa-f]{1,4}(?:[.:]{1,2}[0-9A-Fa-f]{1,4}){3,7}+",
 }
 KINDS = [*BASE, *LOOSE]
-FEATURES = ["kind", "length", "digits", "letters", "marks", "runs", "before", "after", "word_before", "keyword"]
-_KEYWORD = r"(?i)(token|secret|password|key|mail|phone|tel|call|fax|card|visa|iban|account|address|contact|server|host|\bip\b)"
+FEATURES = ["kind", "length", "digits", "letters", "marks", "runs", "before", "after", "word_before", "keyword",
+            "longest", "colons", "dots", "mixed", "checked", "ending", "dated"]
+_CALLS = r"(?i)\b(mail|e-mail|phone|tel|telephone|call|calling|dial|fax|mobile|cell|ring|text|ssn)\b[^.!?]{0,12}$"
+_PAYS = r"(?i)\b(pay|paid|card|visa|mastercard|amex|credit|debit|charge|charged)\b[^.!?]{0,12}$"
+_ENDING = r"(?i)\b(com|org|net|edu|gov|info|io|eu|de|fr|uk|es|it|nl|at|ch)$"
+_DATED = r"^((19|20)[0-9]{2}[-. ]+([01]?[0-9][-. ]+[0-3]?[0-9]([^0-9]|$)|(19|20)[0-9]{2}$)|[0-3]?[0-9][-. ]+[01]?[0-9][-. ]+(19|20)[0-9]{2}$)|^97[89]"
 
 
 def _digits(m: Column) -> Column:
@@ -82,7 +89,7 @@ def find(text: Column, kind: str) -> Column:
         return F.struct(end.alias("at"), F.when(good, F.concat(acc["out"], F.array(span).cast(_SPAN))).otherwise(acc["out"]).alias("out"))
 
     spans = F.aggregate(pairs, F.struct(F.lit(0).alias("at"), none.alias("out")), step)["out"]
-    needs = {"email": text.contains("@"), "phone": text.contains("+"), "contact": text.rlike(r"@|[(\[](at|AT)[)\]]"), "secret": text.rlike("[:=]")}
+    needs = {"email": text.contains("@"), "phone": text.contains("+"), "contact": text.rlike(r"@|[(\[](at|AT)[)\]]|\x20(at|AT)\x20[A-Za-z0-9-]+\x20(dot|DOT)\x20"), "secret": text.rlike("[:=]")}
     return F.when(needs.get(kind, text.rlike("[0-9]")) & text.rlike(pattern), spans).otherwise(none)
 
 
@@ -94,9 +101,14 @@ def features(text: Column, s: Column) -> list[Column]:
     def sort_of(c: Column) -> Column:
         return F.when(c.rlike(r"[\x20\x09-\x0D]"), 1).when(c.rlike("[A-Za-z]"), 2).when(c.rlike("[0-9]"), 3).when(c == "", 0).otherwise(4)
 
+    value = F.regexp_extract(m, r"[:=][\x20\"']*([^\"']+)", 1)
+    mixed = (s["kind"] == KINDS.index("secret")) & value.rlike("[0-9]") & value.rlike("[A-Za-z]")
+    longest = F.array_max(F.transform(F.split(m, "[^0-9]+"), F.length))
     return [
         s["kind"], F.length(m), F.length(_digits(m)), F.length(F.regexp_replace(m, "[^A-Za-z]", "")), F.length(F.regexp_replace(m, "[A-Za-z0-9]", "")),
-        F.regexp_count(m, F.lit("[0-9]+")), sort_of(last), sort_of(nxt), F.length(F.regexp_extract(before, r"([A-Za-z]+)[^A-Za-z]*$", 1)), before.rlike(_KEYWORD).cast("int"),
+        F.regexp_count(m, F.lit("[0-9]+")), sort_of(last), sort_of(nxt), F.length(F.regexp_extract(before, r"([A-Za-z]+)[^A-Za-z]*$", 1)), F.when(before.rlike(_CALLS), 1).when(before.rlike(_PAYS), 2).otherwise(0),
+        longest, F.length(F.regexp_replace(m, "[^:]", "")), F.length(F.regexp_replace(m, "[^.]", "")), mixed.cast("int"),
+        F.when(F.length(_digits(m)).between(14, 19), luhn(_digits(m))).otherwise(False).cast("int"), m.rlike(_ENDING).cast("int"), m.rlike(_DATED).cast("int"),
     ]
 
 
@@ -130,47 +142,110 @@ class Model:
         return total
 
     def keeps(self, s: Column) -> Column:
-        out = F.lit(False)
-        for kind, least in self.thresholds.items():
-            out = out | ((s["kind"] == KINDS.index(kind)) & (self.margin(s["f"]) >= least))
-        return out
+        least = F.lit(None).cast("double")
+        for kind, margin in self.thresholds.items():
+            least = F.when(s["kind"] == KINDS.index(kind), F.lit(float(margin))).otherwise(least)
+        return F.coalesce(self.margin(s["f"]) >= least, F.lit(False))
+
+
+# What may stand in front of a case, and forms of cases and look-alikes. In forms 0 is any digit, 9 any but zero, H a digit
+# of base 16, X a letter, Y a letter or nothing, U a capital and Z the end of a site's name; all else stands as it is.
+_LEADS = {
+    "bare": "|||at |see |under |number |is ",
+    "calls": "call |phone: |Tel. |my mobile is |fax |dial |phone |Telephone: ",
+    "any": "|||at |call |see |phone: |under |Tel. |is |my mobile is |dial ",
+    "pays": "pay with |card: |my visa |credit card |charged to |paid by card ",
+    "put": "password: |password = |Password=|passwd: |pwd=|secret: |token = |token = \"|api_key=|api-key: |access_key: '",
+}
+_ENDS = ["com", "org", "net", "de", "fr", "io", "edu", "info", "it", "nl"]
+_TRUE = {
+    "any": ["XXXYYYY.XXYYY[at]XXXXYYY[dot]Z", "XXXYYY_XXX (at) XXXXYYYY (dot) Z", "XXXXYYYY(at)XXXX-XXXY.Z", "XXXXYYY at XXXYYYYYY dot Z", "XXX.XXXYY [AT] XXXXYYY [DOT] Z", "XXXXYYYY00(at)XXXYYYY(dot)Z",
+            "(900) 900-0000", "900-900-0000", "900.900.0000", "(030) 9000-0000", "030 90000000", "01 90 00 00 00", "0171 9000000", "0900-900000",
+            "HHHH:HHHH:HHHH:HHHH:HHHH:HHHH:HHHH:HHHH", "2001:db8:HHHH:HHH::HHHH:HH", "2a02:HHHH:HH::HHHH:HHHH:HHH", "fd00:HHHH:HHHH::HHH:HH", "2001:db8:HHHH::HHHH:HH"],
+    "calls": ["9000000000", "01700000000", "900-0000", "900 0000"],
+    "pays": ["9000000000000000", "9000 0000 0000 0000"],
+    "put": ["XXXXYYY90", "XXYYY90XXYY", "UXXXXY000!", "XXXX_90_XX", "00XXXXU00", "HHHHHHH9", "HHHHHHHHHHHHHHHHHHHHHHHHHHHHHHHH", "HHHHHHHHHHHHHHHHHHHHHHHHHHHHHHHHHHHHHHHH", "UUUUUUUU900000UUUU"],
+}
+_FALSE = {
+    "any": ["XXXXYYY at XXXYYYYY dot XXXXYY", "XXXXYYY at X dot XX", "1900-01-20", "2000-12-01 10", "2010.11.20", "1990-1999", "1900-2000", "03.11.2000", "12.10.1990", "3-12-2000", "978-9-00-000000-0",
+            "1.90.900.9000", "90:90:90:90", "9:9:9:9", "9.9.9.9.9", "9.90.9000.9"],
+    "bare": ["XXXYYY@XXXYYY", "9@90", "XXYYY[at]XXYYYY", "9000000", "90000000", "900000000", "9000000000", "900000000000", "9000000000000", "9000000000000000", "9.00000000", "9 000 000", "90 000 000", "900.000.000"],
+    "put": ["required", "optional", "undefined", "incorrect", "protected", "XXXXXXYYYY", "XXXYYY.XXXXYYYY", "XXXYYY_XXXXYYY", "os.environ.XXXYY"],
+}
+
+
+def _forms(docs: DataFrame) -> tuple[DataFrame, dict[float, int]]:
+    """The forms above, one a row (some 80): label, number, leads, form; and how many each label has."""
+    rows, sizes = [], {}
+    for label, forms in ((1.0, _TRUE), (0.0, _FALSE)):
+        flat = [(lead, form) for lead, held in forms.items() for form in held]
+        sizes[label] = len(flat)
+        rows += [F.struct(F.lit(label).alias("label"), F.lit(i).alias("number"), F.lit(_LEADS[lead]).alias("leads"), F.lit(form).alias("form")) for i, (lead, form) in enumerate(flat)]
+    return docs.sparkSession.range(1).select(F.inline(F.array(*rows))), sizes
 
 
-def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", fit_documents: int = FIT_DOCUMENTS, seed: int = 42) -> Model:
-    """Trees and thresholds from the candidates of about ``fit_documents`` documents, picked by hash.
+def _filled(form: Column, h: Column) -> Column:
+    """A form with each placeholder drawn from the hash h and its place."""
+    def one(c: Column, i: Column) -> Column:
+        draw = F.xxhash64(h, i)
+        letter = F.substring(F.lit("abdegiklmnoprstucfhvwz"), F.pmod(draw, F.lit(22)).cast("int") + 1, F.lit(1))
+        return (F.when(c == "0", F.pmod(draw, F.lit(10)).cast("string")).when(c == "9", (1 + F.pmod(draw, F.lit(9))).cast("string"))
+                .when(c == "H", F.substring(F.lit("0123456789abcdef"), F.pmod(draw, F.lit(16)).cast("int") + 1, F.lit(1)))
+                .when(c == "X", letter).when(c == "U", F.upper(letter)).when(c == "Y", F.when(F.pmod(F.xxhash64(draw), F.lit(2)) == 0, letter).otherwise(""))
+                .when(c == "Z", F.get(F.array(*[F.lit(e) for e in _ENDS]), F.pmod(draw, F.lit(len(_ENDS))).cast("int"))).otherwise(c))
 
-    Labels are what the strict rules say: a candidate is personal if a strict span covers most of it, or if it is an
-    assigned value of 16 characters or more with digits and letters. The trees see format and context only, so they
-    carry over to what the strict rules miss. Four fifths fit, one fifth sets each kind's least margin at which the
-    spans above are right in ``PRECISION`` of cases.
+    return F.array_join(F.transform(F.split(form, ""), one), "")
+
+
+def planted(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", plants: int = PLANTS, seed: int = 42) -> DataFrame:
+    """About ``plants`` made-up cases in parts of sampled texts: h, text, start, end, label.
+
+    Texts are sampled by hash; where there are fewer than ``plants``, each holds several cases, one to a row. Null and
+    empty texts hold cases like others; no documents, no cases.
     """
     rows = docs.count()
-    share = max(1, min(1_000_000, fit_documents * 1_000_000 // max(rows, 1)))
-    d = docs.select(F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"), F.xxhash64(F.lit(seed), F.col(id_col), F.length(text_col)).alias("h"))
+    share = max(1, min(1_000_000, plants * 1_000_000 // max(rows, 1)))
+    d = docs.select(F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("host"), F.xxhash64(F.lit(seed), F.col(id_col), F.col(text_col)).alias("h"))
     d = d.where(F.pmod("h", F.lit(1_000_000)) < share)
-    d = d.select("text", "h", _candidates(F.col("text")).alias("c"), F.concat(*[find(F.col("text"), k) for k in BASE]).alias("strict")).where(F.size("c") > 0)
-    d = d.select("h", "strict", F.explode(_featured(F.col("text"), F.col("c"))).alias("s"))
-    covered = F.exists("strict", lambda b: 2 * (F.least(b["end"], F.col("s.end")) - F.greatest(b["start"], F.col("s.start"))) > F.col("s.end") - F.col("s.start"))
-    value = F.regexp_extract("s.found", r"[:=][\x20\"']*([^\"']+)", 1)
-    assigned = (F.col("s.kind") == KINDS.index("secret")) & (F.length(value) >= 16) & value.rlike("[0-9]") & value.rlike("[A-Za-z]")
-    rows_ = staged(d.select((covered | assigned).cast("double").alias("label"), (F.pmod(F.xxhash64("h"), F.lit(5)) == 0).alias("check"), "s.kind", F.col("s.f").alias("f")), "candidates")
-    classes = {r["label"]: r["count"] for r in rows_.where("not check").groupBy("label").count().collect()}
-    if not classes.get(1.0):
+    d = d.select("host", F.explode(F.sequence(F.lit(1), F.lit(max(1, plants // max(rows, 1))))).alias("i"), "h").select("host", F.xxhash64("h", "i").alias("h"))
+    forms, sizes = _forms(docs)
+    label = F.pmod(F.xxhash64(F.lit("label"), "h"), F.lit(2)).cast("double")
+    d = d.select("h", "host", label.alias("label"), F.pmod(F.xxhash64(F.lit("form"), "h"), F.when(label == 1, sizes[1.0]).otherwise(sizes[0.0])).cast("int").alias("number"))
+    d = d.join(F.broadcast(forms), ["label", "number"])
+    leads = F.split("leads", "[|]")
+    tails = F.array(*[F.lit(x) for x in (" ", " ", ". ", ", ", "\n", "; ")])
+    at = F.pmod(F.xxhash64(F.lit("place"), "h"), F.length("host") + 1).cast("int")
+    d = d.select("h", "label", F.concat(F.substring("host", F.greatest(at - HOST + 1, F.lit(1)), F.least(at, F.lit(HOST))), F.lit(" "),
+                                        F.get(leads, F.pmod(F.xxhash64(F.lit("lead"), "h"), F.size(leads)).cast("int"))).alias("front"),
+                 _filled(F.col("form"), F.col("h")).alias("case"),
+                 F.concat(F.get(tails, F.pmod(F.xxhash64(F.lit("tail"), "h"), F.lit(6)).cast("int")), F.substring("host", at + 1, F.lit(HOST))).alias("rest"))
+    return d.select("h", F.concat("front", "case", "rest").alias("text"), F.length("front").alias("start"), (F.length("front") + F.length("case")).alias("end"), "label")
+
+
+def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", plants: int = PLANTS, seed: int = 42) -> Model:
+    """Trees and thresholds from about ``plants`` cases and look-alikes put into sampled texts (``planted``).
+
+    A candidate that covers over half of a case has the case's label; what the texts hold of their own has no known
+    label and is left out. Four fifths of the cases fit, one fifth sets each kind's least margin at which the spans
+    above are right in ``PRECISION`` of cases; a kind without such a margin takes the trees' own line, a margin of 0.
+    """
+    d = staged(planted(docs, id_col, text_col, plants, seed), "cases")
+    d = d.select("h", "start", "end", "label", F.explode(_featured(F.col("text"), _candidates(F.col("text")))).alias("s"))
+    over = F.least("end", "s.end") - F.greatest("start", "s.start")
+    rows_ = staged(d.where(2 * over > F.col("end") - F.col("start")).select("label", (F.pmod(F.xxhash64("h"), F.lit(5)) == 0).alias("check"), "s.kind", F.col("s.f").alias("f")), "candidates")
+    if len(rows_.where("not check").select("label").distinct().take(2)) < 2:
         return Model([], {})
-    if classes.get(0.0):
-        assembled = rows_.select("label", "check", "kind", *[F.col("f")[i].alias(n if n != "kind" else "kind_") for i, n in enumerate(FEATURES)])
-        assembled = VectorAssembler(inputCols=[n if n != "kind" else "kind_" for n in FEATURES], outputCol="features").transform(assembled)
-        fitted = GBTClassifier(featuresCol="features", labelCol="label", maxIter=TREES, maxDepth=DEPTH, maxBins=16, seed=seed).fit(assembled.where("not check").select("label", "features"))
-        trees = [(float(w), t._call_java("rootNode")) for w, t in zip(fitted.treeWeights, fitted.trees)]
-    else:
-        trees = []
-    model = Model(trees, {})
+    columns = [n if n != "kind" else "kind_" for n in FEATURES]
+    assembled = rows_.where("not check").select("label", *[F.col("f")[i].alias(n) for i, n in enumerate(columns)])
+    assembled = VectorAssembler(inputCols=columns, outputCol="features").transform(assembled).select("label", "features")
+    fitted = GBTClassifier(featuresCol="features", labelCol="label", maxIter=TREES, maxDepth=DEPTH, maxBins=32, stepSize=0.3, seed=seed).fit(assembled)
+    model = Model([(float(w), t._call_java("rootNode")) for w, t in zip(fitted.treeWeights, fitted.trees)], dict.fromkeys(LOOSE, 0.0))
     scored = rows_.where("check").select("kind", "label", F.round(model.margin(F.col("f")), 2).alias("margin")).groupBy("kind", "margin").agg(F.sum("label").alias("good"), F.count("*").alias("n")).collect()
     for kind in LOOSE:
         good = n = 0
         for r in sorted((r for r in scored if r["kind"] == KINDS.index(kind)), key=lambda r: -r["margin"]):
             good, n = good + r["good"], n + r["n"]
-            if n >= 3 and good >= PRECISION * n:
+            if good >= PRECISION * n:
                 model.thresholds[kind] = r["margin"] - 0.005
     return model
 

@@ -253,6 +253,71 @@ def test_pii_model_adds_what_looks_alike(spark):
     assert "number:9:25" in got[900] and "secret:" in got[0]
 
 
+def _loose_case(r, kind):
+    """Forms written here apart from those that the trees are fitted on: (text, span looked for)."""
+    d = lambda n: "".join(r.choice("0123456789") for _ in range(n))
+    word = lambda: "".join(r.choice("bcdfglmnprst") + r.choice("aeiou") for _ in range(r.randrange(2, 4)))
+    if kind == "contact":
+        x = r.choice(["{}.{} [at] {} [dot] org", "{}{}(at){}(dot)net", "{}_{} (at) {}.de", "{}{} at {} dot com"]).format(word(), word(), word())
+    elif kind == "number":
+        x = r.choice([f"({r.randrange(201, 990)}) 555-{d(4)}", f"{r.randrange(201, 990)}-555-{d(4)}", f"{r.randrange(201, 990)}.555.{d(4)}", f"040 {r.randrange(2, 10)}{d(7)}"])
+        x = x.lstrip("(")
+    elif kind == "secret":
+        x = r.choice(["password: ", "pwd=", "passwd = "]) + r.choice([word()[:4] + d(4), (word() + word())[:6].capitalize() + d(2), d(2) + word() + "X" + d(2)])
+    else:
+        x = r.choice([":".join(f"{r.getrandbits(16):04x}" for _ in range(8)), f"2001:db8:{r.getrandbits(16):x}::{r.getrandbits(15) + 1:x}:{r.getrandbits(8):x}"])
+    return x
+
+
+def test_pii_recall_of_loose_kinds(spark):
+    r = random.Random(11)
+    rows, want = [], {}
+    kinds = ["contact", "number", "secret", "host"]
+    for i in range(800):
+        kind = kinds[i % 4]
+        case = _loose_case(r, kind)
+        front = prose(i, 12 + i % 20) + (" (" if kind == "number" and ")" in case else " ")
+        rows.append((i, front + case + r.choice([" ", ", ", ". "]) + prose(i + 5000, 15)))
+        want[i] = (kind, len(front), len(front) + len(case))
+    clean = ["on 2021-03-14 and 2020-11-02", "between 1998-2004 and", "order 48213377 shipped", "at 12:30:45:10 the", "password: required here", "token = response.body then", "isbn 978-3-16-148410-0 is",
+             "polka at a dot on", "release 1.20.300.4500 of", "some 3 450 000 people", "id 9038471625534 stored", "ratio 1:2:3:4 for"]
+    rows += [(10_000 + i, f"{prose(i, 9)} {clean[i % len(clean)]} {prose(i + 700, 9)}") for i in range(240)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {x["doc_id"]: x["s"] for x in pii.spans(df, pii.fit(df)).select("doc_id", pii.listed(pii.F.col("spans")).alias("s")).collect()}
+    found = dict.fromkeys(kinds, 0)
+    for i, (kind, start, end) in want.items():
+        spans = [(int(a), int(b)) for _, a, b in (x.split(":") for x in got[i].split(",") if x)]
+        found[kind] += any(2 * (min(end, b) - max(start, a)) > end - start for a, b in spans)
+    assert all(n >= 0.9 * 200 for n in found.values()), found
+    wrong = [t for i, t in rows if i >= 10_000 and got[i]]
+    assert len(wrong) <= 0.1 * 240, sorted({clean[(i - 10_000) % len(clean)] for i, _ in rows if i >= 10_000 and got[i]})
+
+
+def test_pii_fit_of_few_and_empty_texts(spark):
+    few = spark.createDataFrame([(1, None), (None, ""), (3, "one text, password: kilo4711 and no more")], "doc_id long, text string")
+    model = pii.fit(few)
+    assert set(model.thresholds) == set(pii.LOOSE)
+    got = [r["s"] for r in pii.spans(few, model).orderBy("doc_id").select(pii.listed(pii.F.col("spans")).alias("s")).collect()]
+    assert got == ["", "", "secret:10:28"]
+
+
+def test_pii_card_and_phone_spans(spark):
+    r = random.Random(3)
+    texts = ["".join(r.choice("0123456789 -+().x") for _ in range(r.randrange(10, 160))) for _ in range(300)]
+    texts += [" ".join("4111111111111111 5500 0000 0000 0004 378282246310005 +44 20 7946 0958 +1(212)555-0100".split(" ")[k:]) for k in range(8)]
+
+    def luhn(d):
+        return sum(sum(divmod(int(x) * (1 + k % 2), 10)) for k, x in enumerate(reversed(d))) % 10 == 0
+
+    checks = {"card": (r"[0-9]([\x20-]?[0-9])+", lambda d: 14 <= len(d) <= 19 and luhn(d)), "phone": (r"\+[0-9][\x20().0-9-]+[0-9]", lambda d: 10 <= len(d) <= 15)}
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {x["doc_id"]: x["b"] for x in pii.spans(df, pii.Model([], {})).select("doc_id", pii.listed(pii.F.col("base")).alias("b")).collect()}
+    for i, t in enumerate(texts):
+        for kind, (p, ok) in checks.items():
+            want = [f"{kind}:{m.start()}:{m.end()}" for m in re.finditer(p, t) if ok(re.sub("[^0-9]", "", m[0]))]
+            assert [x for x in got[i].split(",") if x.startswith(kind)] == want
+
+
 def test_warc(spark, tmp_path):
     big = "<p>é\r\n\r\nWARC/1.1\r\n" + "x" * 120
     rows = [(5, "http://a", big), (2, "http://b\r\nX: 1", big), (9, None, big), (3, "u", "small"), (4, "u", "small"), (6, "u", None), (7, "u", ""), (2, "u", big), (None, "u", big)]
