@@ -1,7 +1,7 @@
 """Benchmark decontamination by latent semantic retrieval.
 
-Passages of the corpus and benchmark items are TF-IDF vectors over the benchmark's words. A randomised SVD, computed
-by tasks that each add up their part of two products, gives the latent space; passages near an item by cosine there
+Passages of the corpus and benchmark items are TF-IDF vectors over the benchmark's words. A randomised SVD of all
+passages, computed by tasks that each add up their part of two products, gives the latent space; passages near an item by cosine there
 are candidates, and a candidate counts if the longest common subsequence of words covers the item, or most of it and
 its answer, the last sentence. Items are a stated query set: they pass over all documents in blocks.
 """
@@ -9,7 +9,7 @@ its answer, the last sentence. Items are a stated query set: they pass over all
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from typing import NamedTuple
 
 import numpy as np
@@ -20,13 +20,13 @@ from pyspark.sql import functions as F
 from plantlens.llm.common import staged
 
 ITEMS = 2000  # benchmark items that one pass over the documents looks for, about
-FIT_DOCUMENTS = 4000  # documents whose passages the latent space is fitted on, about; chosen by hash
 RANK, EXTRA = 96, 16
 CELL, CELLS = 16, 2  # a passage is two cells of 16 words, one cell apart from the next
 SPREAD = 0.25  # power of a dimension's variance that its weight is divided by; 0.5 would make all spread alike
 NEAR = 0.55  # cosine of a candidate
 COVERED, PARAPHRASED, ANSWERED = 0.8, 0.6, 0.8  # parts of the item, of a paraphrase, and of its answer
 STEP = 60_000  # words looked at together
+BLOCK = 32  # cells whose words are counted in one dense table
 _CUT = bytes(32 if chr(i) in "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~" else i for i in range(256))
 
 
@@ -72,54 +72,85 @@ class _Cells(NamedTuple):
     first: np.ndarray  # each text's first cell, and the total at the end
 
 
-def _cells(texts: list[list[bytes]], vocabulary: dict[bytes, int]) -> _Cells:
-    get = vocabulary.get
+def _cells(texts: list[np.ndarray], size: int) -> _Cells:
     sizes = np.array([len(t) for t in texts], np.int64)
-    ids = np.array([get(w, -1) for t in texts for w in t], np.int64)
+    ids = np.concatenate(texts).astype(np.int64)
     first = np.concatenate([[0], np.cumsum(-(-sizes // CELL))])
     at = np.arange(len(ids)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
     cell = np.repeat(first[:-1], sizes) + at // CELL
-    known = ids >= 0
+    known = ids < size
     return _Cells(ids[known], cell[known], first)
 
 
-def _passages(c: _Cells, vectors: np.ndarray) -> np.ndarray:
+def _counts(c: _Cells) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(first cell, word ids, how often each of BLOCK cells holds each of them) for one block of cells after the other."""
+    bounds = np.searchsorted(c.cell, np.arange(0, int(c.first[-1]) + BLOCK, BLOCK))
+    for block, (lo, hi) in enumerate(zip(bounds[:-1].tolist(), bounds[1:].tolist())):
+        if lo < hi:
+            known, column = np.unique(c.ids[lo:hi], return_inverse=True)
+            at = (c.cell[lo:hi] - block * BLOCK) * len(known) + column
+            yield block * BLOCK, known, np.bincount(at, minlength=BLOCK * len(known)).reshape(BLOCK, -1).astype(np.float32)
+
+
+def _inside(c: _Cells) -> np.ndarray:
+    """For each cell but the first one of all, whether its text has a cell before it."""
+    out = np.ones(int(c.first[-1]) + 1, bool)
+    out[c.first] = False
+    return out[1:-1]
+
+
+def _passages(c: _Cells, counts: Iterable[tuple[int, np.ndarray, np.ndarray]], vectors: np.ndarray) -> np.ndarray:
     """A row for the passage that starts at each cell: the sum of its words' vectors; it ends with its text."""
-    sums = np.zeros((int(c.first[-1]) + CELLS, vectors.shape[1]), vectors.dtype)
-    if len(c.ids):
-        at = np.flatnonzero(np.concatenate([[True], c.cell[1:] != c.cell[:-1]]))
-        sums[c.cell[at]] = np.add.reduceat(vectors[c.ids], at, axis=0)
     n = int(c.first[-1])
-    last = np.zeros(n, bool)
-    last[c.first[1:][np.diff(c.first) > 0] - 1] = True
+    sums = np.zeros((n + BLOCK, vectors.shape[1]), np.float32)
+    for at, known, m in counts:
+        sums[at : at + BLOCK] = m @ vectors[known]
     out = sums[:n].copy()
-    out[~last] += sums[1 : n + 1][~last]
+    inside = _inside(c)
+    out[:-1][inside] += sums[1:n][inside]
     return out
 
 
-def _grouped(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list, list[list[bytes]]]]:
-    """(ids, word lists) of some texts at a time; a long text comes alone."""
-    ids, texts, size = [], [], 0
+def coded(docs: DataFrame, vocabulary: dict[bytes, int]) -> DataFrame:
+    """(id, words) of every row of (id, text): the numbers of its words as raw bytes; a strange word has the next number."""
+    dtype, strange = _dtype(len(vocabulary)), len(vocabulary)
+
+    def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        get = vocabulary.get
+        for batch in batches:
+            data = [np.array([get(w, strange) for w in words(t.as_py())], dtype).tobytes() for t in batch.column(1)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(data, pa.binary())], names=["id", "words"])
+
+    return docs.mapInArrow(code, "id long, words binary")
+
+
+def _dtype(size: int) -> str:
+    return "<u2" if size < 1 << 16 else "<i4"
+
+
+def _grouped(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[tuple[list, list[np.ndarray]]]:
+    """(ids, word numbers) of some texts at a time; a long text ends its group."""
+    ids, texts, held, dtype = [], [], 0, _dtype(size)
     for batch in batches:
         for i, t in zip(batch.column(0), batch.column(1)):
-            w = words(t.as_py())
+            w = np.frombuffer(t.as_buffer(), dtype)
             ids.append(i.as_py())
             texts.append(w)
-            size += len(w)
-            if size > STEP:
+            held += len(w)
+            if held > STEP:
                 yield ids, texts
-                ids, texts, size = [], [], 0
+                ids, texts, held = [], [], 0
     if ids:
         yield ids, texts
 
 
-def frequencies(docs: DataFrame, vocabulary: dict[bytes, int]) -> tuple[np.ndarray, int]:
-    """Of how many cells each known word is in, and the number of cells, over all documents (id, text)."""
+def frequencies(docs: DataFrame, size: int) -> tuple[np.ndarray, int]:
+    """Of how many cells each known word is in, and the number of cells, over all ``coded`` documents."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total, n, size = np.zeros(len(vocabulary), np.int64), 0, len(vocabulary)
-        for _, texts in _grouped(batches):
-            c = _cells(texts, vocabulary)
+        total, n = np.zeros(size, np.int64), 0
+        for _, texts in _grouped(batches, size):
+            c = _cells(texts, size)
             pairs = np.sort(c.cell * size + c.ids)
             pairs = pairs[np.concatenate([[True], pairs[1:] != pairs[:-1]])] if len(pairs) else pairs
             total += np.bincount(pairs % size, minlength=size)
@@ -127,7 +158,7 @@ def frequencies(docs: DataFrame, vocabulary: dict[bytes, int]) -> tuple[np.ndarr
         yield pa.RecordBatch.from_arrays([pa.array([-1, *range(size)], pa.int64()), pa.array([n, *total.tolist()], pa.int64())], names=["word", "n"])
 
     rows = docs.mapInArrow(count, "word long, n long").groupBy("word").agg(F.sum("n").alias("n")).collect()  # the benchmark's words at most
-    out, n = np.zeros(len(vocabulary), np.int64), 0
+    out, n = np.zeros(size, np.int64), 0
     for r in rows:
         if r["word"] < 0:
             n = r["n"]
@@ -136,38 +167,50 @@ def frequencies(docs: DataFrame, vocabulary: dict[bytes, int]) -> tuple[np.ndarr
     return out, n
 
 
-def latent(sample: DataFrame, items: np.ndarray, idf: np.ndarray, vocabulary: dict[bytes, int], seed: int = 42) -> np.ndarray:
+def product(docs: DataFrame, idf: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, float]:
+    """A'A x for the TF-IDF passages A of all ``coded`` documents, and the squared weights of all their words."""
+    size, width = x.shape
+    weighted = (idf[:, None] * x).astype(np.float32)
+
+    def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out, mass = np.zeros((size + 1, width)), 0.0
+        for _, texts in _grouped(batches, size):
+            c = _cells(texts, size)
+            if not len(c.ids):
+                continue
+            counts = list(_counts(c))
+            y = _passages(c, counts, weighted)
+            inside = _inside(c)
+            y[1:][inside] += y[:-1][inside]  # a word is in two passages
+            for at, known, m in counts:
+                own = y[at : at + BLOCK]
+                out[known] += m[: len(own)].T @ own
+            mass += float((idf[c.ids] ** 2).sum())
+        out[:-1] *= idf[:, None]
+        out[-1] = mass
+        rows = pa.ListArray.from_arrays(pa.array(np.arange(size + 2, dtype=np.int32) * width), pa.array(out.ravel()))
+        yield pa.RecordBatch.from_arrays([pa.array([*range(size), -1], pa.int64()), rows], names=["word", "v"])
+
+    total = docs.mapInArrow(part, "word long, v array<double>").groupBy("word").agg(*[F.sum(F.get("v", F.lit(i))).alias(f"v{i}") for i in range(width)]).collect()
+    out, mass = np.zeros((size, width)), 0.0
+    for r in total:
+        if r[0] < 0:
+            mass = r[1]
+        else:
+            out[r[0]] = r[1:]
+    return out, mass
+
+
+def latent(docs: DataFrame, items: np.ndarray, idf: np.ndarray, seed: int = 42) -> np.ndarray:
     """Word vectors of the latent space, partly whitened so that the language alone does not make texts alike.
 
-    ``sample`` holds (id, text) rows to fit on, ``items`` the benchmark's TF-IDF rows, which weigh as much together.
+    ``docs`` are all ``coded`` documents, ``items`` the benchmark's TF-IDF rows, which weigh as much together.
     One power step: tasks add up A'(A X) for a random X and again for an orthogonal base of the first product.
     """
-    size, width = len(vocabulary), min(RANK + EXTRA, len(vocabulary))
-
-    def product(x: np.ndarray) -> tuple[np.ndarray, float]:
-        def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            out, mass = np.zeros((size, width)), 0.0
-            for _, texts in _grouped(batches):
-                c = _cells(texts, vocabulary)
-                if not len(c.ids):
-                    continue
-                y = _passages(c, idf[:, None] * x)
-                y[1:] += np.where(np.isin(np.arange(1, len(y)), c.first), 0.0, 1.0)[:, None] * y[:-1].copy()  # a word is in two passages
-                np.add.at(out, c.ids, idf[c.ids, None] * y[c.cell])
-                mass += float((idf[c.ids] ** 2).sum())
-            yield pa.RecordBatch.from_arrays([pa.array([*range(size), -1], pa.int64()), pa.array([*out.tolist(), [mass] * width], pa.list_(pa.float64()))], names=["word", "v"])
-
-        total = sample.mapInArrow(part, "word long, v array<double>").groupBy("word").agg(*[F.sum(F.get("v", F.lit(i))).alias(f"v{i}") for i in range(width)]).collect()
-        out, mass = np.zeros((size, width)), 0.0
-        for r in total:
-            if r[0] < 0:
-                mass = r[1]
-            else:
-                out[r[0]] = r[1:]
-        return out, mass
+    size, width = len(idf), min(RANK + EXTRA, len(idf))
 
     def both(x: np.ndarray) -> np.ndarray:
-        out, mass = product(x)
+        out, mass = product(docs, idf, x)
         own = items.T @ (items @ x)
         return out * (np.square(items).sum() / mass) + own if mass else own
 
@@ -184,21 +227,27 @@ def _unit(x: np.ndarray) -> np.ndarray:
 
 
 def _search(items: list[Item], vocabulary: dict[bytes, int], vectors: np.ndarray, near: float):
-    queries = _unit(np.array([vectors[[vocabulary[w] for w in it.words]].sum(0) for it in items], np.float32)).T.copy()
+    size = len(vocabulary)
+    numbers = [it._replace(words=[vocabulary[w] for w in it.words], answer=[vocabulary[w] for w in it.answer]) for it in items]
+    queries = _unit(np.array([vectors[it.words].sum(0) for it in numbers], np.float32)).T.copy()
+    own = [frozenset(it.words) for it in numbers]  # no other word adds to a common subsequence
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for ids, texts in _grouped(batches):
-            c = _cells(texts, vocabulary)
-            found = _passages(c, vectors)
+        for ids, texts in _grouped(batches, size):
+            c = _cells(texts, size)
+            found = _passages(c, _counts(c), vectors)
             best: dict[tuple[int, int], tuple[float, float]] = {}
             for start in range(0, len(found), 4096):
                 cosine = _unit(found[start : start + 4096]) @ queries
                 at, which = np.nonzero(cosine >= near)
                 owner = np.searchsorted(c.first, at + start, "right") - 1
                 for cell, k, d in zip((at + start - c.first[owner]).tolist(), which.tolist(), owner.tolist()):
-                    it = items[k]
+                    it, known = numbers[k], own[k]
                     lo = max(0, cell * CELL - len(it.words))
-                    got = verdict(it, texts[d][lo : (cell + CELLS) * CELL + len(it.words)])
+                    passage = [w for w in texts[d][lo : (cell + CELLS) * CELL + len(it.words)].tolist() if w in known]
+                    if len(passage) < min(COVERED, PARAPHRASED) * len(it.words):
+                        continue  # it cannot cover enough
+                    got = verdict(it, passage)
                     if got > best.get((d, k), (0.0, 0.0)):
                         best[d, k] = got
             hits = [(ids[d], items[k].id, *got) for (d, k), got in best.items() if got[0] >= COVERED or got[0] >= PARAPHRASED and got[1] >= ANSWERED]
@@ -212,14 +261,13 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
           near: float = NEAR) -> DataFrame:
     """(id, item, covered, answered) for every document and item that it holds a passage of, one row each.
 
-    Whole texts are searched; items without words are left out, null and empty texts hold nothing. Rows with repeated
-    ids are searched each, and of equal (id, item) the best row stays. An empty table on either side gives no rows.
+    Whole texts are searched, and the latent space is fitted on the passages of all of them; items without words are left
+    out, null and empty texts hold nothing. Rows with repeated ids are searched each, and of equal (id, item) the best row
+    stays. An empty table on either side gives no rows. Texts are cut into words once for each block of items.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     bench = benchmark.select(F.col(item_col).cast("long").alias("item"), F.col(item_text_col).cast("string").alias("text"))
     blocks = max(1, -(-bench.count() // ITEMS))
-    share = min(1_000_000, FIT_DOCUMENTS * 1_000_000 // max(rows.count(), 1) + 1)
-    sample = staged(rows.where(F.pmod(F.xxhash64("id", F.length("text")), F.lit(1_000_000)) < share).coalesce(8), "fit")
     out: DataFrame | None = None
     for b in range(blocks):
         own = bench.where(F.pmod(F.xxhash64("item", "text"), F.lit(blocks)) == b).collect()  # about ITEMS rows
@@ -227,14 +275,15 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
         if not items:
             continue
         vocabulary = {w: i for i, w in enumerate(sorted({w for it in items for w in it.words}))}
-        n, cells = frequencies(rows, vocabulary)
+        known = staged(coded(rows, vocabulary), "coded")
+        n, cells = frequencies(known, len(vocabulary))
         idf = np.log((1.0 + cells) / (1.0 + n)) + 0.05
         rows_of = np.zeros((len(items), len(vocabulary)))
         for i, it in enumerate(items):
             for w in it.words:
                 rows_of[i, vocabulary[w]] += idf[vocabulary[w]]
-        vectors = latent(sample, rows_of, idf, vocabulary)
-        found = rows.mapInArrow(_search(items, vocabulary, vectors, near), "id long, item long, covered double, answered double")
+        vectors = latent(known, rows_of, idf)
+        found = known.mapInArrow(_search(items, vocabulary, vectors, near), "id long, item long, covered double, answered double")
         out = found if out is None else out.union(found)
     if out is None:
         return docs.sparkSession.createDataFrame([], "id long, item long, covered double, answered double")
