@@ -48,8 +48,9 @@ def exact(df: DataFrame, keys: Sequence[str], cols: Sequence[str], probs: Sequen
             F.when(open_high, F.lit(float("inf"))).when(big, at(2)).otherwise(at(3)).alias("hi"),
         ))
     brackets = sketch.select(*group, "_n", F.array(*wants).alias("_want"))
+    side = brackets if keys else F.broadcast(brackets)  # without keys a row for each column; a shuffle would put a column into one task
     inside = (
-        attach(long, brackets, group)
+        attach(long, side, group)
         .select(*group, "_n", "v", F.explode("_want").alias("w"))
         .filter(F.col("v") <= F.col("w.hi"))
         .select(*group, "_n", F.col("w.p").alias("p"), F.when(F.col("v") >= F.col("w.lo"), F.col("v")).alias("v"))

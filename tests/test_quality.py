@@ -80,6 +80,19 @@ def test_exact_quantiles_of_a_large_group_use_brackets(spark):
             assert abs(got[(c, p)] - np.quantile(sample[c], p)) < 1e-6
 
 
+def test_ungrouped_quantiles_do_not_shuffle_rows_by_column(spark):
+    df = spark.range(5000).select((F.col("id") * 0.5).alias("x"), (F.col("id") % 7).alias("y"))
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        found = quantiles.exact(df, [], ["x", "y"], [0.5])
+        plan = found._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" not in plan and "BroadcastHashJoin" in plan
+        assert {r["col"]: r["value"] for r in found.collect()} == {"x": 1249.75, "y": 3.0}
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+
+
 def test_scalers_round_trip_and_constant_columns(spark):
     df = series(spark, [1.0, 2.0, 6.0]).unionByName(series(spark, [4.0, 4.0], unit="b"))
     scaler = quality.fit_scaler(df, ["value"], "standard", KEY)
