@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import math
+from collections import Counter
+from collections.abc import Iterator, Sequence
 
+import pyarrow as pa
 from pyspark.errors import AnalysisException, ParseException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -23,33 +26,115 @@ POSITIVE = ("good", "great", "improve", "clean", "success", "正常", "达标",
 NEGATIVE = ("bad", "poor", "fail", "pollution", "exceed", "超标", "污染", "故障")
 
 
-HOT_TERMS = 1000
+HOT_TERMS = 20_000
+HELD_TERMS = 200_000  # terms a task counts before it passes them on
+_SLACK = 1e-6  # scores are compared at nine digits, so closer ones may tie
+
+
+def documents(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, list[list[str]]]]:
+    """Some rows of (id, lower-case text or words) and their words; Python's blanks are those of ``tf.WHITESPACE``."""
+    for batch in batches:
+        for start in range(0, batch.num_rows, 500):
+            part = batch.slice(start, 500)
+            yield part, [x.split() if isinstance(x, str) else [w for w in x or [] if w is not None] for x in part.column(1).to_pylist()]
+
+
+def _holders(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(term, n): how many of some rows hold a term."""
+    counts: Counter = Counter()
+
+    def held() -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(list(counts), pa.string()), pa.array(list(counts.values()), pa.int64())], names=["term", "n"])
+
+    for _, rows in documents(batches):
+        for words in rows:
+            counts.update(set(words))
+        if len(counts) > HELD_TERMS:
+            yield held()
+            counts.clear()
+    yield held()
+
+
+def _candidates(k: int, hot: dict[str, int], n_docs: int, most: float):
+    """For each row of (id, words): the terms that may be among its ``k`` best, as (id, term, tf, df), df only if the term is hot."""
+
+    def idf(df: float) -> float:
+        return math.log((1.0 + n_docs) / (1.0 + df)) + 1
+
+    weight = {t: idf(n) for t, n in hot.items()}
+    low, high = idf(max(most, 1.0)), idf(1.0)
+
+    def best(words: list[str]) -> list[tuple[str, int, int | None]]:
+        counts = Counter(words)
+        known = sorted((-n * weight[t], t, n) for t, n in counts.items() if t in weight)
+        rest = [(t, n) for t, n in counts.items() if t not in weight]
+        sure = sorted([-s for s, _, _ in known[:k]] + [n * low for _, n in rest], reverse=True)
+        least = (sure[k - 1] if len(sure) >= k else 0.0) - _SLACK
+        out: list[tuple[str, int, int | None]] = [(t, n, None) for t, n in rest if n * high >= least]
+        alike: Counter = Counter()
+        for s, t, n in known:
+            if -s < least:
+                break
+            alike[n, hot[t]] += 1
+            if alike[n, hot[t]] <= k:  # these tie, so the first terms win
+                out.append((t, n, hot[t]))
+        return out
+
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part, rows in documents(batches):
+            at, found = [], []
+            for i, words in enumerate(rows):
+                own = best(words)
+                at += [i] * len(own)
+                found += own
+            terms, tfs, dfs = zip(*found) if found else ((), (), ())
+            yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(at, pa.int64())), pa.array(terms, pa.string()), pa.array(tfs, pa.int64()), pa.array(dfs, pa.int64())], names=["id", "term", "tf", "df"])
+
+    return search
 
 
 def keywords(df: DataFrame, *, id_col: str, text: str, k: int = 5, tokens: str | None = None) -> DataFrame:
     """Top-k terms per document by TF-IDF (ties by term), as id, keywords array; blank text gives [].
 
     Terms are the text's words between blanks, or the array column ``tokens`` (see ``segment`` for text without blanks).
+    Rows with one id are one document.
 
-    Document terms are written once. A term that holds more than one in HOT_TERMS of them is hot; there can
-    be at most HOT_TERMS such terms, so their weights are broadcast. All other terms are joined by shuffle,
-    where none can dominate a task.
+    A term that holds more than one in HOT_TERMS of all document terms is hot; there can be at most HOT_TERMS such terms,
+    so their counts go to the tasks. A document's terms are counted within its row, and only those leave it that can still
+    be among the best: the weight of a term that is not hot is known to lie above that of all hot ones and below that of a
+    term in one document. These are joined with their counts by shuffle, where none can dominate a task.
     """
-    pairs = df.select(id_col, F.explode(F.col(tokens) if tokens else tf.tokens(F.col(text))).alias("term")).groupBy(id_col, "term").agg(F.count("*").alias("tf"))
-    terms = staged(pairs, "terms")
-    n_docs, n_pairs = df.count(), terms.count()
-    weights = terms.groupBy("term").agg(F.count("*").alias("df"))
-    idf = (F.log((F.lit(1.0) + n_docs) / (F.lit(1.0) + F.col("df"))) + 1).alias("idf")
-    is_hot = F.col("df") > n_pairs / HOT_TERMS
-    hot = F.broadcast(weights.filter(is_hot).select("term", idf))
-    cold = weights.filter(~is_hot).select("term", idf)
-    joined = terms.join(hot, "term").unionByName(terms.join(hot, "term", "left_anti").join(cold, "term"))
-    scored = joined.select(id_col, "term", (F.col("tf") * F.col("idf")).alias("score"))
-    w = Window.partitionBy(id_col).orderBy(F.desc(F.round("score", 9)), "term")
+    words = F.col(tokens) if tokens else tf.tokens(F.col(text))
+    key = F.col(id_col)
+    repeated = staged(df.groupBy(key.alias("id")).agg(F.count("*").alias("n")).where("n > 1 or id is null").select(F.col("id").alias("__id")), "repeated")
+    single, pairs = df, None
+    if not repeated.isEmpty():
+        same = key.eqNullSafe(F.col("__id"))
+        single = df.join(repeated, same, "left_anti")
+        several = df.join(repeated, same, "left_semi").select(key.alias("id"), F.explode(words).alias("term"))
+        pairs = staged(several.groupBy("id", "term").agg(F.count("*").alias("tf")), "terms")
+    rows = single.select(key.alias("id"), (words if tokens else F.lower(text)).alias("words"))
+    held = rows.mapInArrow(_holders, "term string, n long")
+    if pairs is not None:
+        held = held.unionByName(pairs.where("term is not null").select("term", F.lit(1).cast("long").alias("n")))
+    weights = staged(held.groupBy("term").agg(F.sum("n").alias("df")), "weights")
+    n_docs, n_pairs = df.count(), weights.agg(F.coalesce(F.sum("df"), F.lit(0))).first()[0]
+    most = n_pairs / HOT_TERMS
+    hot = {r["term"]: r["df"] for r in weights.where(F.col("df") > most).collect()}  # HOT_TERMS at most
+    schema = f"id {df.schema[id_col].dataType.simpleString()}, term string, tf long, df long"
+    found = rows.mapInArrow(_candidates(k, hot, n_docs, most), schema)
+    if pairs is not None:
+        known = F.broadcast(weights.where(F.col("df") > most))
+        found = found.unionByName(pairs.join(known, "term", "left").select("id", "term", "tf", "df"))
+    found = staged(found, "candidates")
+    cold = found.where("df is null").drop("df").join(weights.where(F.col("df") <= most), "term")
+    idf = F.log((F.lit(1.0) + n_docs) / (F.lit(1.0) + F.col("df"))) + 1
+    scored = found.where("df is not null").unionByName(cold).select("id", "term", (F.col("tf") * idf).alias("score"))
+    w = Window.partitionBy("id").orderBy(F.desc(F.round("score", 9)), "term")
     top = (
         scored.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
-        .groupBy(id_col).agg(F.array_sort(F.collect_list(F.struct("rank", "term"))).alias("_t"))
-        .select(id_col, F.col("_t.term").alias("keywords"))
+        .groupBy("id").agg(F.array_sort(F.collect_list(F.struct("rank", "term"))).alias("_t"))
+        .select(F.col("id").alias(id_col), F.col("_t.term").alias("keywords"))
     )
     return df.join(top, id_col, "left").withColumn("keywords", F.coalesce("keywords", F.array().cast("array<string>")))
 

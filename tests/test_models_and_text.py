@@ -159,6 +159,33 @@ def test_keywords_with_and_without_hot_terms(spark, monkeypatch):
     assert {r["id"]: r["keywords"] for r in text.keywords(df, id_col="id", text="t", k=3).collect()} == want
 
 
+@pytest.mark.parametrize("hot", [1, 30, 20_000])
+def test_keywords_equal_brute_force(spark, monkeypatch, hot):
+    import collections
+    import math
+    import random
+
+    monkeypatch.setattr(text, "HOT_TERMS", hot)
+    r = random.Random(4)
+    blanks = [" ", "\t", "\x1c", "\u00a0", "\u2003", "\u3000", "\x85 "]
+    rows = [(i, r.choice(blanks).join(r.choice(["the", "a", "Été", "ΟΔΟΣ", f"w{r.randrange(40)}", f"u{i}x{r.randrange(3)}"]) for _ in range(r.randrange(30)))) for i in range(60)]
+    rows += [(7, "the the w1 again"), (7, "again"), (None, "w1 lost"), (90, None), (91, " \u00a0")]
+    words = collections.defaultdict(collections.Counter)
+    for i, t in rows:
+        words[i].update((t or "").lower().split())
+    df = collections.Counter(w for c in words.values() for w in c)
+
+    def best(i):
+        score = {w: round(n * (math.log((1 + len(rows)) / (1 + df[w])) + 1), 9) for w, n in words[i].items()}
+        return sorted(score, key=lambda w: (-score[w], w))[:5] if i is not None else []
+
+    frame = spark.createDataFrame(rows, "id long, t string").repartition(3)
+    found = text.keywords(frame, id_col="id", text="t").collect()
+    assert len(found) == len(rows) and all(x["keywords"] == best(x["id"]) for x in found)
+    plan = text.keywords(frame.where("id < 7"), id_col="id", text="t")._jdf.queryExecution().optimizedPlan().toString()
+    assert "Generate" not in plan  # no row for each word of a text
+
+
 def test_guarded_ratio_and_unit_without_facts(spark):
     df = spark.createDataFrame([(1.0, 0.0), (4.0, 2.0)], "a double, b double")
     assert [r[0] for r in df.select(domain.guarded_ratio(F.col("a"), F.col("b"))).collect()] == [0.0, 2.0]
