@@ -100,3 +100,10 @@ def test_labelled_documents(spark):
     ok = F.avg(F.when(F.col("label") == 1, F.col("sentiment") == "正面").otherwise(F.col("sentiment") == "负面").cast("double"))
     mine, listed = (x.agg(ok).first()[0] for x in (sentiment.classify(held, fitted, text="text"), text.sentiment(held, "text")))
     assert mine > listed, (mine, listed)
+
+
+def test_features_cut_a_text_once(spark):
+    df = spark.createDataFrame([("Good  Good day",), ("one",), (" ",), (None,)], "text string")
+    found = sentiment._features(df, "text")
+    assert [sorted(r["__words"]) for r in found.collect()] == [["day", "good", "good day", "good good"], ["one"], [], []]
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("regexp_replace") <= 2
