@@ -34,7 +34,8 @@ TOKENIZER = "byte_bpe_50k.json"
 SHARD_BYTES = 32 << 20  # of text in a shard, about
 SHARD_ROWS = 500_000  # documents in a shard, about
 ROUTE_SHARDS = 2_000_000  # shards whose bounds a lookup sends to its tasks, 24 bytes each
-HELD = 250_000  # pieces in one of two generations whose ids a worker holds
+AT_ONCE = 5_000  # texts or pieces whose encodings the library holds
+HELD = 120_000  # pieces in one of two generations whose ids a worker holds
 MAGIC = b"IDSHARD1"
 _TRAILER = struct.Struct("<8sQQ")
 _ARRAYS = ("keys", "null", "offsets", "sizes", "bits", "left", "prints", "first", "rows")
@@ -82,7 +83,10 @@ def encoded(texts: list[str], dtype: str, path: str) -> list[bytes]:
 
 
 def _ids(model, texts: list[str], dtype: str) -> list[bytes]:
-    return [np.array(e.ids, dtype).tobytes() for e in model.encode_batch_fast(texts, add_special_tokens=False)]
+    out: list[bytes] = []
+    for start in range(0, len(texts), AT_ONCE):
+        out += [np.array(e.ids, dtype).tobytes() for e in model.encode_batch_fast(texts[start : start + AT_ONCE], add_special_tokens=False)]
+    return out
 
 
 def _by_piece(model, texts: list[str], dtype: str, young: dict[str, bytes], old: dict[str, bytes], exact: dict[str, bytes]) -> list[bytes]:
@@ -225,14 +229,15 @@ def write(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "t
     def shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model, keys, lengths, payload = tokenizer_path(path_of), [], [], 0
         for batch in batches:
-            for start in range(0, batch.num_rows, 1000):
-                part = batch.slice(start, 1000)
+            for start in range(0, batch.num_rows, 500):
+                part = batch.slice(start, 500)
                 data = encoded([t or "" for t in part.column(1).to_pylist()], dtype, model)
                 keys += part.column(0).to_pylist()
                 lengths += [len(x) // width + 1 for x in data]
                 payload += sum(map(len, data)) + width * len(data)
                 yield pa.RecordBatch.from_arrays([pa.array(data, pa.binary())], names=["data"])
         yield pa.RecordBatch.from_arrays([pa.array([_footer(keys, lengths, payload)], pa.binary())], names=["data"])
+        pa.default_memory_pool().release_unused()  # the worker waits for its next task beside the JVM's sort
 
     rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").cast("string").alias("text"))
     size = rows.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()
