@@ -19,11 +19,12 @@ import os
 import re
 import struct
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -35,7 +36,8 @@ SHARD_BYTES = 32 << 20  # of text in a shard, about
 SHARD_ROWS = 500_000  # documents in a shard, about
 ROUTE_SHARDS = 2_000_000  # shards whose bounds a lookup sends to its tasks, 24 bytes each
 AT_ONCE = 5_000  # texts or pieces whose encodings the library holds
-HELD = 120_000  # pieces in one of two generations whose ids a worker holds
+HELD = 100_000  # pieces in one of two generations whose ids a worker holds
+BLOCK = 2 << 20  # bytes of text whose pieces are brought together
 MAGIC = b"IDSHARD1"
 _TRAILER = struct.Struct("<8sQQ")
 _ARRAYS = ("keys", "null", "offsets", "sizes", "bits", "left", "prints", "first", "rows")
@@ -43,21 +45,55 @@ GAMMA, LEVELS = 2, 24
 
 
 # Encoding. A byte-level tokenizer never joins a character that is no blank with the blank behind it, so a text can be
-# cut there, and pieces met before need not be encoded again.
+# cut there, and pieces met before need not be encoded again. A blank and a run of letters before punctuation is one word
+# to it, and the punctuation another, so such pieces are cut once more and their words go to the model itself.
 
 _CUT = re.compile(r"(?<=\S)(?=[ \n\t\r])")
 _RUN = re.compile(r"\s\s")
+_LETTERS = "A-Za-zÀ-ÖØ-öø-ɏ"
+_MARKS = r"!-/:-@\[-`{-~"
+_PARTS = rf"^(?P<stem>[{_LETTERS}]+)(?P<tail>[{_MARKS}]*)$"
+_INSIDE = re.compile(rf" ?[{_LETTERS}]*[{_MARKS}]*")
+
+
+class _Held:
+    """Ids of pieces in two generations: when the young one is full the old one goes, but for what was met again."""
+
+    def __init__(self) -> None:
+        self.young: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+
+    def ids(self, pieces: list[str], encode: Callable[[list[str]], list[bytes]]) -> list[bytes]:
+        """The ids of distinct pieces."""
+        if len(self.young) > HELD:
+            self.young, self.old = {}, self.young
+        found = list(map(self.young.get, pieces))
+        missing = [i for i, x in enumerate(found) if x is None]
+        new = []
+        for i in missing:
+            found[i] = x = self.old.get(pieces[i])
+            if x is None:
+                new.append(i)
+        for i, x in zip(new, encode([pieces[i] for i in new])):
+            found[i] = x
+        self.young.update((pieces[i], found[i]) for i in missing)
+        return found
 
 
 @lru_cache(2)
 def _encoder(path: str):
+    """The tokenizer, whether texts may be cut, how letters read in its vocabulary if words may be too, and held pieces and stems."""
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
 
     found = Tokenizer.from_file(path)
     split = found.pre_tokenizer
     byte_level = type(split).__name__ == "ByteLevel" and not split.add_prefix_space and found.normalizer is None
-    return found, byte_level, ({}, {}, {})
+    added = [t.content for t in found.get_added_tokens_decoder().values()]
+    by_word = byte_level and split.use_regex and type(found.model).__name__ == "BPE" and found.model.dropout is None and not any(map(_INSIDE.fullmatch, added))
+    letters = [c for c in map(chr, range(0x250)) if re.match(f"[{_LETTERS}]", c)]
+    spelt = {ord(c): split.pre_tokenize_str(c)[0][0] for c in letters} if by_word else None
+    return found, byte_level, spelt, _Held(), _Held()
 
 
 def tokenizer_path(path: str | None) -> str:
@@ -70,13 +106,13 @@ def tokenizer_path(path: str | None) -> str:
 
 def encoded(texts: list[str], dtype: str, path: str) -> list[bytes]:
     """The ids of each text as raw numbers, without an end id."""
-    model, by_piece, generations = _encoder(path)
+    model, by_piece, spelt, exact, stems = _encoder(path)
     if not by_piece:
         return _ids(model, texts, dtype)
     collects = gc.isenabled()
     gc.disable()  # hundreds of thousands of small objects and no cycles
     try:
-        return _by_piece(model, texts, dtype, *generations)
+        return _by_piece(model, texts, dtype, spelt, exact, stems)
     finally:
         if collects:
             gc.enable()
@@ -89,31 +125,56 @@ def _ids(model, texts: list[str], dtype: str) -> list[bytes]:
     return out
 
 
-def _by_piece(model, texts: list[str], dtype: str, young: dict[str, bytes], old: dict[str, bytes], exact: dict[str, bytes]) -> list[bytes]:
-    """``young`` and ``old`` hold pieces without the one blank before them, and pieces that start with another; ``exact`` holds the rest."""
-    heads, rest = [], []
+def _by_piece(model, texts: list[str], dtype: str, spelt: dict[int, str] | None, exact: _Held, stems: _Held) -> list[bytes]:
+    """``exact`` holds pieces as they stand in texts, ``stems`` runs of letters without the blank before them."""
+    heads, bodies = [], []
     for t in texts:
         if _RUN.search(t):
             heads.append(_CUT.split(t))
-            rest.append(())
+            bodies.append(None)
         else:
-            first, *more = t.replace("\n", " \n").replace("\t", " \t").replace("\r", " \r").split(" ")
-            heads.append((first,))
-            rest.append(more)
-    if len(young) > HELD:
-        old.clear()
-        old.update(young)
-        young.clear()
-    if len(exact) > HELD:
-        exact.clear()
-    wanted = set().union(*rest).difference(young)
-    again = wanted.intersection(old)
-    young.update(zip(again, map(old.__getitem__, again)))
-    new = list(wanted.difference(again))
-    young.update(zip(new, _ids(model, [x if x[:1] in ("\n", "\t", "\r") else " " + x for x in new], dtype)))
-    new = list(set().union(*heads).difference(exact))
-    exact.update(zip(new, _ids(model, new, dtype)))
-    return [b"".join([*map(exact.__getitem__, h), *map(young.__getitem__, r)]) for h, r in zip(heads, rest)]
+            head, blank, body = t.replace("\n", " \n").replace("\t", " \t").replace("\r", " \r").partition(" ")
+            heads.append((head,))
+            bodies.append(body if blank else None)
+    pieces = pc.split_pattern(pa.array(bodies, pa.large_string()), " ")
+    last = np.cumsum(pc.fill_null(pc.list_value_length(pieces), 0).to_numpy())
+    words = pieces.flatten().dictionary_encode()
+    ids = _word_ids(model, words.dictionary, dtype, spelt, exact, stems).take(words.indices)
+    ends, raw = np.frombuffer(ids.buffers()[1], np.int64), memoryview(ids.buffers()[2])
+    ends = ends[np.concatenate([[0], last])].tolist()
+    whole = list(set().union(*heads))
+    known = dict(zip(whole, exact.ids(whole, lambda new: _ids(model, new, dtype))))
+    return [b"".join([*map(known.__getitem__, h), raw[a:b]]) for h, a, b in zip(heads, ends, ends[1:])]
+
+
+def _word_ids(model, words: pa.Array, dtype: str, spelt: dict[int, str] | None, exact: _Held, stems: _Held) -> pa.Array:
+    """The ids of distinct pieces that had a blank before them or start with another."""
+
+    def whole(pieces: list[str]) -> list[bytes]:
+        return _ids(model, pieces, dtype)
+
+    def of_stems(found: list[str]) -> list[bytes]:
+        tokens, flat, ends = model.model.tokenize, [], [0]
+        for s in found:
+            flat += [t.id for t in tokens(blank + s.translate(spelt))]
+            ends.append(len(flat))
+        raw, width = np.array(flat, dtype).tobytes(), np.dtype(dtype).itemsize
+        return [raw[width * a : width * b] for a, b in zip(ends, ends[1:])]
+
+    def looked_up(column: pa.Array, held: _Held, encode: Callable[[list[str]], list[bytes]]) -> pa.Array:
+        distinct = column.dictionary_encode()
+        return pa.array(held.ids(distinct.dictionary.to_pylist(), encode), pa.large_binary()).take(distinct.indices)
+
+    def as_it_stands(pieces: pa.Array) -> pa.Array:
+        return looked_up(pa.array([x if x[:1] in ("\n", "\t", "\r") else " " + x for x in pieces.to_pylist()], pa.large_string()), exact, whole)
+
+    if spelt is None:
+        return as_it_stands(words)
+    blank = model.pre_tokenizer.pre_tokenize_str(" ")[0][0]
+    stem, tail = pc.extract_regex(words, _PARTS).flatten()
+    cut = pc.is_valid(stem)
+    both = pc.binary_join_element_wise(looked_up(stem, stems, of_stems), looked_up(tail, exact, whole), pa.scalar(b"", pa.large_binary()))
+    return pc.replace_with_mask(both, pc.invert(cut), as_it_stands(words.filter(pc.invert(cut))))
 
 
 # The hash: levels of bit arrays. A key has its place in the first level where no other key shares its bit; its slot is
@@ -229,15 +290,18 @@ def write(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "t
     def shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model, keys, lengths, payload = tokenizer_path(path_of), [], [], 0
         for batch in batches:
-            for start in range(0, batch.num_rows, 500):
-                part = batch.slice(start, 500)
+            block = np.cumsum(pc.fill_null(pc.binary_length(batch.column(1)), 0).to_numpy(zero_copy_only=False), dtype=np.int64) // BLOCK
+            starts = [*np.flatnonzero(np.diff(block, prepend=-1)).tolist(), batch.num_rows]
+            for start, end in zip(starts, starts[1:]):
+                part = batch.slice(start, end - start)
                 data = encoded([t or "" for t in part.column(1).to_pylist()], dtype, model)
+                pa.default_memory_pool().release_unused()  # the worker stands beside the JVM's sort
                 keys += part.column(0).to_pylist()
                 lengths += [len(x) // width + 1 for x in data]
                 payload += sum(map(len, data)) + width * len(data)
                 yield pa.RecordBatch.from_arrays([pa.array(data, pa.binary())], names=["data"])
         yield pa.RecordBatch.from_arrays([pa.array([_footer(keys, lengths, payload)], pa.binary())], names=["data"])
-        pa.default_memory_pool().release_unused()  # the worker waits for its next task beside the JVM's sort
+        pa.default_memory_pool().release_unused()
 
     rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").cast("string").alias("text"))
     size = rows.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()

@@ -67,6 +67,28 @@ def test_token_ids_round_trip(spark, docs, corpus, tmp_path):
     assert np.frombuffer(raw[: 2 * got[0]["n_tokens"]], "<u2").tolist() == got[0]["ids"]
 
 
+def test_cut_texts_have_the_ids_of_whole_texts():
+    r = random.Random(8)
+    parts = ["word", "Été", "ñaß", "ªº", "a×b", "÷", "µ", "don't", "we'LL", "'s", "''", "x's!", "end.", "(a)", "!?", "7", "b2", "²", "Ⅷ", "a_b", "_", "中文", "жук", "e\u0301", "\u0250", "<|endoftext|>", "a<|endoftext|>", "<|", "\x1c", "\x85", "ʰ", "\U0001f600", "İ", "word"]
+    gaps = [" ", " ", " ", " ", "\n", "\t", "\r", "\xa0", "\u2003", "", "\x0b"]
+    texts = ["".join(r.choice(parts) + r.choice(gaps) for _ in range(r.randrange(30))) for _ in range(3000)]
+    texts += ["", " ", "\n", "a ", " a", "a  b", "a\n\nb ", "a \u2003 b"]
+    for at in range(0, len(texts), 700):
+        got = idfiles.encoded(texts[at : at + 700], "<u2", idfiles.tokenizer_path(None))
+        assert [np.frombuffer(x, "<u2").tolist() for x in got] == [token_ids(t)[:-1] for t in texts[at : at + 700]]
+    assert idfiles.encoded([], "<u2", idfiles.tokenizer_path(None)) == []
+
+
+def test_words_are_not_encoded_as_texts(monkeypatch):
+    r, n, ids = random.Random(9), [], idfiles._ids
+    monkeypatch.setattr(idfiles, "_ids", lambda model, texts, dtype: n.append(len(texts)) or ids(model, texts, dtype))
+    words = ["".join(r.choices("abcdeéñß", k=9)) + r.choice(["", "", ".", "$$$"]) for _ in range(4000)]
+    texts = [" ".join(words[i : i + 100]) for i in range(0, 4000, 100)]
+    got = idfiles.encoded(texts, "<u2", idfiles.tokenizer_path(None))
+    assert sum(n) < 100
+    assert [np.frombuffer(x, "<u2").tolist() for x in got] == [token_ids(t)[:-1] for t in texts]
+
+
 def test_lookup_by_key(spark, docs, corpus, tmp_path):
     path = str(tmp_path / "ids")
     idfiles.write(docs, path)
