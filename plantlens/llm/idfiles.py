@@ -36,7 +36,7 @@ SHARD_BYTES = 32 << 20  # of text in a shard, about
 SHARD_ROWS = 500_000  # documents in a shard, about
 ROUTE_SHARDS = 2_000_000  # shards whose bounds a lookup sends to its tasks, 24 bytes each
 AT_ONCE = 5_000  # texts or pieces whose encodings the library holds
-HELD = 100_000  # pieces in one of two generations whose ids a worker holds
+HELD = 200_000  # pieces whose ids a worker holds
 BLOCK = 2 << 20  # bytes of text whose pieces are brought together
 MAGIC = b"IDSHARD1"
 _TRAILER = struct.Struct("<8sQQ")
@@ -57,27 +57,24 @@ _INSIDE = re.compile(rf" ?[{_LETTERS}]*[{_MARKS}]*")
 
 
 class _Held:
-    """Ids of pieces in two generations: when the young one is full the old one goes, but for what was met again."""
+    """Pieces and their ids, those met last in front; what is beyond HELD goes."""
 
     def __init__(self) -> None:
-        self.young: dict[str, bytes] = {}
-        self.old: dict[str, bytes] = {}
-
-    def ids(self, pieces: list[str], encode: Callable[[list[str]], list[bytes]]) -> list[bytes]:
-        """The ids of distinct pieces."""
-        if len(self.young) > HELD:
-            self.young, self.old = {}, self.young
-        found = list(map(self.young.get, pieces))
-        missing = [i for i, x in enumerate(found) if x is None]
-        new = []
-        for i in missing:
-            found[i] = x = self.old.get(pieces[i])
-            if x is None:
-                new.append(i)
-        for i, x in zip(new, encode([pieces[i] for i in new])):
-            found[i] = x
-        self.young.update((pieces[i], found[i]) for i in missing)
-        return found
+        self.pieces, self.ids = pa.array([], pa.large_string()), pa.array([], pa.large_binary())
+
+    def looked_up(self, column: pa.Array, encode: Callable[[list[str]], list[bytes]]) -> pa.Array:
+        """The ids of each piece; null has none."""
+        distinct = column.dictionary_encode()
+        pieces = distinct.dictionary
+        at = pc.index_in(pieces, value_set=self.pieces)
+        new = pc.is_null(at)
+        ids = pc.replace_with_mask(self.ids.take(at), new, pa.array(encode(pieces.filter(new).to_pylist()), pa.large_binary()))
+        unmet = np.ones(len(self.pieces), bool)
+        unmet[at.drop_null().to_numpy()] = False
+        rest = pa.array(np.flatnonzero(unmet)[: max(0, HELD - len(pieces))])
+        self.pieces = pa.concat_arrays([pieces, self.pieces.take(rest)])
+        self.ids = pa.concat_arrays([ids, self.ids.take(rest)])
+        return ids.take(distinct.indices)
 
 
 @lru_cache(2)
@@ -143,7 +140,7 @@ def _by_piece(model, texts: list[str], dtype: str, spelt: dict[int, str] | None,
     ends, raw = np.frombuffer(ids.buffers()[1], np.int64), memoryview(ids.buffers()[2])
     ends = ends[np.concatenate([[0], last])].tolist()
     whole = list(set().union(*heads))
-    known = dict(zip(whole, exact.ids(whole, lambda new: _ids(model, new, dtype))))
+    known = dict(zip(whole, exact.looked_up(pa.array(whole, pa.large_string()), lambda new: _ids(model, new, dtype)).to_pylist()))
     return [b"".join([*map(known.__getitem__, h), raw[a:b]]) for h, a, b in zip(heads, ends, ends[1:])]
 
 
@@ -161,19 +158,15 @@ def _word_ids(model, words: pa.Array, dtype: str, spelt: dict[int, str] | None,
         raw, width = np.array(flat, dtype).tobytes(), np.dtype(dtype).itemsize
         return [raw[width * a : width * b] for a, b in zip(ends, ends[1:])]
 
-    def looked_up(column: pa.Array, held: _Held, encode: Callable[[list[str]], list[bytes]]) -> pa.Array:
-        distinct = column.dictionary_encode()
-        return pa.array(held.ids(distinct.dictionary.to_pylist(), encode), pa.large_binary()).take(distinct.indices)
-
     def as_it_stands(pieces: pa.Array) -> pa.Array:
-        return looked_up(pa.array([x if x[:1] in ("\n", "\t", "\r") else " " + x for x in pieces.to_pylist()], pa.large_string()), exact, whole)
+        return exact.looked_up(pa.array([x if x[:1] in ("\n", "\t", "\r") else " " + x for x in pieces.to_pylist()], pa.large_string()), whole)
 
     if spelt is None:
         return as_it_stands(words)
     blank = model.pre_tokenizer.pre_tokenize_str(" ")[0][0]
     stem, tail = pc.extract_regex(words, _PARTS).flatten()
     cut = pc.is_valid(stem)
-    both = pc.binary_join_element_wise(looked_up(stem, stems, of_stems), looked_up(tail, exact, whole), pa.scalar(b"", pa.large_binary()))
+    both = pc.binary_join_element_wise(stems.looked_up(stem, of_stems), exact.looked_up(tail, whole), pa.scalar(b"", pa.large_binary()))
     return pc.replace_with_mask(both, pc.invert(cut), as_it_stands(words.filter(pc.invert(cut))))
 
 

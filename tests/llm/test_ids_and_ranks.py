@@ -89,6 +89,15 @@ def test_words_are_not_encoded_as_texts(monkeypatch):
     assert [np.frombuffer(x, "<u2").tolist() for x in got] == [token_ids(t)[:-1] for t in texts]
 
 
+def test_pieces_that_were_let_go_are_encoded_again(monkeypatch):
+    monkeypatch.setattr(idfiles, "HELD", 40)
+    r, path = random.Random(10), idfiles.tokenizer_path(None)
+    words = ["".join(r.choices("abcéñ", k=4)) for _ in range(150)] + [f"n{i}!" for i in range(60)]
+    for size in (3, 60, 5, 200, 5):
+        texts = [" ".join(r.choice(words) for _ in range(size)) for _ in range(4)]
+        assert [np.frombuffer(x, "<u2").tolist() for x in idfiles.encoded(texts, "<u2", path)] == [token_ids(t)[:-1] for t in texts]
+
+
 def test_lookup_by_key(spark, docs, corpus, tmp_path):
     path = str(tmp_path / "ids")
     idfiles.write(docs, path)
