@@ -70,7 +70,8 @@ def links(prints: DataFrame, bits: int = 3) -> DataFrame:
     """(a, b): all pairs of different prints at ``bits`` (3 at most) differing bits or fewer.
 
     ``prints`` has one row per print. The equality join on the key is checked in its condition, so only true links
-    come out, each once per segment: a pair meets in the variant of its differing bit, or in the first one.
+    come out, each once per segment: a pair meets in the variant of its differing bit, or in the first one. Both sides
+    hold 64 rows per print, which Spark sizes as one; the hint keeps it from broadcasting them.
     """
     if bits > 3:
         raise ValueError("two segments find pairs of at most three differing bits")
@@ -83,7 +84,7 @@ def links(prints: DataFrame, bits: int = 3) -> DataFrame:
     bit = F.pmod(v, F.lit(HALF))
     met = (differs == F.pow(F.lit(2.0), bit).cast("long")) | ((differs == 0) & (bit == 0))
     near = (F.col("a") < F.col("b")) & (F.bit_count(x) <= bits) & met
-    return one.join(two, (one["key"] == two["key"]) & near).select("a", "b").distinct()
+    return one.join(two.hint("merge"), (one["key"] == two["key"]) & near).select("a", "b").distinct()
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, bits: int = 3) -> DataFrame:

@@ -11,6 +11,7 @@ import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from plantlens.llm import chunks, graph, html, leaks, mixing, pii, ppm, quality, simhash, tokens, warc
 
@@ -76,6 +77,17 @@ def test_links_find_all_pairs_within_three_bits(spark):
     assert got == {(a, b) for p, a in zip(prints, signed) for q, b in zip(prints, signed) if a < b and (p ^ q).bit_count() <= 3}
 
 
+def test_links_broadcast_no_keys(spark):
+    """64 keys a print are sized as one row, so a side that looks small may fill the driver."""
+    prints = spark.range(100).select(F.xxhash64("id").alias("print")).union(spark.range(100).select(F.xxhash64("id").bitwiseXOR(F.lit(6)).alias("print")))
+    found = simhash.links(prints)
+    got = {tuple(x) for x in found.collect()}
+    values = [r["print"] for r in prints.collect()]
+    assert got == {(a, b) for a in values for b in values if a < b and ((a ^ b) % 2**64).bit_count() <= 3} and len(got) >= 100
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
+
+
 def test_keep_first_keeps_one_row_of_each_class(spark, docs, corpus, empty):
     prints = [simhash.fingerprint(t, 3) for _, t in corpus]
     classes = list(range(len(corpus)))
