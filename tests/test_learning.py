@@ -91,6 +91,22 @@ def test_sentiment_needs_labels(reviews):
         sentiment.fit(reviews.where("id = 702"), text="text", label="label")
 
 
+def test_every_labelled_row_counts(spark, monkeypatch):
+    """A word of one row alone has a weight, however many rows there are, and all rows set the cuts."""
+    marks = [f"m{i}" for i in range(60)]
+    df = spark.range(24_000).select(F.when(F.col("id") < 60, F.concat(F.lit("m"), "id")).when(F.col("id") % 2 == 0, "good").otherwise("bad").alias("text"))
+    df = df.withColumn("label", (F.col("text") != "bad").cast("int")).repartition(4).union(spark.createDataFrame([("\t", 1), ("good", None)], "text string, label int"))
+    held = []
+    if hasattr(sentiment, "_held_out"):
+        whole = sentiment._held_out
+        monkeypatch.setattr(sentiment, "_held_out", lambda rows, models: held.append(whole(rows, models)) or held[-1])
+    fitted = sentiment.fit(df, text="text", label="label")
+    hashed, line = fitted.model.stages
+    assert all(line.coefficients[hashed.indexOf(m)] > 0 for m in marks)
+    assert held[0].count() == 24_000
+    assert line.coefficients[hashed.indexOf("good")] > 0 > line.coefficients[hashed.indexOf("bad")]
+
+
 def test_labelled_documents(spark):
     """On the rows of ``labels`` that the model has not seen it beats the lexicon."""
     d = "/root/testdata/sf0.01"
