Q10_unit_table: a unit's readings are summed up before they are unpivoted

Symptom: the query shuffled each task's partial sums once for every unit and pollutant, with the pollutant's name and limit as keys beside them.
Evidence: lineitem of sf0.1 20 times (12 million rows), local[6]: the second exchange wrote 36.3 MB and 1,440,000 records of 281.3 MB with 24 shuffle partitions, 54.0 MB and 2,039,694 of 309.6 MB with 200; the explode below it tripled the readings.
Fix: unit_table() aggregates the three measures in one row per unit and calls unpivot() on these rows; the aggregation of lineitem to readings, which writes the rest of the shuffle, is the query's input and stays as it was.
Effect: at 1 GB of input CPU 218 -> 182 s, shuffle 0.88 -> 0.86 GB, spill 0.00 -> 0.00 GB, read 0.20 -> 0.20 GB, longest task 8 -> 8 s, most memory of a task 436 -> 436 MB; at 6 GB of input CPU 1004 -> 690 s, shuffle 7.88 -> 6.63 GB, spill 0.00 -> 0.00 GB, read 1.80 -> 1.80 GB, longest task 12 -> 13 s, most memory of a task 772 -> 772 MB; with hot keys, at 1 GB of input CPU 203 -> 172 s, shuffle 0.74 -> 0.71 GB, spill 0.00 -> 0.00 GB, read 0.21 -> 0.21 GB, longest task 7 -> 7 s, most memory of a task 407 -> 403 MB.

@@ -133,9 +133,13 @@ def hourly_average(facts: DataFrame, by: str = "hour", limits: dict[str, float]
 
 
 def unit_table(facts: DataFrame, limits: dict[str, float] = domain.LIMITS) -> DataFrame:
-    """Current, average and maximum value, limit and status per unit and pollutant."""
-    rows = unpivot(facts, limits=limits).groupBy("unit_id", "pollutant", "limit").agg(
-        F.max_by("value", "ts").alias("current"), F.avg("value").alias("average"), F.max("value").alias("maximum"))
+    """Current, average and maximum value, limit and status per unit and pollutant.
+
+    Readings are summed up in one row per unit, and only these rows are unpivoted.
+    """
+    per_unit = facts.groupBy("unit_id").agg(*[
+        F.struct(F.max_by(m, "ts").alias("current"), F.avg(m).alias("average"), F.max(m).alias("maximum")).alias(m) for m in limits])
+    rows = unpivot(per_unit, ["unit_id"], limits).select("unit_id", "pollutant", "limit", "value.*")
     return rows.withColumn("status", domain.severity_label(domain.early_warning(F.col("current"), F.col("limit"))))
 
 

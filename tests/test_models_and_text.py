@@ -2,6 +2,7 @@
 
 import math
 import random
+from datetime import datetime
 
 import numpy as np
 import pandas as pd
@@ -205,6 +206,25 @@ def test_month_summary_matches_the_multiplied_join(spark):
     assert (got["plants"], got["coal_units"]) == (2, 1)
 
 
+def test_unit_table_unpivots_units_not_readings(spark):
+    day = [datetime(2024, 1, d) for d in (1, 2, 3)]
+    rows = [(1, day[0], 40.0, 10.0, None), (1, day[2], None, 45.0, 4.5), (1, day[1], 20.0, 60.0, 5.5), (1, None, 99.0, None, float("nan")),
+            (2, day[1], None, None, None), (2, day[1], None, None, None), (None, day[0], 36.0, 50.0, 1.0), (None, day[0], 36.0, 50.0, 1.0), (3, None, 7.0, 8.0, 9.0)]
+    facts = spark.createDataFrame(rows, "unit_id long, ts timestamp_ntz, so2 double, nox double, soot double").repartition(3)
+    found = business.unit_table(facts)
+    assert found.columns == ["unit_id", "pollutant", "limit", "current", "average", "maximum", "status"]
+    got = {(r["unit_id"], r["pollutant"]): tuple(r)[2:] for r in found.collect()}
+    assert found.count() == 12 and repr(got.pop((1, "soot"))) == "(5.0, 4.5, nan, nan, 'warning')"
+    assert got == {
+        (1, "so2"): (35.0, None, 53.0, 99.0, "normal"), (1, "nox"): (50.0, 45.0, 115 / 3, 60.0, "warning"),
+        (2, "so2"): (35.0, None, None, None, "normal"), (2, "nox"): (50.0, None, None, None, "normal"), (2, "soot"): (5.0, None, None, None, "normal"),
+        (3, "so2"): (35.0, None, 7.0, 7.0, "normal"), (3, "nox"): (50.0, None, 8.0, 8.0, "normal"), (3, "soot"): (5.0, None, 9.0, 9.0, "normal"),
+        (None, "so2"): (35.0, 36.0, 36.0, 36.0, "danger"), (None, "nox"): (50.0, 50.0, 50.0, 50.0, "warning"), (None, "soot"): (5.0, 1.0, 1.0, 1.0, "normal")}
+    assert business.unit_table(facts.limit(0)).count() == 0
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "Generate" in plan and plan.index("Generate") < plan.index("Exchange")  # no row for each reading and pollutant
+
+
 def test_page_is_clamped(spark):
     df = spark.createDataFrame([(1, i, 1.0, 1.0, 1.0) for i in range(7)], "unit_id long, ts int, so2 double, nox double, soot double")
     row = business.list_emissions(df, page=99, page_size=3).collect()
